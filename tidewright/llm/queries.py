@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, tokencount
+from . import decontaminate, packing, pii, quality, sharding, simhash, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
     "op2_quality": quality.op2_quality,
+    "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_packing": packing.op8_packing,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {"op2_quality": quality.SQL}
