@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, sharding, simhash, tokencount
+from . import decontaminate, linededup, packing, pii, quality, sharding, simhash, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_packing": packing.op8_packing,
+    "op9_line_dedup": linededup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op2_quality": quality.SQL}
+ORACLES = {"op2_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
