@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, packing, pii, quality, sharding, simhash, tokencount
+from . import decontaminate, html, linededup, packing, pii, quality, sharding, simhash, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
     "op2_quality": quality.op2_quality,
+    "op3_html": html.op3_html,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
     "op7_decontamination": decontaminate.op7_decontamination,
