@@ -30,6 +30,8 @@ class Words:
 
     def __init__(self) -> None:
         self.power = self.inverse = np.ones(1, np.uint64)
+        #: (first byte, end) of every word of the last split.
+        self.bounds = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def split(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and the words of each text. ``data``: the texts' bytes in a row."""
@@ -49,6 +51,7 @@ class Words:
         last[:-1] &= ~inside[1:]
         last[edge[1:] - 1] = inside[edge[1:] - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.bounds = (starts, ends)
         total = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(_CODE[low] * self.power[:n], out=total[1:])

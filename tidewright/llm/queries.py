@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, linededup, packing, pii, quality, sharding, simhash, tokencount
+from . import decontaminate, html, linededup, packing, pii, quality, sharding, simhash, substring, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html": html.op3_html,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": linededup.op9_line_dedup,
