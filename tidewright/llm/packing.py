@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,36 @@ class Capacity:
     score: str = "norm"
 
 
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: After lower-casing: runs of Latin letters, and runs of anything else but white space.
+RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}\\s]+")
+LETTERS = re.compile(f"[{_LETTERS}]+")
+#: A text with one of these is split at white space only: letters that are not Latin, marks that
+#: join letters, the apostrophe of contractions, and the start of a special token.
+NOT_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x26\\x28-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]|<\\|")
+
+
 class WordTokenizer:
-    """Token ids by words: each distinct word is encoded once, as the tokenizer splits at white space.
+    """Token ids by words: each distinct word is encoded once.
 
-    Holds at most ``max_words`` words, then starts anew; results never depend on it.
+    The tokenizer lower-cases, splits at white space and parts letters from all else, so a text
+    of Latin letters is the sequence of its runs, and any text that of its white-space words.
+    Runs of letters not met before are encoded together in one call: each ends in exactly one
+    end-of-word token, which tells them apart again. Holds at most ``max_words`` words, then
+    starts anew; results never depend on it.
     """
 
-    def __init__(self, definition: str, end_id: int, max_words: int = 400_000):
+    def __init__(self, definition: str, end_id: int, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(definition)
         self.end_id, self.max_words = end_id, max_words
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("the tokenizer must mark the ends of words")
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -53,20 +76,24 @@ class WordTokenizer:
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         self.flat = np.array([self.end_id], np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        new = list(set(words) - self.index.keys())
-        if not new:
-            return
-        if len(self.index) + len(new) > self.max_words:
-            self.clear()
-            new = list(set(words) - self.index.keys())
-        for w in new:
-            self.index[w] = len(self.index)
-        got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
-        ends = np.cumsum(size) + len(self.flat)
-        self.start = np.concatenate([self.start, ends - size])
+    def words(self, text: str) -> list[str]:
+        if not NOT_PLAIN.search(text):
+            return RUNS.findall(text.lower())
+        # white space to Python, but not to the tokenizer, which then splits the text itself
+        return [text] if any(c in text for c in ODD_SPACE) else text.split()
+
+    def learn(self, new: list[str]) -> None:
+        plain = [w for w in new if LETTERS.fullmatch(w)]
+        odd = [w for w in new if not LETTERS.fullmatch(w)]
+        ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) != len(plain):
+            raise AssertionError("a run of letters must end in one end-of-word token")
+        rest = [e.ids for e in self.tok.encode_batch(odd, add_special_tokens=False)]
+        size = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+        flat = np.concatenate([ids, np.fromiter((i for x in rest for i in x), np.uint32)])
+        self.index.update(zip([*plain, *odd], range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, np.cumsum(size) - size + len(self.flat)])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
@@ -76,18 +103,29 @@ class WordTokenizer:
         n_words = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                # a text with odd space is one "word": the tokenizer itself splits it
-                words += t.split() if not any(c in t for c in ODD_SPACE) else [t]
+                words += self.words(t)
             words.append(END)
             n_words[i] = len(words)
-        self.learn(words)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > self.max_words:
+            self.clear()
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lacking = [words[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(lacking)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, lacking), np.int64, len(lacking))
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.diff(ends[n_words - 1], prepend=0)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(definition: str, end_id: int) -> WordTokenizer:
+    """One per Python worker, so that words stay known from task to task."""
+    return WordTokenizer(definition, end_id)
+
+
 def pieces(docs: DataFrame, definition: str, capacity: Capacity, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents as runs of at most ``capacity.tokens`` ids: doc_id, piece, start, length, ids_crc32."""
     shared = docs.sparkSession.sparkContext.broadcast((definition, end_id, capacity.tokens))
@@ -97,7 +135,7 @@ def pieces(docs: DataFrame, definition: str, capacity: Capacity, end_id: int = 1
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         definition, end_id, most = shared.value
-        tok = WordTokenizer(definition, end_id)
+        tok = _tokenizer(definition, end_id)
         for b in slices(batches, "text", 1 << 20):
             ids, sizes = tok.encode(b.column("text").to_pylist())
             n = -(-sizes // most)
