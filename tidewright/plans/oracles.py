@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
     "arrival_lag": q("SELECT delivery_id, count(*) AS n, min(lag_s) AS min_lag, max(lag_s) AS max_lag, quantile_cont(lag_s::DOUBLE, 0.5) AS median_lag, count(*) FILTER (event_timestamp < seen) AS out_of_order FROM (SELECT *, (epoch(sync_timestamp) - epoch(event_timestamp))::BIGINT AS lag_s, max(event_timestamp) OVER (PARTITION BY delivery_id ORDER BY sync_timestamp, event_timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ping) GROUP BY 1", PING),
     "gps_pings": q("SELECT delivery_id, order_id, driver_id, lat, lon, speed_mph, event_timestamp FROM ping", PING),
     "delivery_trips": q("SELECT m.*, coalesce(f.kitchen_key, -1) AS kitchen_key, coalesce(f.zone_key, -1) AS zone_key FROM moved m LEFT JOIN fact f ON f.platform_order_id = 'uber_eats_' || m.order_id", ORD, FACT, TRIP),
-    "trip_path_distance": q(f"SELECT delivery_id, count(*) AS ping_count, round(coalesce(sum(seg), 0.0), 3) AS path_km, count(*) FILTER (epoch(sync_timestamp) - epoch(event_timestamp) > 60) AS late_pings FROM (SELECT b.*, {HAVERSINE.format(a='b.p', b='b')} AS seg FROM (SELECT *, lag({{'lat': lat, 'lon': lon}}) OVER (PARTITION BY delivery_id ORDER BY event_timestamp, lat, lon) AS p FROM ping) b) GROUP BY 1", PING),
+    "trip_path_distance": q(f"SELECT delivery_id, count(*) AS ping_count, round(coalesce(sum(seg), 0.0), 3) AS path_km, count(*) FILTER (epoch(sync_timestamp) - epoch(event_timestamp) > 60) AS late_pings FROM (SELECT b.*, CASE WHEN b.p IS NOT NULL THEN {HAVERSINE.format(a='b.p', b='b')} END AS seg FROM (SELECT *, lag({{'lat': lat, 'lon': lon}}) OVER (PARTITION BY delivery_id ORDER BY event_timestamp, lat, lon) AS p FROM ping) b) GROUP BY 1", PING),
     "rev_kitchen_day": q(f"SELECT full_date AS order_date, year, month, day_of_month, is_weekend, kitchen_id, name AS kitchen_name, city, state, {REV}, count(*) FILTER (is_cancelled) AS cancelled_orders, coalesce(sum(order_total_cents) FILTER (NOT is_cancelled), 0)::BIGINT AS net_revenue_cents FROM fact JOIN cal USING (date_key) JOIN kitchen USING (kitchen_key) GROUP BY ALL", ORD, FACT, CAL, KITCHEN),
     "rev_brand_day": q(f"SELECT full_date AS order_date, year, month, brand_id, brand_name, cuisine_type, platform, {REV}, count(DISTINCT customer_hk) AS unique_customers FROM fact JOIN cal USING (date_key) JOIN brand USING (brand_key) GROUP BY ALL", ORD, FACT, CAL, BRAND),
     "delivery_by_zone": q("SELECT zone_id, zone_name, city, count(*) AS trip_count, round(avg(round(duration_minutes * 100)::BIGINT)) / 100 AS avg_duration_minutes, round(min(duration_minutes), 2) AS min_duration_minutes, round(max(duration_minutes), 2) AS max_duration_minutes, round(avg(round(distance_km * 1000)::BIGINT)) / 1000 AS avg_distance_km, round(avg(round(avg_speed_kmh * 100)::BIGINT)) / 100 AS avg_speed_kmh FROM moved m JOIN fact f ON f.platform_order_id = 'uber_eats_' || m.order_id JOIN zone USING (zone_key) WHERE duration_minutes >= 0 GROUP BY 1, 2, 3", ORD, FACT, TRIP, ZONE),
