@@ -17,12 +17,15 @@ RULES = {
     "short_words": 5,
     "capitals": 6,
     "exclamations": 7,
+    "stutter": 8,
 }
 BASE_RULES = ("few_words", "repeated_windows")
 #: Policy version -> the rules that reject.
 POLICIES = {
     "base": BASE_RULES,
-    "v1": (*BASE_RULES, "symbols", "duplicate_lines", "long_words", "short_words", "capitals", "exclamations"),
+    "v1": (*BASE_RULES, "symbols", "long_words", "short_words", "capitals", "exclamations", "stutter"),
+    # repeated lines can also be left to line deduplication, as v1 does
+    "strict": tuple(RULES),
 }
 
 
@@ -84,6 +87,7 @@ def ledger(docs: DataFrame, text_column: str = "text") -> DataFrame:
         F.size(F.array_distinct(F.filter(F.split(F.col(t), "\n"), lambda x: x != ""))).cast("long").alias("n_lines"),
         F.regexp_count(F.col(t), F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         F.regexp_count(F.col(t), F.lit("!")).cast("long").alias("n_exclamations"),
+        F.size(F.filter(F.col(w), lambda x, i: F.coalesce(x == F.get(F.col(w), i - 1), F.lit(False)))).cast("long").alias("n_stutter"),
     )
     # a generator keeps filters on the ledger above the measuring, which then runs once per row
     df = df.select("*", F.explode(F.array(measures)).alias(m))
@@ -98,6 +102,7 @@ def ledger(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "short_words": some & (x("word_chars") < 2 * x("n_words")),
         "capitals": some & (100 * x("n_capitals") > 50 * x("word_chars")),
         "exclamations": 100 * x("n_exclamations") > 20 * x("n_words"),
+        "stutter": 100 * x("n_stutter") > 25 * x("n_words"),
     }
     bits = F.lit(0).cast("long")
     for rule, bit in RULES.items():
@@ -162,15 +167,15 @@ WITH d AS (
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_distinct(nl))::BIGINT AS n_lines,
-         len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS caps, len(regexp_extract_all(t, '!'))::BIGINT AS excl
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS stutter, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS caps, len(regexp_extract_all(t, '!'))::BIGINT AS excl
   FROM w LEFT JOIN cov USING (r)
 ), b AS (
   SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
     + 4 * (100 * n_symbols > 10 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * (n_dup_lines + n_lines))::INT
     + 16 * (n_words > 0 AND word_chars > 15 * n_words)::INT + 32 * (n_words > 0 AND word_chars < 2 * n_words)::INT
-    + 64 * (n_words > 0 AND 100 * caps > 50 * word_chars)::INT + 128 * (100 * excl > 20 * n_words)::INT)::BIGINT AS fail_bits
+    + 64 * (n_words > 0 AND 100 * caps > 50 * word_chars)::INT + 128 * (100 * excl > 20 * n_words)::INT + 256 * (100 * stutter > 25 * n_words)::INT)::BIGINT AS fail_bits
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, fail_bits FROM b
+       (fail_bits & 503) = 0 AS kept, fail_bits FROM b
 """
