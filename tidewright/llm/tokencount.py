@@ -41,62 +41,85 @@ class Trie:
     anew, which bounds memory and changes no result.
     """
 
-    def __init__(self, scores: dict[str, float], max_nodes: int = 500_000):
+    def __init__(self, scores: dict[str, float], max_nodes: int = 1_500_000):
         self.scores, self.max_nodes = scores, max_nodes
         self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+        self.terminal: dict[bytes, int] = {}
 
-    def tokens(self, word: str) -> int:
-        known = self.terminal.get(word)
+    def total(self, words: list[bytes]) -> int:
+        """Tokens of all words (UTF-8)."""
+        known = list(map(self.terminal.get, words))
+        if None in known:
+            known = [self.tokens(w) if n is None else n for w, n in zip(words, known, strict=True)]
+        return sum(known)
+
+    def tokens(self, raw: bytes) -> int:
+        known = self.terminal.get(raw)
         if known is not None:
             return known
+        word = raw.decode("utf-8", "surrogatepass")
         if len(self.score) > self.max_nodes or len(self.terminal) > self.max_nodes:
             self.clear()
         w = MARK + word
         if len(w) > 512:  # one very long pre-token would fill the trie; nothing shares its tail
             return self._straight(w)
-        scores, child, score, count, longest = self.scores, self.child, self.score, self.count, self.longest
-        path, node = [0], 0
-        for d in range(1, len(w) + 1):
-            key = (node, w[d - 1])
+        child, score, count = self.child, self.score, self.count
+        node, best, n = 0, [0.0], [0]  # best score and count of every prefix of this word
+        for d, c in enumerate(w):
+            key = node << 21 | ord(c)
             nxt = child.get(key)
             if nxt is None:
-                best, n = self._step(w, d, [score[i] for i in path[-longest:]], [count[i] for i in path[-longest:]])
+                s, k = self._step(w, d + 1, best, n)
                 nxt = child[key] = len(score)
-                score.append(best)
-                count.append(n)
+                score.append(s)
+                count.append(k)
             node = nxt
-            path.append(node)
-        self.terminal[word] = count[node]
+            best.append(score[node])
+            n.append(count[node])
+        self.terminal[raw] = count[node]
         return count[node]
 
     def _step(self, w: str, d: int, score: list[float], count: list[int]) -> tuple[float, int]:
         """Best (score, count) of the prefix of ``d`` characters from those of the shorter ones."""
+        scores = self.scores
+        best, n = None, 0
+        for i in range(max(0, d - self.longest), d):
+            piece = w[i:d]
+            if piece in scores:
+                s = scores[piece] + score[i]
+                if best is None or s > best or (s == best and count[i] + 1 < n):
+                    best, n = s, count[i] + 1
         size = len(w[d - 1].encode("utf-8", "surrogatepass"))
-        best, n = score[-1] + size * self.byte_score, count[-1] + size
-        for k in range(1, min(d, self.longest, len(score)) + 1):
-            s = self.scores.get(w[d - k : d])
-            if s is not None:
-                s += score[-k]
-                if s > best or (s == best and count[-k] + 1 < n):
-                    best, n = s, count[-k] + 1
+        spelt = score[-1] + size * self.byte_score
+        if best is None or spelt > best or (spelt == best and count[-1] + size < n):
+            return spelt, count[-1] + size
         return best, n
 
     def _straight(self, w: str) -> int:
         score, count = [0.0], [0]
         for d in range(1, len(w) + 1):
-            best, n = self._step(w, d, score[-self.longest :], count[-self.longest :])
+            best, n = self._step(w, d, score, count)
             score.append(best)
             count.append(n)
         return count[-1]
 
 
+_TRIES: list[tuple[dict[str, float], Trie]] = []
+
+
+def _trie(scores: dict[str, float]) -> Trie:
+    """One per Python worker and vocabulary, so that prefixes stay known from task to task."""
+    if not _TRIES or _TRIES[0][0] is not scores:
+        _TRIES[:] = [(scores, Trie(scores))]
+    return _TRIES[0][1]
+
+
 def count_tokens(docs: DataFrame, vocabulary: dict[str, float], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: its id, ``n_pretokens`` and ``n_tokens`` under the unigram scores.
 
@@ -109,14 +132,13 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float], id_column: str =
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = _trie(shared.value)
         for b in slices(batches, "text"):
             n_pre, n_tok = [], []
             for t in b.column("text").to_pylist():
                 words = t.encode("utf-8", "surrogatepass").split() if t else []
-                words = [w.decode("utf-8", "surrogatepass") for w in words]
                 n_pre.append(len(words))
-                n_tok.append(sum(map(trie.tokens, words)))
+                n_tok.append(trie.total(words))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.array(n_pre, np.int64)), pa.array(np.array(n_tok, np.int64))], names=["id", "n_pretokens", "n_tokens"])
 
     src = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
