@@ -109,6 +109,22 @@ def test_simhash_against_brute_force(spark, edges):
     assert spark_hash % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
+def test_keep_one_drops_near_copies_and_only_those(spark):
+    def changed(seed, n, places):
+        w = prose(seed, n).split(" ")
+        for k in places:
+            w[k] = f"changed{seed}x{k}"
+        return " ".join(w)
+
+    docs = [(i, prose(7000 + i, 200)) for i in range(10)]
+    docs += [(100 + i, changed(7000 + i, 200, [20, 90, 160])) for i in range(10)]  # 15 of 196 shingles: 0.86
+    docs += [(200 + i, changed(7000 + i, 200, range(10, 190, 20))) for i in range(5)]  # 45 of 196: 0.63
+    docs += [(300, "too short"), (301, "too short"), (302, "too short!"), (303, None), (304, " ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {*range(10), *range(200, 205), 300, 302, 303}
+    assert simhash.keep_one(empty(df)).count() == 0
+
+
 def test_simhash_links_every_close_pair(spark):
     r, fps = random.Random(3), {0, 2**64 - 1}
     for _ in range(40):

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found by the pigeonring principle."""
+"""SimHash near-duplicates, found by the pigeonring principle, and one document of each group of near copies."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import substring
 from .common import components, cut, fresh, slices, table
 
 BITS, BOXES, BOX, MOST = 64, 4, 16, 3
@@ -126,20 +127,44 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select(F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def with_content(docs: DataFrame, name: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with a column ``name`` (long) that equal texts share: the hash of the words in a
+    row, or of the stripped text where it is too short for a shingle; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = substring.Words()
+        for b in slices(batches, text_column):
+            t = substring.Text(b.column(text_column), words)
+            key = t.prefix.run(t.first_word, t.first_word + t.counts)
+            for i in np.flatnonzero(t.counts < substring.SHINGLE).tolist():
+                key[i] = xxhash.xxh64_intdigest((b.column(text_column)[i].as_py() or "").encode("utf-8", "surrogatepass").strip())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64))], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` bigint")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = substring.THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, one row a group, columns unchanged.
 
-    If several rows of a group repeat its smallest id, one of them stays.
+    A group is joined by chains of pairs with exact Jaccard >= ``threshold`` on five-word shingles
+    of the whole texts. Candidates come from MinHash bands that miss a pair at the threshold less
+    than once in a million: the fingerprints of such pairs differ by about 10 of 64 bits and by up
+    to 19 at a like recall, which no boxes of a 64-bit ring select. Texts of fewer than five words
+    are grouped only if equal. If several rows of a group repeat its smallest id, one of them stays.
     """
-    fp = fresh(docs, "__fp")
-    marked = with_fingerprint(docs, fp, text_column)
-    small = cut(marked.select(F.col(fp).alias("fp"), F.col(id_column).alias("id")).groupBy("fp").agg(F.min("id").alias("low")))
-    groups = near_groups(small.select("fp")).join(small, "fp")
-    # the smallest (has an id, id, fingerprint) of each group names the row that stays
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("m"))
-    keep = cut(best.select(F.col("m.fp").alias("__keep_fp"), F.col("m.low").alias("__keep_id")))
-    stay = marked.join(keep, (F.col(fp) == F.col("__keep_fp")) & F.col(id_column).eqNullSafe(F.col("__keep_id")))
-    return stay.dropDuplicates(["__keep_fp"]).select(*docs.columns)
+    key = fresh(docs, "__content")
+    marked = with_content(docs, key, text_column)
+    small = cut(marked.select(F.col(key).alias("h"), F.col(id_column).alias("id")).groupBy("h").agg(F.min("id").alias("low")))
+    bands, rows = substring.tune_bands(threshold, recall=0.999999)
+    src = docs.select(F.lit(0).cast("long").alias("doc"), docs[text_column].alias("text"))
+    found = cut(substring.paragraphs(src, bands, rows, substring.SHINGLE, whole=True).select("h", "bands").dropDuplicates(["h"]))
+    classes = components(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
+    groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
+    # the smallest (has an id, id, content) of each group names the row that stays
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h")).alias("m"))
+    keep = cut(best.select(F.col("m.h").alias("__keep_h"), F.col("m.low").alias("__keep_id")))
+    stay = marked.join(keep, (F.col(key) == F.col("__keep_h")) & F.col(id_column).eqNullSafe(F.col("__keep_id")))
+    return stay.dropDuplicates(["__keep_h"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
