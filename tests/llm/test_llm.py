@@ -196,6 +196,19 @@ def test_line_dedup(spark, edges):
     assert linededup.dedup_lines(empty(edges)).count() == 0
 
 
+def test_long_line_between_other_neighbours_goes(spark, tmp_path):
+    import corpus_pipeline
+
+    long, ten, nine = prose(70, 60), prose(71, 10), prose(72, 9)
+    rows = [(i, f"a{i}\n{long}\nb{i}\n{ten}\nc{i}\n{nine}\nd{i}") for i in (3, 1, 2)] + [(4, f"x\n{long}\n\ny\n{long}"), (None, f"{ten}\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: f"a{i}\nb{i}\nc{i}\n{nine}\nd{i}" for i in (2, 3)}
+    want |= {None: f"{ten}\nz", 1: f"a1\n{long}\nb1\nc1\n{nine}\nd1", 4: "x\n\ny"}
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs, alone=10).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()} == dict(rows)
+
+
 def test_line_dedup_runs_of_four_against_brute_force(spark):
     r = random.Random(4)
     texts = ["\n".join(r.choice("ab") for _ in range(r.randrange(0, 14))) for _ in range(30)]

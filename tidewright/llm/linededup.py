@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, table, words_of
 
 
 def _with_word(line: Column) -> Column:
@@ -47,13 +47,15 @@ def repeated_runs(lines: DataFrame, run: int) -> DataFrame:
     return active
 
 
-def dedup_lines(docs: DataFrame, run: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 2, alone: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without later copies of line runs, plus ``n_lines`` and ``n_deleted``.
 
     A line goes if it lies in ``run`` consecutive lines that also stand earlier: in a document
     with a smaller id (null first; equal ids by a hash of the text), or further up in the same
     one. Overlapping runs join, so a maximal repeated run goes as a whole and its first copy
-    stays. Lines without a word are no part of a run and stay. Built-in functions only.
+    stays. With ``alone``, a line of that many words or more is a run by itself and goes if it
+    also stands earlier, whatever its neighbours. Lines without a word are no part of a run and
+    stay. Built-in functions only.
 
     Null texts stay null with 0 lines; empty texts stay empty; rows that repeat id and text are
     one document and change alike; an empty table gives an empty table; other columns are kept
@@ -63,13 +65,20 @@ def dedup_lines(docs: DataFrame, run: int = 2, id_column: str = "doc_id", text_c
     raw = F.split(F.coalesce(text, F.lit("")), "\n")
     worded = F.filter(raw, _with_word)
     lines = docs.select(doc.alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(worded).alias("at", "line"))
-    lines = cut(lines.select("doc", "tie", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")))
+    # a line of n words has 2n - 1 characters: short ones are not split
+    is_long = F.lit(False) if alone is None else (F.length("line") >= 2 * alone - 1) & (F.size(words_of(F.col("line"))) >= alone)
+    lines = cut(lines.select("doc", "tie", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), is_long.alias("long")))
     shared = repeated_runs(lines, run)
     here = F.struct("doc", "tie", "at")
     # a table of its own: the join below then has two plain exchanges, and a hot rank can be split
     first = cut(shared.groupBy("rank").agg(F.min(here).alias("first")))
     later = shared.join(first, "rank").filter(~F.struct("doc", "tie", "at").eqNullSafe(F.col("first")))
     gone = later.select("doc", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + (run - 1))).alias("at"))
+    if alone is not None:
+        single = lines.filter("long")
+        once = cut(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n >= 2").drop("n"))
+        again = single.join(once, ["h1", "h2"]).filter(~F.struct("doc", "tie", "at").eqNullSafe(F.col("first")))
+        gone = gone.unionByName(again.select("doc", "tie", "at"))
     # a document's own line numbers: no longer than the document
     gone = gone.groupBy("doc", "tie").agg(F.collect_set("at").alias("__gone"))
 
