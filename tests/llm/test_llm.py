@@ -348,6 +348,21 @@ def test_repeated_passages(spark, edges):
     assert {r.doc_id for r in substring.repeated_passages(edges).collect()} == {10, 11}
 
 
+def test_one_copy_of_every_passage_stays(spark):
+    p, q = prose(800, 130), prose(801, 130)
+    texts = {1: prose(802, 30) + " " + p, 2: prose(803, 20) + " " + p + " " + q, 3: p + " " + q + " " + prose(804, 25), 4: p + " " + prose(805, 60) + " " + q}
+    got = [r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect() if r.kind == "passage"]
+    left = {}
+    for i, t in texts.items():
+        dead = {k for r in got if r.doc_id == i and r.removed for k in range(r.start, r.end)}
+        left[i] = " ".join("".join(c if k not in dead else "|" for k, c in enumerate(t)).split("|"))
+    grams = lambda t: {tuple(t.split()[k : k + 40]) for k in range(len(t.split()) - 39)}
+    assert grams(p) <= grams(left[1]) and len(grams(q) & grams(left[2])) >= 75
+    assert set(q.split()) <= set(left[2].split())
+    assert {(r.doc_id, r.removed) for r in got} == {(1, False), (2, True), (2, False), (3, True), (4, True)}
+    assert len(left[3].split()) < 25 + 60 and {r.first_id for r in got if r.doc_id == 2} == {1, 2}
+
+
 def test_repeats_of_51_words_always_share_a_window(spark):
     passage, rows = prose(900, 51), []
     for i in range(25):
