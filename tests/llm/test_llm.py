@@ -363,6 +363,13 @@ def test_one_copy_of_every_passage_stays(spark):
     assert len(left[3].split()) < 25 + 60 and {r.first_id for r in got if r.doc_id == 2} == {1, 2}
 
 
+def test_short_paragraphs_are_seen(spark):
+    equal, near = prose(820, 8), prose(821, 30).split(" ")
+    docs = [(1, f"{prose(822, 12)}\n{equal}"), (2, f"{equal}\n{prose(823, 20)}"), (3, " ".join(near)), (4, " ".join([*near[:-1], "changed"])), (5, "a b c d"), (6, "a b c d")]
+    got = [r for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted((r.doc_id, r.kind, r.first_id, r.removed) for r in got) == [(1, "paragraph", 1, False), (2, "paragraph", 1, True), (3, "paragraph", 3, False), (4, "paragraph", 3, True)]
+
+
 def test_repeats_of_51_words_always_share_a_window(spark):
     passage, rows = prose(900, 51), []
     for i in range(25):
