@@ -92,6 +92,16 @@ def test_pii_against_plain_patterns(spark, edges):
     pii.find_spans("1" * 200_000 + "@" * 1000 + "a" * 200_000)
 
 
+def test_iban_before_other_words():
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.find_spans(t) if k == "iban"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("GB82 WEST 1234 5698 7654 32 EUR 100") == ["GB82 WEST 1234 5698 7654 32"]
+    assert found("GB82WEST12345698765432 2024") == ["GB82WEST12345698765432"]
+    assert found("AB12 DE89370400440532013000 GB82WEST12345698765432") == ["DE89370400440532013000", "GB82WEST12345698765432"]
+    assert found("department GB82WEST12345698765432") == ["GB82WEST12345698765432"] and not found("part GB82WEST12345698765432")
+    assert not found("GB82WEST123456987654321") and not found("GB82WEST12345698765433 EUR")
+
+
 def test_simhash_against_brute_force(spark, edges):
     def fp(t):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

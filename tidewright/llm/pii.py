@@ -22,6 +22,18 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")
+IBAN_HEAD = re.compile(r"\b[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: Characters of an IBAN by country (fixed by its registry).
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in countries.split()
+}
+IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}\b") for n in set(IBAN_LENGTH.values())}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b[A-Za-z0-9_]{3,40}\x20?[=:]\x20?[\"'][A-Za-z0-9+/_=-]{16,200}[\"']")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -61,6 +73,20 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def iban_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Proposals cut at their country's length, so that what follows is no part of them; codes the
+    registry lacks take the whole run. A failed proposal takes no text from the next one."""
+    done = 0
+    for head in IBAN_HEAD.finditer(text):
+        if head.start() < done:
+            continue
+        n = IBAN_LENGTH.get(head[0][:2])
+        m = IBAN_REST[n].match(text, head.end()) if n else IBAN.match(text, head.start())
+        if m and mod97(text[head.start() : m.end()].replace(" ", "")):
+            done = m.end()
+            yield head.start(), done
+
+
 def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """The contract's four kinds; each search is linear in the text.
 
@@ -93,19 +119,21 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def scored_spans(text: str, rules: PiiRules) -> Iterator[tuple[str, int, int, float]]:
     """Kinds beyond the base: proposed, confirmed, then scored by the words around them."""
-    for kind, pattern in (("iban", IBAN), ("ssn", SSN), ("secret", SECRET)):
+    for kind, pattern in (("iban", None), ("ssn", SSN), ("secret", SECRET)):
         if kind == "secret" and "=" not in text and ":" not in text and "AKIA" not in text:
             continue
-        for m in pattern.finditer(text):
-            if kind == "iban" and not mod97(m[0].replace(" ", "")):
-                continue
-            near = text[max(0, m.start() - rules.window) : m.end() + rules.window].lower()
+        spans = iban_spans(text) if pattern is None else (m.span() for m in pattern.finditer(text))
+        for start, end in spans:
+            low, high = max(0, start - rules.window), end + rules.window
+            near = text[low:high].lower()
             up, down = CONTEXT[kind]
             score = START[kind]
             score += rules.raise_by * any(w in near for w in up)
-            score -= rules.lower_by * any(w in near for w in down)
+            # lowering words are whole words: "department" is no "part"; the text around tells if the window cuts one
+            around = text[max(0, low - 1) : high + 1].lower()
+            score -= rules.lower_by * any(w in near and re.search(rf"(?<![^\W_]){w}(?![^\W_])", around) for w in down)
             if score >= rules.threshold:
-                yield kind, m.start(), m.end(), score
+                yield kind, start, end, score
 
 
 def find_spans(text: str | None, rules: PiiRules = PiiRules()) -> list[tuple[str, int, int, float]]:
