@@ -92,6 +92,38 @@ def test_pii_against_plain_patterns(spark, edges):
     pii.find_spans("1" * 200_000 + "@" * 1000 + "a" * 200_000)
 
 
+def test_context_moves_the_score_of_every_kind(spark, tmp_path):
+    score = lambda t: {k: x for k, _, _, x in pii.find_spans(t)}
+    for kind, span in (("email", "a.b@c.de"), ("ip", "10.1.2.3"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 123-4567"), ("iban", "GB82WEST12345698765432")):
+        up, down = pii.CONTEXT[kind][0][0], pii.CONTEXT[kind][1][0]
+        plain = score(f"zz {span} zz")[kind]
+        assert score(f"{up} {span} zz")[kind] > plain or plain == 1.0, kind
+        assert score(f"zz {span} {down}").get(kind, 0.0) < plain, kind
+    assert score("version 10.1.2.3")["ip"] == 0.3  # base kinds stay, whatever their score
+    docs = [(1, "mail a.b@c.de"), (2, "nothing"), (3, None), (4, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" at 1.2.3.4')]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    assert [got[i].has_pii for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert (got[4].n_spans, got[4].n_secret, got[4].n_ip, got[2].n_spans, got[3].spans) == (2, 1, 1, 0, "")
+
+
+def test_pii_recall_by_kind():
+    r, want, found = random.Random(17), {}, {}
+    for n in range(600):
+        digits = "".join(r.choice("0123456789") for _ in range(15))
+        card = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+        iban = "DE" + next(f"{c:02d}{digits}{'0' * 3}" for c in range(100) if pii.mod97(f"DE{c:02d}{digits}{'0' * 3}"))
+        made = {
+            "email": f"{prose(n, 1)}.x@mail{n}.example.org", "ip": ".".join(str(r.randrange(256)) for _ in range(4)), "card": card,
+            "phone": f"+{r.randrange(1, 99)} ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)}", "iban": iban,
+            "secret": f'api_key = "{r.getrandbits(160):040x}"', "ssn": f"ssn {r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+        }
+        for kind, span in made.items():
+            want[kind] = want.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + any(k == kind for k, *_ in pii.find_spans(f"{r.choice(WORDS)} and {span} {r.choice(WORDS)} of"))
+    assert all(found[k] >= 0.9 * want[k] for k in want), (found, want)
+
+
 def test_iban_before_other_words():
     found = lambda t: [t[a:b] for k, a, b, _ in pii.find_spans(t) if k == "iban"]
     assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == ["DE89 3704 0044 0532 0130 00"]

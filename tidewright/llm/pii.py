@@ -40,12 +40,16 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Words near a span that raise or lower its score.
 CONTEXT = {
+    "email": (("email", "e-mail", "mail", "contact", "write"), ("example", "test", "sample")),
+    "ip": (("ip", "address", "host", "server", "login"), ("version", "release", "section", "chapter")),
+    "card": (("card", "visa", "mastercard", "amex", "credit", "payment"), ("isbn", "tracking", "serial", "order", "invoice")),
+    "phone": (("phone", "tel", "call", "mobile", "fax", "contact"), ("version", "serial", "part", "model")),
     "iban": (("iban", "account", "bank", "konto", "compte", "cuenta"), ("serial", "part", "model")),
     "ssn": (("ssn", "social", "security"), ("part", "order", "invoice", "model")),
     "secret": (("token", "key", "secret", "password", "api", "credential", "akia"), ("checksum", "sha256", "md5", "commit")),
 }
 #: The score a proposal starts from, once its checksum (where it has one) holds.
-START = {"iban": 0.8, "ssn": 0.4, "secret": 0.4}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 
 
 @dataclass(frozen=True)
@@ -117,30 +121,38 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
-def scored_spans(text: str, rules: PiiRules) -> Iterator[tuple[str, int, int, float]]:
-    """Kinds beyond the base: proposed, confirmed, then scored by the words around them."""
-    for kind, pattern in (("iban", None), ("ssn", SSN), ("secret", SECRET)):
-        if kind == "secret" and "=" not in text and ":" not in text and "AKIA" not in text:
-            continue
-        spans = iban_spans(text) if pattern is None else (m.span() for m in pattern.finditer(text))
-        for start, end in spans:
-            low, high = max(0, start - rules.window), end + rules.window
-            near = text[low:high].lower()
-            up, down = CONTEXT[kind]
-            score = START[kind]
-            score += rules.raise_by * any(w in near for w in up)
-            # lowering words are whole words: "department" is no "part"; the text around tells if the window cuts one
-            around = text[max(0, low - 1) : high + 1].lower()
-            score -= rules.lower_by * any(w in near and re.search(rf"(?<![^\W_]){w}(?![^\W_])", around) for w in down)
-            if score >= rules.threshold:
-                yield kind, start, end, score
+def context_score(text: str, kind: str, start: int, end: int, rules: PiiRules) -> float:
+    """What a proposal of ``kind`` starts from, moved by the words around it, from 0 to 1."""
+    low, high = max(0, start - rules.window), end + rules.window
+    near = text[low:high].lower()
+    up, down = CONTEXT[kind]
+    score = START[kind] + rules.raise_by * any(w in near for w in up)
+    # lowering words are whole words: "department" is no "part"; the text around tells if the window cuts one
+    around = text[max(0, low - 1) : high + 1].lower()
+    score -= rules.lower_by * any(w in near and re.search(rf"(?<![^\W_]){w}(?![^\W_])", around) for w in down)
+    return round(min(1.0, max(0.0, score)), 4)
+
+
+def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kinds beyond the base, proposed and confirmed by their checksum where they have one."""
+    for start, end in iban_spans(text):
+        yield "iban", start, end
+    for m in SSN.finditer(text):
+        yield "ssn", *m.span()
+    if "=" in text or ":" in text or "AKIA" in text:
+        for m in SECRET.finditer(text):
+            yield "secret", *m.span()
 
 
 def find_spans(text: str | None, rules: PiiRules = PiiRules()) -> list[tuple[str, int, int, float]]:
-    """All spans by kind as listed in KINDS, then by start. Null is an empty text."""
+    """All spans by kind as listed in KINDS, then by start. Null is an empty text.
+
+    Every span has a context score. Base kinds stay whatever it is, as the contract has it; the
+    others need ``rules.threshold``.
+    """
     text = text or ""
-    found = [(k, s, e, 1.0) for k, s, e in base_spans(text)]
-    found += scored_spans(text, rules)
+    found = [(k, s, e, context_score(text, k, s, e, rules)) for k, s, e in base_spans(text)]
+    found += [x for k, s, e in more_spans(text) if (x := (k, s, e, context_score(text, k, s, e, rules)))[3] >= rules.threshold]
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -164,7 +176,12 @@ def detect(docs: DataFrame, rules: PiiRules = PiiRules(), id_column: str = "doc_
 
 
 def redact(docs: DataFrame, rules: PiiRules = PiiRules(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Documents with every span replaced by ``<KIND>``; overlapping spans become one mark."""
+    """Documents with every span replaced by ``<KIND>``; of spans that overlap, the one that starts
+    first (the longest of those that start together) leaves its mark.
+
+    Narrow: no shuffle. Null texts stay null, empty ones empty; repeated rows change alike; all
+    columns are kept whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_column):
@@ -192,7 +209,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    low = F.round(F.array_min(F.transform("spans", lambda s: s["score"])), 4).alias("least_score")
+    more = [count(k) for k in KINDS if k not in BASE]
+    n = F.size("spans").cast("long")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), *more, n.alias("n_spans"), (n > 0).alias("has_pii"), low)
 
 
 def digest(text: str | None) -> str:
