@@ -264,6 +264,39 @@ def test_line_dedup_runs_of_four_against_brute_force(spark):
             seen.add(g)
         want[i] = "\n".join(x for k, x in enumerate(lines) if k not in dead)
     assert {x.doc_id: x.text for x in linededup.dedup_lines(docs, run=4).collect()} == want
+    twice = docs.unionByName(docs).withColumn("__gone", F.lit(1)).withColumn("__TIE", F.lit(2)).withColumn("__gone_doc", F.lit(3))
+    out = linededup.dedup_lines(twice, run=4)
+    assert out.columns[:5] == twice.columns and sorted((x.doc_id, x.text) for x in out.collect()) == sorted([*want.items()] * 2)
+
+
+def test_maximal_runs_against_brute_force(spark):
+    r = random.Random(11)
+    docs = {i: [r.choice("abcd") for _ in range(r.randrange(0, 26))] for i in range(12)}
+    docs[3] = docs[1] + ["e"] + docs[2]
+    docs[20], docs[21] = ["x"] * 19, ["y", *["x"] * 9]
+    long = [f"l{k}" for k in range(45)]
+    docs[30], docs[31], docs[32] = long, ["q", *long[3:40], "r", *long], long[10:20]
+    texts = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    got = {}
+    for x in linededup.repeated_runs(texts).collect():
+        got.setdefault(x.doc, []).append((x["at"], x.length, x.first_doc, x.first_at))
+    places = [(i, k) for i in sorted(docs) for k in range(len(docs[i]))]
+    same = lambda a, b: next((n for n in range(99) if a[1] + n >= len(docs[a[0]]) or b[1] + n >= len(docs[b[0]]) or docs[a[0]][a[1] + n] != docs[b[0]][b[1] + n]), 99)
+    for i, lines in docs.items():
+        runs = []
+        for k in range(len(lines)):
+            # the first copy of the longest prefix of 2, 4, 8 ... lines that stands earlier, and all they share
+            for h in (32, 16, 8, 4, 2):
+                first = next((p for p in places if p < (i, k) and same(p, (i, k)) >= h), None)
+                if first:
+                    runs.append((k, same(first, (i, k)), *first))
+                    break
+        want = [x for n, x in enumerate(runs) if all(y[0] + y[1] < x[0] + x[1] for y in runs[:n])]
+        assert sorted(got.get(i, [])) == want, i
+        longest = {k: max((same(p, (i, k)) for p in places if p < (i, k)), default=0) for k in range(len(lines))}
+        covered = {k + n for k, m in longest.items() if m >= 2 for n in range(m)}
+        assert covered == {at + n for at, m, *_ in got.get(i, []) for n in range(m)}
+    assert linededup.repeated_runs(empty(texts)).count() == 0 and linededup.repeated_runs(empty(texts), alone=3).count() == 0
 
 
 def test_packing_round_trip(spark, edges):

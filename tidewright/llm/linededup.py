@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,78 +15,138 @@ def _with_word(line: Column) -> Column:
     return F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0
 
 
-def _named(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Classes of ``keys`` that occur twice or more, with ids that grow in the order of the keys.
+HERE = ("doc", "tie", "at")
+FIRST = ("first_doc", "first_tie", "first_at")
+
 
-    The sort is a range exchange over distinct keys, so no key is hot; ids are read off the
-    checkpointed partitions, which are the same for every later reader.
+def _classes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Classes of ``keys`` that occur twice or more, each with its first place and a rank.
+
+    Ranks grow in the order of the keys. The sort is a range exchange over distinct keys, so no
+    key is hot; ranks are read off the checkpointed partitions, which are the same for every
+    later reader.
     """
-    classes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(*keys).orderBy(*keys)
-    return cut(classes).withColumn(name, F.monotonically_increasing_id())
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*HERE)).alias("first")).filter("n >= 2")
+    found = found.select(*keys, *[F.col(f"first.{c}").alias(f) for c, f in zip(HERE, FIRST, strict=True)])
+    return cut(found.orderBy(*keys)).withColumn("longer", F.monotonically_increasing_id())
 
 
-def repeated_runs(lines: DataFrame, run: int) -> DataFrame:
-    """Suffixes (doc, tie, at) that share their first ``run`` lines with another, with their rank.
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """Intervals of the suffix array over line ids by depth, until every suffix is alone.
 
     ``lines``: doc, tie (together one document), at (0, 1, ... inside it), h1, h2 (the line's
     128-bit hash). Distributed prefix doubling: line ids rank suffixes by one line; the pair of
-    a suffix's rank and the rank h lines further ranks it by 2h. A class of equal rank is an
-    interval of the suffix array whose longest common prefix is at least h. Suffixes alone in
-    their class share no longer prefix with any other and leave, so each round is smaller.
-    Deeper rounds would split intervals, not change which lines are later copies.
+    a suffix's rank and the rank 2**k lines further ranks it by 2**(k+1). Level k holds the
+    suffixes (doc, tie, at, rank, and the first place of their class) that share their first
+    2**k lines with another: a class of equal rank is an interval of the suffix array whose
+    longest common prefix is 2**k lines at least. Suffixes alone in their class share no longer
+    prefix with any other and leave, so each level is smaller, and their number grows with the
+    logarithm of the longest repeat.
+    """
+    rows, keys = lines, ["h1", "h2"]
+    levels: list[DataFrame] = []
+    while True:
+        level = cut(rows.join(_classes(rows, keys), keys).select(*HERE, F.col("longer").alias("rank"), *FIRST))
+        if level.isEmpty():
+            return levels
+        levels.append(level)
+        step = 1 << (len(levels) - 1)
+        ahead = F.min("rank").over(Window.partitionBy("doc", "tie").orderBy("at").rangeBetween(step, step))
+        rows, keys = level.select(*HERE, "rank", ahead.alias("next")).filter("next is not null"), ["rank", "next"]
+
+
+def _is_later() -> Column:
+    return ~F.struct(*HERE).eqNullSafe(F.struct(*[F.col(f).alias(c) for c, f in zip(HERE, FIRST, strict=True)]))
+
+
+def maximal_runs(levels: list[DataFrame], run: int) -> DataFrame | None:
+    """Rows (doc, tie, at, length, first_doc, first_tie, first_at): the maximal later copies of line runs.
+
+    A suffix that is no first copy at some depth takes the first copy of its deepest such interval
+    as its source; their longest common prefix is found by descending the levels from there, and
+    is the run's length. Runs inside a longer run of their document are left out. A suffix that
+    only follows its predecessor along the same source starts no run of its own. Runs are at
+    least ``run`` lines, a power of two; None if no level is that deep.
     """
     if run < 1 or run & (run - 1):
         raise ValueError("run must be a power of two")
-    ids = _named(lines, ["h1", "h2"], "rank")
-    active = cut(lines.join(ids, ["h1", "h2"]).select("doc", "tie", "at", "rank"))
-    h = 1
-    while h < run:
-        ahead = F.min("rank").over(Window.partitionBy("doc", "tie").orderBy("at").rangeBetween(h, h))
-        pairs = active.withColumn("next", ahead).filter("next is not null")
-        classes = _named(pairs, ["rank", "next"], "longer")
-        active = cut(pairs.join(classes, ["rank", "next"]).select("doc", "tie", "at", F.col("longer").alias("rank")))
-        h *= 2
-    return active
+    low = run.bit_length() - 1
+    copies = [x.filter(_is_later()).select(*HERE, F.lit(k).alias("k"), *FIRST) for k, x in enumerate(levels) if k >= low]
+    if not copies:
+        return None
+    later = reduce(DataFrame.unionByName, copies)
+    deepest = later.groupBy(*HERE).agg(F.max(F.struct("k", *FIRST)).alias("d")).select(*HERE, "d.*")
+    order = Window.partitionBy("doc", "tie").orderBy("at")
+    before = lambda c: F.lag(c).over(order)
+    follows = (before("at") == F.col("at") - 1) & before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_tie") == F.col("first_tie")) & (before("first_at") == F.col("first_at") - 1) & (before("k") >= F.col("k"))
+    starts = deepest.withColumn("follows", F.coalesce(follows, F.lit(False))).filter("not follows").drop("follows")
+    starts = cut(starts.withColumn("length", F.expr("shiftleft(1, k)")))
+    for k in reversed(range(len(levels) - 1)):
+        here = levels[k].select(F.col("doc").alias("a_doc"), F.col("tie").alias("a_tie"), F.col("at").alias("a_at"), F.col("rank").alias("a"))
+        there = levels[k].select(F.col("doc").alias("b_doc"), F.col("tie").alias("b_tie"), F.col("at").alias("b_at"), F.col("rank").alias("b"))
+        deeper, done = starts.filter(F.col("k") > k), starts.filter(F.col("k") <= k)
+        found = deeper.join(here, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("tie") == F.col("a_tie")) & (F.col("at") + F.col("length") == F.col("a_at")), "left")
+        found = found.join(there, F.col("first_doc").eqNullSafe(F.col("b_doc")) & (F.col("first_tie") == F.col("b_tie")) & (F.col("first_at") + F.col("length") == F.col("b_at")), "left")
+        found = found.withColumn("length", F.col("length") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0))
+        starts = found.select(*starts.columns).unionByName(done)
+    reach = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = starts.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("at") + F.col("length") > F.col("reach")))
+    return runs.select(*HERE, "length", *FIRST)
+
+
+def _lines(docs: DataFrame, id_column: str, text_column: str, alone: int | None) -> DataFrame:
+    """One row per line with a word; rows that repeat id and text are one document."""
+    text = F.col(text_column)
+    worded = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _with_word)
+    lines = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(worded).alias("at", "line"))
+    # a line of n words has 2n - 1 characters: short ones are not split
+    is_long = F.lit(False) if alone is None else (F.length("line") >= 2 * alone - 1) & (F.size(words_of(F.col("line"))) >= alone)
+    return cut(lines.select(*HERE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), is_long.alias("long")).distinct())
+
+
+def repeated_runs(docs: DataFrame, run: int = 2, alone: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Later copies of line runs: doc, tie, at, length, first_doc, first_tie, first_at (lines with a word, counted from 0).
+
+    With ``alone``, single lines of that many words or more that no longer run holds are runs too.
+    Null and empty texts have no lines; an empty table has no runs.
+    """
+    lines = _lines(docs, id_column, text_column, alone)
+    levels = suffix_levels(lines)
+    runs = maximal_runs(levels, run)
+    if runs is None:
+        kinds = {f.name: f.dataType for f in lines.schema}
+        runs = lines.filter("false").select(*HERE, F.lit(1).alias("length"), *[F.lit(None).cast(kinds[c]).alias(f) for c, f in zip(HERE, FIRST, strict=True)])
+    if alone is None or not levels:
+        return cut(runs)
+    single = levels[0].filter(_is_later()).join(lines.filter("long").select(*[F.col(c).alias(f"l_{c}") for c in HERE]), F.col("doc").eqNullSafe(F.col("l_doc")) & (F.col("tie") == F.col("l_tie")) & (F.col("at") == F.col("l_at")), "left_semi")
+    both = runs.unionByName(single.select(*HERE, F.lit(1).alias("length"), *FIRST))
+    order = Window.partitionBy("doc", "tie").orderBy("at", F.desc("length"))
+    reach = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("at") + F.col("length") > F.col("reach")))
+    return cut(both.drop("reach"))
 
 
 def dedup_lines(docs: DataFrame, run: int = 2, alone: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without later copies of line runs, plus ``n_lines`` and ``n_deleted``.
 
-    A line goes if it lies in ``run`` consecutive lines that also stand earlier: in a document
-    with a smaller id (null first; equal ids by a hash of the text), or further up in the same
-    one. Overlapping runs join, so a maximal repeated run goes as a whole and its first copy
-    stays. With ``alone``, a line of that many words or more is a run by itself and goes if it
-    also stands earlier, whatever its neighbours. Lines without a word are no part of a run and
-    stay. Built-in functions only.
+    A line goes if it lies in a maximal run of ``run`` lines or more that also stands earlier: in a
+    document with a smaller id (null first; equal ids by a hash of the text), or further up in
+    the same one. Its first copy stays. With ``alone``, a line of that many words or more is a
+    run by itself. Lines without a word are no part of a run and stay. Built-in functions only.
 
     Null texts stay null with 0 lines; empty texts stay empty; rows that repeat id and text are
     one document and change alike; an empty table gives an empty table; other columns are kept
     whatever their names, but ``n_lines`` and ``n_deleted`` take underscores if those are taken.
     """
     text, doc = F.col(text_column), F.col(id_column)
-    raw = F.split(F.coalesce(text, F.lit("")), "\n")
-    worded = F.filter(raw, _with_word)
-    lines = docs.select(doc.alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(worded).alias("at", "line"))
-    # a line of n words has 2n - 1 characters: short ones are not split
-    is_long = F.lit(False) if alone is None else (F.length("line") >= 2 * alone - 1) & (F.size(words_of(F.col("line"))) >= alone)
-    lines = cut(lines.select("doc", "tie", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), is_long.alias("long")))
-    shared = repeated_runs(lines, run)
-    here = F.struct("doc", "tie", "at")
-    # a table of its own: the join below then has two plain exchanges, and a hot rank can be split
-    first = cut(shared.groupBy("rank").agg(F.min(here).alias("first")))
-    later = shared.join(first, "rank").filter(~F.struct("doc", "tie", "at").eqNullSafe(F.col("first")))
-    gone = later.select("doc", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + (run - 1))).alias("at"))
-    if alone is not None:
-        single = lines.filter("long")
-        once = cut(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n >= 2").drop("n"))
-        again = single.join(once, ["h1", "h2"]).filter(~F.struct("doc", "tie", "at").eqNullSafe(F.col("first")))
-        gone = gone.unionByName(again.select("doc", "tie", "at"))
+    worded = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _with_word)
+    runs = repeated_runs(docs, run, alone, id_column, text_column)
+    gone = runs.select("doc", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at"))
     # a document's own line numbers: no longer than the document
-    gone = gone.groupBy("doc", "tie").agg(F.collect_set("at").alias("__gone"))
-
-    tie, dead = fresh(docs, "__tie"), "__gone"
+    tie, dead, gone_doc, gone_tie = (fresh(docs, f"__{c}") for c in ("tie", "gone", "gone_doc", "gone_tie"))
+    gone = gone.groupBy(F.col("doc").alias(gone_doc), F.col("tie").alias(gone_tie)).agg(F.collect_set("at").alias(dead))
     marked = docs.withColumn(tie, F.xxhash64(text))
-    joined = marked.join(gone.withColumnRenamed("doc", "__doc").withColumnRenamed("tie", "__gone_tie"), doc.eqNullSafe(F.col("__doc")) & (F.col(tie) == F.col("__gone_tie")), "left")
+    joined = marked.join(gone, doc.eqNullSafe(F.col(gone_doc)) & (F.col(tie) == F.col(gone_tie)), "left")
     all_lines = F.split(text, "\n")
 
     def rebuilt(b: Column) -> Column:
