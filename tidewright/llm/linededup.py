@@ -162,9 +162,9 @@ def dedup_lines(docs: DataFrame, run: int = 2, alone: int | None = None, id_colu
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without later copies of runs of two lines or more."""
+    """All documents without later copies of runs of two lines or more, or of lines of ten words or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, run=2).select("doc_id", "n_lines", "n_deleted", "text")
+    return dedup_lines(docs, run=2, alone=10).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 #: DuckDB SQL for the query above.
@@ -179,8 +179,11 @@ WITH d AS (
   SELECT a.r, a.doc_id, a.k, a.line AS a, b.line AS b FROM w a JOIN w b ON a.r = b.r AND b.k = a.k + 1
 ), later AS (
   SELECT r, k FROM p QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY doc_id, k) > 1
+), single AS (
+  SELECT r, k FROM w WHERE len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 10
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, k) > 1
 ), dead AS (
-  SELECT DISTINCT r, k FROM (SELECT r, k FROM later UNION ALL SELECT r, k + 1 FROM later)
+  SELECT DISTINCT r, k FROM (SELECT r, k FROM later UNION ALL SELECT r, k + 1 FROM later UNION ALL SELECT r, k FROM single)
 ), gone AS (
   SELECT w.r, w.i FROM w JOIN dead ON w.r = dead.r AND w.k = dead.k
 ), kept AS (
