@@ -420,7 +420,34 @@ def test_repeated_passages(spark, edges):
     assert inside[5].component_id == inside[6].component_id and inside[6].removed
     assert docs[4][1][inside[5].start : inside[5].end] in extra
     assert substring.repeated_passages(empty(df)).count() == 0
-    assert {r.doc_id for r in substring.repeated_passages(edges).collect()} == {10, 11}
+    assert {r.doc_id for r in substring.repeated_passages(edges).collect()} == {6, 10, 11}
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    body, line = prose(510, 70), prose(511, 30)
+    docs = [(1, prose(512, 40) + " " + body), (1, body + " " + prose(513, 300)), (None, line + "\n" + prose(514, 9)), (None, prose(515, 12) + "\n" + line), (7, prose(516, 20)), (7, prose(516, 20)), (8, None), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substring.repeated_passages(df).collect()
+    one = [r for r in got if r.doc_id == 1]
+    assert len(one) == 2 and sorted(r.removed for r in one) == [False, True] and {r.first_id for r in one} == {1}
+    assert any(docs[0][1][r.start : r.end] in body and r.end <= len(docs[0][1]) for r in one) and all(r.end - r.start > 0.7 * len(body) for r in one)
+    none = [r for r in got if r.doc_id is None]
+    assert sorted((r.kind, r.end - r.start, r.removed, r.first_id) for r in none) == [("paragraph", len(line), False, None), ("paragraph", len(line), True, None)]
+    assert sorted((r.kind, r.start, r.end, r.removed) for r in got if r.doc_id == 7) == [("passage", 0, len(prose(516, 20)), x) for x in (False, True)]
+    assert {r.doc_id for r in got} == {1, None, 7}
+
+
+def test_large_bucket_of_near_copies_is_one_class(monkeypatch, spark):
+    monkeypatch.setattr(substring, "BLOCK", 64)
+    base, r, texts = prose(43, 120).split(" "), random.Random(2), []
+    for i in range(2_000):
+        w = list(base)
+        if i:
+            w[r.randrange(len(w))] = f"v{i}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring.repeated_passages(df).filter("kind = 'paragraph'").collect()
+    assert len(got) == 2_000 and len({x.component_id for x in got}) == 1 and sum(not x.removed for x in got) == 1
 
 
 def test_one_copy_of_every_passage_stays(spark):

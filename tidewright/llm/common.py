@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session names none (tests on one
-    machine) a new local one."""
+    """The folder of ``spark.checkpoint.dir`` or of the session's checkpoints; only where neither is
+    set and the master is local (tests on one machine) a new local one."""
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,15 +71,18 @@ def byte_lengths(strings: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(strings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts: int = 512) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts: int | None = None) -> DataFrame:
     """Add ``name``: 0, 1, 2 ... without gaps inside each group, however large a group is.
 
-    A group is dealt over ``salts`` cells by a hash of ``order``; cells are counted with
-    map-side aggregation, their starts are prefix sums over at most ``salts`` counts, and only
-    the rows of one cell meet in a task. The number of a row depends on its content alone, so a
-    lost task gives the same numbers again; rows that agree in ``order`` may swap numbers.
+    A group is dealt over ``salts`` cells by a hash of ``order`` (by default so many that the
+    table's rows, were they one group, gave cells of 50 000); cells are counted with map-side
+    aggregation, their starts are prefix sums over at most ``salts`` counts, and only the rows
+    of one cell meet in a task. The number of a row depends on its content alone, so a lost task
+    gives the same numbers again; rows that agree in ``order`` may swap numbers.
     """
     cell, base, at = "__cell", "__base", "__at"
+    if salts is None:
+        salts = max(512, df.count() // 50_000)
     df = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("n"))
     cells = counts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(cell, "n"))).alias("cells"))
@@ -97,33 +103,38 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as rows (node, root), root the smallest node.
 
-    Alternating large-star and small-star steps: every round is two map-side-combined minimum
-    aggregations and joins (split by adaptive execution where one node is hot), and the number of
-    rounds grows with the logarithm of the longest path. Nothing is gathered on the driver but
-    two sums that tell whether a round changed anything.
+    Contraction: every node of a round points to the least node among itself and its neighbours,
+    pointers are doubled until all end at a root, and edges are renamed by them until none is
+    left; both loops grow with the logarithm of the longest path. Pointers come from a
+    map-side-combined minimum and are written as tables of their own before they are joined, so
+    that a node with most of the edges is split over tasks by adaptive execution. Nothing is
+    gathered on the driver but whether anything is left to do.
     """
     spark = edges.sparkSession
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def mark(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        return tuple(r)
-
-    seen = mark(now)
-    if not seen[0]:
+    if now.isEmpty():
         return spark.createDataFrame([], "node long, root long")
+    labels: DataFrame | None = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = cut(small)
-        new = mark(now)
-        if new == seen:
+        points = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"))
+        while True:
+            onward = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            further = cut(points.join(onward, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            points = further.select("node", "to")
+            if further.filter("moved").isEmpty():
+                break
+        if labels is None:
+            labels = points.withColumnRenamed("to", "label")
+        else:
+            labels = labels.join(points.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        a, b = points.select(F.col("node").alias("a"), F.col("to").alias("x")), points.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        now = now.join(a, "a").join(b, "b").filter("x <> y")
+        now = cut(now.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if now.isEmpty():
             break
-        seen = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    labels = cut(labels)
+    least = cut(labels.groupBy("label").agg(F.min("node").alias("root")))
+    return labels.join(least, "label").select("node", "root")

@@ -156,7 +156,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     marked = with_content(docs, key, text_column)
     small = cut(marked.select(F.col(key).alias("h"), F.col(id_column).alias("id")).groupBy("h").agg(F.min("id").alias("low")))
     bands, rows = substring.tune_bands(threshold, recall=0.999999)
-    src = docs.select(F.lit(0).cast("long").alias("doc"), docs[text_column].alias("text"))
+    none = F.lit(0).cast("long")
+    src = docs.select(none.alias("doc"), none.alias("id"), docs[text_column].alias("text"))
     found = cut(substring.paragraphs(src, bands, rows, substring.SHINGLE, whole=True).select("h", "bands").dropDuplicates(["h"]))
     classes = components(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
     groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
