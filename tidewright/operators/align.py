@@ -47,19 +47,22 @@ def payload_schema(mappings: tuple[FeedMapping, ...] = MAPPINGS) -> str:
 
 
 def parse(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> DataFrame:
-    return bronze.withColumn("p", F.from_json("raw_value", payload_schema(mappings)))
+    """The fields of every record under ``p``. A generator keeps filters on the fields above the
+    parsing: pushed below it they would each parse the record again."""
+    return bronze.select("*", F.explode(F.array(F.from_json("raw_value", payload_schema(mappings)))).alias("p"))
+
+
+def _pick(field: str, mappings: tuple[FeedMapping, ...]) -> Column:
+    out = F.lit(None).cast("string")
+    for m in mappings:
+        out = F.when(F.col("p.platform") == m.platform, F.col(f"p.`{getattr(m, field)}`")).otherwise(out)
+    return out
 
 
 def placed_orders(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> DataFrame:
     """Canonical orders of all platforms, duplicates included; status changes are no orders."""
     df = parse(bronze, mappings).filter(F.col("p.event_type").isNull() & F.col("p.platform").isin(*[m.platform for m in mappings]))
-
-    def pick(field: str) -> Column:
-        out = F.lit(None).cast("string")
-        for m in mappings:
-            out = F.when(F.col("p.platform") == m.platform, F.col(f"p.`{getattr(m, field)}`")).otherwise(out)
-        return out
-
+    pick = lambda field: _pick(field, mappings)
     cents = F.lit(None).cast("long")
     for m in mappings:
         number = F.col(f"p.`{m.total}`")
@@ -105,12 +108,20 @@ def align(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> Da
     return dedup_first(orders, ["platform", "platform_order_id"], ["order_timestamp", "ingestion_timestamp", "kafka_offset"]).drop("kafka_offset")
 
 
-def status_events(bronze: DataFrame) -> DataFrame:
-    """Placed and changed states of every order: order_id (canonical key), status, status_timestamp, kitchen_id."""
-    df = parse(bronze)
+def status_events(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> DataFrame:
+    """Placed and changed states of every order: order_id (canonical key), status, status_timestamp, kitchen_id.
+
+    One pass and one parse: a record without an event type is a placed order in its platform's
+    shape, a status change has the common one. The earliest record of a state counts.
+    """
     c = F.col
-    placed = dedup_first(placed_orders(bronze), ["platform", "platform_order_id"], ["order_timestamp", "ingestion_timestamp", "kafka_offset"])
-    placed = placed.select(c("platform_order_id").alias("order_id"), F.lit("placed").alias("status"), c("order_timestamp").alias("status_timestamp"), "kitchen_id")
-    changed = df.filter(c("p.event_type") == "status_change").select(order_key(c("p.platform"), c("p.order_id")).alias("order_id"), c("p.status").alias("status"), F.try_to_timestamp("p.status_timestamp").alias("status_timestamp"), c("p.kitchen_id").alias("kitchen_id"))
-    both = placed.unionByName(changed).filter(c("status_timestamp").isNotNull())
-    return both.groupBy("order_id", "status").agg(F.min("status_timestamp").alias("status_timestamp"), F.min("kitchen_id").alias("kitchen_id"))
+    df = parse(bronze, mappings)
+    placed = c("p.event_type").isNull() & c("p.platform").isin(*[m.platform for m in mappings])
+    changed = c("p.event_type") == "status_change"
+    df = df.filter(placed | changed).select(
+        order_key(c("p.platform"), c("p.order_id")).alias("order_id"),
+        F.when(placed, "placed").otherwise(c("p.status")).alias("status"),
+        F.try_to_timestamp(F.when(placed, _pick("ts", mappings)).otherwise(c("p.status_timestamp"))).alias("status_timestamp"),
+        F.when(placed, _pick("kitchen", mappings)).otherwise(c("p.kitchen_id")).alias("kitchen_id"),
+    )
+    return df.filter(c("status_timestamp").isNotNull()).groupBy("order_id", "status").agg(F.min("status_timestamp").alias("status_timestamp"), F.min("kitchen_id").alias("kitchen_id"))

@@ -14,7 +14,7 @@ SCHEMA = f"op string, before {ITEM}, after {ITEM}, ts_ms string"
 def parse(bronze: DataFrame) -> DataFrame:
     """Change rows; a delete takes its key from the row before it."""
     c = F.col
-    df = bronze.withColumn("p", F.from_json("raw_value", SCHEMA)).filter(c("p.op").isin("c", "u", "d"))
+    df = bronze.select("*", F.explode(F.array(F.from_json("raw_value", SCHEMA))).alias("p")).filter(c("p.op").isin("c", "u", "d"))
     item = F.coalesce(c("p.after"), c("p.before"))
     return df.select(
         c("p.op").alias("op"),

@@ -31,7 +31,7 @@ def zone_rule(limits: dict[tuple[str, str | None], float] = ZONE_LIMITS) -> Colu
 
 def clean(bronze: DataFrame, rule: Column | None = None) -> DataFrame:
     """Parsed readings, the first ingested of each id, without those that have no value."""
-    p = bronze.withColumn("p", F.from_json("raw_value", SCHEMA))
+    p = bronze.select("*", F.explode(F.array(F.from_json("raw_value", SCHEMA))).alias("p"))
     df = p.select(
         "p.reading_id", "p.sensor_id", "p.kitchen_id", "p.sensor_type", F.col("p.value").try_cast("double").alias("value"), "p.unit", "p.zone",
         F.try_to_timestamp("p.event_timestamp").alias("event_timestamp"), "ingestion_timestamp", "kafka_offset",

@@ -13,7 +13,7 @@ SCHEMA = "delivery_id string, order_id string, driver_id string, lat string, lon
 
 def pings(bronze: DataFrame) -> DataFrame:
     """Parsed, valid positions, one per delivery and instant."""
-    p = bronze.withColumn("p", F.from_json("raw_value", SCHEMA))
+    p = bronze.select("*", F.explode(F.array(F.from_json("raw_value", SCHEMA))).alias("p"))
     num = lambda c: F.col(f"p.{c}").try_cast("double").alias(c)
     time = lambda c: F.try_to_timestamp(f"p.{c}").alias(c)
     df = p.select("p.delivery_id", "p.order_id", "p.driver_id", num("lat"), num("lon"), num("speed_mph"), time("event_timestamp"), time("sync_timestamp"), "ingestion_timestamp", "kafka_offset")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rating_0_100
 from ..operators import align, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
+from ..session import shared_folder
 from ..sources import export, feeds
 from ..sources.bronze import envelope
 from ..streaming import stream
@@ -27,9 +27,8 @@ def query(f: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of the session, or a local one where it names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the session."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 ORDER_COLS = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_id", "brand_name", "platform", "platform_customer_id", "platform_order_id", "item_count", "raw_email", "zone_id", "ingestion_timestamp", "is_late_arriving"]
@@ -37,7 +36,7 @@ ORDER_COLS = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_i
 
 @query
 def bronze_envelope(s: Star) -> DataFrame:
-    return s.bronze_orders(False).select("kafka_topic", "kafka_offset", "kafka_timestamp", "ingestion_timestamp", "ingestion_date", "ingestion_hour")
+    return s.bronze_orders().select("kafka_topic", "kafka_offset", "kafka_timestamp", "ingestion_timestamp", "ingestion_date", "ingestion_hour")
 
 
 @query
@@ -52,12 +51,12 @@ def orders_dedup(s: Star) -> DataFrame:
 
 @query
 def bronze_profile(s: Star) -> DataFrame:
-    return health.bronze_profile(s.bronze_orders(False))
+    return health.bronze_profile(s.bronze_orders())
 
 
 @query
 def platform_profile(s: Star) -> DataFrame:
-    return health.platform_profile(s.orders(False))
+    return health.platform_profile(s.orders())
 
 
 @query
@@ -72,30 +71,30 @@ def hub_customer(s: Star) -> DataFrame:
 
 @query
 def hub_order(s: Star) -> DataFrame:
-    return vault.hub_order(None, s.orders(False), load_ts())
+    return vault.hub_order(None, s.orders(), load_ts())
 
 
 @query
 def hub_insert_only_second_batch(s: Star) -> DataFrame:
-    o = s.orders(False)
+    o = s.orders()
     first = vault.hub_customer(None, o.filter(F.col("order_timestamp") < "1998-01-01"), load_ts())
     return vault.hub_customer(first, o.filter(F.col("order_timestamp") >= "1998-01-01"), F.lit("2003-01-01").cast("timestamp"))
 
 
 @query
 def hub_kitchen(s: Star) -> DataFrame:
-    return vault.hub_of(None, s.orders(False), "kitchen_id", "platform", ["order_timestamp", "platform_order_id"], load_ts())
+    return vault.hub_of(None, s.orders(), "kitchen_id", "platform", ["order_timestamp", "platform_order_id"], load_ts())
 
 
 @query
 def links_order(s: Star) -> DataFrame:
-    o = s.orders(False).select(F.sha2("platform_order_id", 256).alias("order_hk"), F.col("customer_key").alias("customer_hk"))
+    o = s.orders().select(F.sha2("platform_order_id", 256).alias("order_hk"), F.col("customer_key").alias("customer_hk"))
     return vault.link(None, o, "link_hk", ["order_hk", "customer_hk"], load_ts())
 
 
 @query
 def sat_order_scd2_two_batches(s: Star) -> DataFrame:
-    o = s.orders(False)
+    o = s.orders()
     k = F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long")
     change = F.when(k % 10 == 0, F.col("order_total_cents") + 100).otherwise(F.col("order_total_cents"))
     day = F.timestamp_seconds(F.unix_timestamp("ingestion_timestamp") + 86_400)
@@ -122,7 +121,7 @@ def identity_bridge(s: Star) -> DataFrame:
 
 @query
 def identity_bridge_two_batches(s: Star) -> DataFrame:
-    o = s.orders(False)
+    o = s.orders()
     early, late = F.col("order_timestamp") < "1998-01-01", F.col("order_timestamp") >= "1998-01-01"
     return identity.bridge(o.filter(late), identity.bridge(o.filter(early)))
 
@@ -141,7 +140,7 @@ def identity_fuzzy(s: Star) -> DataFrame:
 @query
 def dim_date(s: Star) -> DataFrame:
     """The calendar of the orders' years, with the orders of each day."""
-    days = s.orders(False).groupBy(F.to_date("order_timestamp").alias("full_date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    days = s.orders().groupBy(F.to_date("order_timestamp").alias("full_date")).agg(F.count(F.lit(1)).alias("n_orders"))
     return s.date().join(days, "full_date", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
 
 
@@ -150,7 +149,7 @@ def dim_time(s: Star) -> DataFrame:
     """The minutes of a day, with the orders of each."""
     from ..functions import time_key
 
-    used = s.orders(False).groupBy(time_key(F.col("order_timestamp")).alias("time_key")).agg(F.count(F.lit(1)).alias("n_orders"))
+    used = s.orders().groupBy(time_key(F.col("order_timestamp")).alias("time_key")).agg(F.count(F.lit(1)).alias("n_orders"))
     return dims.time(s.spark).join(used, "time_key", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
 
 
@@ -181,7 +180,7 @@ def dim_menu_item(s: Star) -> DataFrame:
 
 @query
 def bridge_kitchen_brand(s: Star) -> DataFrame:
-    return dims.pairs(s.orders(False), s.kitchen(), s.brand())
+    return dims.pairs(s.orders(), s.kitchen(), s.brand())
 
 
 @query
@@ -259,7 +258,7 @@ def gps_pings(s: Star) -> DataFrame:
 
 @query
 def delivery_trips(s: Star) -> DataFrame:
-    return trips.link_orders(trips.summarise(s.pings()), s.fact_order(False))
+    return trips.link_orders(trips.summarise(s.pings()), s.fact_order())
 
 
 @query
@@ -279,17 +278,17 @@ def rev_brand_day(s: Star) -> DataFrame:
 
 @query
 def delivery_by_zone(s: Star) -> DataFrame:
-    return marts.delivery_by_zone(trips.summarise(s.pings()), s.fact_order(False), s.zone())
+    return marts.delivery_by_zone(trips.summarise(s.pings()), s.fact_order(), s.zone())
 
 
 @query
 def multi_platform_customers(s: Star) -> DataFrame:
-    return marts.multi_platform_customers(s.customer(), s.fact_order(False))
+    return marts.multi_platform_customers(s.customer(), s.fact_order())
 
 
 @query
 def top_customers(s: Star) -> DataFrame:
-    return marts.top_customers(s.customer(), s.fact_order(False))
+    return marts.top_customers(s.customer(), s.fact_order())
 
 
 @query
@@ -319,13 +318,13 @@ def dq_states(s: Star) -> DataFrame:
 
 @query
 def fk_orphans(s: Star) -> DataFrame:
-    f = s.fact_order(False)
+    f = s.fact_order()
     return health.orphans(f, s.kitchen(), "kitchen_key", "kitchen_key").unionByName(health.orphans(f, s.brand(), "brand_key", "brand_key"))
 
 
 @query
 def grain_check(s: Star) -> DataFrame:
-    return health.grain(s.fact_order(False), ["platform_order_id"])
+    return health.grain(s.fact_order(), ["platform_order_id"])
 
 
 @query
@@ -335,23 +334,23 @@ def pii_scan(s: Star) -> DataFrame:
 
 @query
 def freshness(s: Star) -> DataFrame:
-    return health.freshness(s.bronze_orders(False), "ingestion_timestamp", F.lit("2001-08-02 12:00:00").cast("timestamp"))
+    return health.freshness(s.bronze_orders(), "ingestion_timestamp", F.lit("2001-08-02 12:00:00").cast("timestamp"))
 
 
 @query
 def health_verdict(s: Star) -> DataFrame:
-    counts = health.row_counts({"orders": s.orders(False), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
-    return health.verdict(counts.select("status").unionByName(health.grain(s.orders(False), ["platform_order_id"]).select("status")))
+    counts = health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
+    return health.verdict(counts.select("status").unionByName(health.grain(s.orders(), ["platform_order_id"]).select("status")))
 
 
 @query
 def row_counts(s: Star) -> DataFrame:
-    return health.row_counts({"orders": s.orders(False), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
+    return health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
 
 
 @query
 def row_count_drop(s: Star) -> DataFrame:
-    return health.count_drop(s.orders(False), "order_timestamp")
+    return health.count_drop(s.orders(), "order_timestamp")
 
 
 @query
@@ -410,12 +409,12 @@ def stream_upsert(s: Star) -> DataFrame:
 
 @query
 def backfill_range(s: Star) -> DataFrame:
-    return stream.backfill(s.bronze_orders(False), "1996-01-01", "1996-12-31", align.align).groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.sum("order_total_cents").alias("cents"))
+    return stream.backfill(s.bronze_orders(), "1996-01-01", "1996-12-31", align.align).groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.sum("order_total_cents").alias("cents"))
 
 
 @query
 def reconcile_48h(s: Star) -> DataFrame:
-    return stream.reconcile(s.bronze_orders(False), "1999-06-01 12:00:00", 48, align.align).select("platform_order_id", "order_total_cents", "order_timestamp")
+    return stream.reconcile(s.bronze_orders(), "1999-06-01 12:00:00", 48, align.align).select("platform_order_id", "order_total_cents", "order_timestamp")
 
 
 @query
@@ -423,7 +422,7 @@ def jdbc_roundtrip(s: Star) -> DataFrame:
     """Daily order counts written to the bundled in-memory database and read back."""
     url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
     props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    daily = s.orders(False).groupBy(F.to_date("order_timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n_orders"))
+    daily = s.orders().groupBy(F.to_date("order_timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n_orders"))
     done = export.export_tables(s.spark, {"DAILY_ORDERS": daily}, url, props, partitions=1).first()
     if not done["success"]:
         raise RuntimeError(done["error"])

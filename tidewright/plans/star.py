@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, cdc, dims, facts, identity, sensors, trips, vault
+from ..session import shared_folder
 from ..sources import feeds
 from ..sources.bronze import envelope
 
@@ -21,8 +24,20 @@ def load_ts() -> Column:
     return F.lit("2002-01-01 00:00:00").cast("timestamp")
 
 
+#: Paths of the tables written so far, by application, source files and table.
+_WRITTEN: dict[tuple, str] = {}
+SOURCES = ("orders", "lineitem", "events", "part")
+LANDED = ("landed_orders", "landed_states", "landed_sensors", "landed_gps", "landed_menu")
+SILVER = ("silver_orders", "silver_states", "silver_readings", "silver_pings", "silver_menu")
+
+
 class Star:
-    """Lazily composed tables over one directory; nothing runs until a result is asked for."""
+    """The star schema over one directory, layer by layer as in a lake.
+
+    Raw records are landed once and parsed once into silver tables; both are Parquet in the shared
+    folder, written when first asked for and read by every later query of the application while
+    the source files are the same. Everything above silver is composed lazily.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -30,27 +45,81 @@ class Star:
     def table(self, name: str) -> DataFrame:
         return feeds.load(self.spark, self.dir, name)
 
-    def bronze_orders(self, with_items: bool = True) -> DataFrame:
-        return bronze(feeds.order_records(self.spark, self.dir, with_items))
+    def _stamp(self) -> tuple:
+        """Length and time of the source files, so that changed sources are landed anew."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        out = []
+        for name in SOURCES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}.parquet")
+            s = path.getFileSystem(conf).getFileStatus(path)
+            out += [s.getLen(), s.getModificationTime()]
+        return tuple(out)
+
+    def stored(self, name: str) -> DataFrame:
+        """The table ``name`` of LANDED or SILVER, written if it is not there yet."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name, self._stamp())
+        if key not in _WRITTEN:
+            path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            getattr(self, f"_{name}")().write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def _landed_orders(self) -> DataFrame:
+        return bronze(feeds.order_records(self.spark, self.dir))
+
+    def _landed_states(self) -> DataFrame:
+        return bronze(feeds.status_records(self.spark, self.dir))
+
+    def _landed_sensors(self) -> DataFrame:
+        return bronze(feeds.sensor_records(self.spark, self.dir))
+
+    def _landed_gps(self) -> DataFrame:
+        return bronze(feeds.gps_records(self.spark, self.dir))
+
+    def _landed_menu(self) -> DataFrame:
+        return bronze(feeds.menu_records(self.spark, self.dir))
+
+    def _silver_orders(self) -> DataFrame:
+        return align.align(self.bronze_orders())
+
+    def _silver_states(self) -> DataFrame:
+        return align.status_events(self.bronze_orders().unionByName(self.stored("landed_states")))
 
-    def bronze_all_orders(self) -> DataFrame:
-        records = feeds.order_records(self.spark, self.dir, with_items=False).unionByName(feeds.status_records(self.spark, self.dir))
-        return bronze(records)
+    def _silver_readings(self) -> DataFrame:
+        return sensors.clean(self.bronze_sensors())
+
+    def _silver_pings(self) -> DataFrame:
+        return trips.pings(self.bronze_gps())
+
+    def _silver_menu(self) -> DataFrame:
+        return cdc.menu_history(self.bronze_menu())
+
+    def bronze_orders(self) -> DataFrame:
+        return self.stored("landed_orders")
 
     def bronze_sensors(self) -> DataFrame:
-        return bronze(feeds.sensor_records(self.spark, self.dir))
+        return self.stored("landed_sensors")
 
     def bronze_gps(self) -> DataFrame:
-        return bronze(feeds.gps_records(self.spark, self.dir))
+        return self.stored("landed_gps")
 
     def bronze_menu(self) -> DataFrame:
-        return bronze(feeds.menu_records(self.spark, self.dir))
+        return self.stored("landed_menu")
 
-    def orders(self, with_items: bool = True) -> DataFrame:
-        return align.align(self.bronze_orders(with_items))
+    def orders(self) -> DataFrame:
+        return self.stored("silver_orders")
 
     def events(self) -> DataFrame:
-        return align.status_events(self.bronze_all_orders())
+        return self.stored("silver_states")
+
+    def menu(self) -> DataFrame:
+        return self.stored("silver_menu")
+
+    def readings(self) -> DataFrame:
+        return self.stored("silver_readings")
+
+    def pings(self) -> DataFrame:
+        return self.stored("silver_pings")
 
     def kitchen(self) -> DataFrame:
         return dims.from_seed(feeds.kitchens(self.spark, self.dir), "kitchen_id", "kitchen_key")
@@ -65,22 +134,13 @@ class Star:
         return dims.date(self.spark, "1995-01-01", "2001-12-31")
 
     def hub(self) -> DataFrame:
-        return vault.hub_customer(None, self.orders(False), load_ts())
+        return vault.hub_customer(None, self.orders(), load_ts())
 
     def bridge(self) -> DataFrame:
-        return identity.bridge(self.orders(False))
+        return identity.bridge(self.orders())
 
     def customer(self) -> DataFrame:
-        return dims.customer(self.hub(), self.bridge(), self.orders(False))
-
-    def fact_order(self, with_items: bool = True) -> DataFrame:
-        return facts.orders(self.orders(with_items), self.kitchen(), self.brand(), self.zone(), facts.final_state(self.events()))
+        return dims.customer(self.hub(), self.bridge(), self.orders())
 
-    def menu(self) -> DataFrame:
-        return cdc.menu_history(self.bronze_menu())
-
-    def readings(self) -> DataFrame:
-        return sensors.clean(self.bronze_sensors())
-
-    def pings(self) -> DataFrame:
-        return trips.pings(self.bronze_gps())
+    def fact_order(self) -> DataFrame:
+        return facts.orders(self.orders(), self.kitchen(), self.brand(), self.zone(), facts.final_state(self.events()))

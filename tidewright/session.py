@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +35,13 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
             "spark.ui.showConsoleProgress": "false",
         } | conf),
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one of ``spark.checkpoint.dir``. Only on a
+    local master, where it may be unset, a new local one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")

@@ -45,7 +45,7 @@ def _record(df: DataFrame, topic: str, key: Column, payload: Column, offset: Col
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartition("o_orderkey")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
         k.alias("k"),
@@ -99,7 +99,7 @@ def status_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sensor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings: every hundredth without a value, every thirty-third sent twice."""
-    e, c = load(spark, sf_dir, "events"), F.col
+    e, c = load(spark, sf_dir, "events").repartition("event_id"), F.col
     kind = F.when(c("event_type") == "error", "humidity").when(c("event_type") == "purchase", "fryer_timer").when(c("event_type") == "click", "cooler_door").otherwise("temperature")
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.withColumn("copy", F.explode(F.when(c("event_id") % 33 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
@@ -118,7 +118,7 @@ def sensor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gps_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Courier positions: one delivery per user and day, every fiftieth ping sent twice."""
-    e, c = load(spark, sf_dir, "events"), F.col
+    e, c = load(spark, sf_dir, "events").repartition("event_id"), F.col
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.withColumn("copy", F.explode(F.when(c("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     payload = F.to_json(F.struct(
