@@ -1,4 +1,4 @@
-"""Main text of web pages: roles, then removal of site templates by subtree hashes."""
+"""Main text of web pages: site templates by subtree hashes, then what its role puts outside the article."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
@@ -32,19 +32,29 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Elements that hold no article text, and words that say so in a class, id or role.
-OUTSIDE = frozenset("nav aside footer form button dialog menu search head fieldset label".split())
+#: Elements that hold no article text. An article or main element in one of the first kind is a
+#: side piece, unless the page has no other.
+ASIDE = frozenset("nav aside footer".split())
+OUTSIDE = ASIDE | frozenset("form button dialog menu search head fieldset label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NAMES = frozenset(
+#: Words of a class or id that name such a part, and words that may stand beside them in the name.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+NAMES = COMMENTS | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu "
-    "breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies share sharing social related recommended "
-    "widget toolbar pagination pager form hidden".split()
+    "breadcrumb breadcrumbs footer header masthead share sharing social related recommended widget toolbar pagination pager teaser".split()
 )
-ARTICLE_NAMES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
+LAYOUT = frozenset(
+    "area bar block body box btn button buttons container content global group holder inner item items left link links list main outer page panel "
+    "pane policy post posts primary region right secondary section site slot space top bottom unit wrap wrapper".split()
+)
+#: Names that are no outside part within an article, where a header holds the title.
+TITLE_NAMES = frozenset("header masthead".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Inside an article only such containers can be template; its paragraphs, headings and lists are text.
 CONTAINERS = frozenset("div section aside header".split())
+#: Elements whose id counts beside their class, and what is hashed beside an article.
+BOXES = CONTAINERS | frozenset("nav footer form table ul ol".split())
 
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -57,62 +67,129 @@ ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _is_outside(tag: str, attrs: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _named(value: str, words: frozenset[str]) -> set[str]:
+    """The words of a class or id that name an outside part: all parts of a name are such words or
+    words of layout. So ``comment-list`` names one, and ``comment-on-law``, ``has-sidebar`` do not."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = [p.lower() for p in PARTS.split(name) if p]
+        said = words.intersection(parts)
+        if said and all(p in words or p in LAYOUT or (p.isdigit() and said <= COMMENTS) for p in parts):
+            found |= said
+    return found
+
+
+@dataclass
+class Element:
+    """An element that is open or was: blocks from ``first`` to ``end``, and why it may be outside:
+    ``tag`` (what it is), ``hidden``, or ``name`` (its class or id)."""
+
+    tag: str
+    parent: int
+    first: int
+    why: str
+    end: int = 0
+    comments: bool = False
+
+
+def _reason(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
+    """Why an element may be outside the article, and whether it says that it holds comments."""
+    why = "tag" if tag in OUTSIDE or (tag == "header" and not in_article) else ""
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
-        return False
+        return why, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
-    if found.get("role", "").strip().lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if "display:none" in found.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-        return True
-    names = ARTICLE_NAMES if tag == "article" else NAMES
-    for value in f"{found.get('class', '')} {found.get('id', '')}".split():
-        parts = [p.lower() for p in PARTS.split(value) if p]
-        if parts and (parts[0] in names or parts[-1] in names):
-            return True
-    return False
+    bare = ATTR.sub(" ", attrs).lower().split()
+    if "hidden" in found or "hidden" in bare or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return "hidden", False
+    if found.get("role", "").strip().lower() in ROLES:
+        return why or "tag", False
+    if tag in HEADINGS:
+        return why, False
+    value = found.get("class", "") + (" " + found.get("id", "") if tag in BOXES or tag == "article" else "")
+    said = _named(value, NAMES - TITLE_NAMES if in_article or tag == "article" else NAMES)
+    return why or ("name" if said else ""), bool(said & COMMENTS)
 
 
 @dataclass
 class Page:
-    """Text blocks in page order, whether each lies in an article or main element, and subtrees
-    as (tag, first block, end, inside an article)."""
+    """Text blocks in page order with the element each lies in, and all elements (0 is the page)."""
 
     blocks: list[str]
-    place: list[int]
-    subtrees: list[tuple[str, int, int, bool]]
+    owner: list[int]
+    elements: list[Element]
+
+    def settle(self) -> None:
+        """Decide which blocks are outside, and which lie in an article (2) or main element (1).
+
+        An element that holds the page's article, or most of the text of a page without one, is
+        never outside by its name or as a form; nor as a side element if the page has no other.
+        """
+        es = self.elements
+        own = [bool(e.why) for e in es]
+        held = [False] * len(es)  # holds an article or main that is not outside by itself
+        free = False
+        for i, e in enumerate(es):
+            if e.tag in ("article", "main") and not own[i]:
+                k, side = e.parent, False
+                while k >= 0:
+                    held[k] = True
+                    side |= es[k].tag in ASIDE or es[k].why == "hidden" or (es[k].why == "name" and es[k].comments)
+                    k = es[k].parent
+                free |= not side
+        size = [0]
+        for b in self.blocks:
+            size.append(size[-1] + len(b))
+        out = [False] * len(es)
+        level = [0] * len(es)
+        has_main = any(held)
+        for i, e in enumerate(es):
+            up = e.parent
+            gone = own[i]
+            if gone and e.why != "hidden":
+                aside = e.tag in ASIDE or e.comments
+                if held[i] and not (aside and free):
+                    gone = False
+                elif not has_main and not aside and e.tag != "head" and (e.why == "name" or e.tag in ("form", "fieldset", "label")):
+                    gone = 2 * (size[e.end] - size[e.first]) <= size[-1]
+            out[i] = gone or (up >= 0 and out[up])
+            level[i] = max(level[up] if up >= 0 else 0, 0 if out[i] else 2 if e.tag == "article" else int(e.tag == "main"))
+        self.outside = [out[k] for k in self.owner]
+        self.place = [level[k] for k in self.owner]
+        self.level = level
 
     def main(self) -> list[int]:
-        """The blocks of the article, else of the main element, else of the whole page."""
-        for level in (2, 1):
-            got = [i for i, p in enumerate(self.place) if p >= level]
+        """The blocks of the article, else of the main element, else of the whole page, without what is outside."""
+        for least in (2, 1, 0):
+            got = [i for i, p in enumerate(self.place) if p >= least and not self.outside[i]]
             if got:
                 return got
-        return list(range(len(self.blocks)))
+        return []
 
     def hashes(self) -> list[tuple[int, int, int]]:
-        """(hash, first block, end) of the subtrees that may be template."""
+        """(hash, first block, end) of the subtrees that may be template: beside the article all,
+        menus and footers too, in it its containers but not the article itself."""
         has_main = any(self.place)
+        most = len(self.main())
         out = []
-        for tag, a, b, inside in self.subtrees:
-            if b > a and (tag in CONTAINERS if inside else not has_main or tag in BLOCK):
-                if inside and b - a == len(self.main()):
+        for e, level in zip(self.elements[1:], self.level[1:], strict=True):
+            a, b = e.first, e.end
+            if b > a and e.tag in (CONTAINERS if level == 2 else BOXES if has_main else BLOCK):
+                if level == 2 and b - a >= most:
                     continue  # the whole article
-                out.append((xxhash.xxh64_intdigest("\n".join([tag, *self.blocks[a:b]])) - (1 << 63), a, b))
+                out.append((xxhash.xxh64_intdigest("\n".join([e.tag, *self.blocks[a:b]])) - (1 << 63), a, b))
         return out
 
 
 def parse(text: str | None) -> Page:
-    """Blocks of a page without the elements that are outside the article by their role.
+    """All blocks of a page and its elements, with what is outside the article by its role.
 
     Reads tags with the implied ends that matter for text; never fails: unknown or unfinished
     markup at the end of the page is dropped, character references are decoded.
     """
-    page, buf = Page([], [], []), []
-    # open elements: tag, outside, place (2 article, 1 main), first block
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+    page, buf = Page([], [], [Element("", -1, 0, "")]), []
+    # open elements: tag, number in the page, whether inside an article, whether its own text is
+    # outside (inline elements alone: the text around them stays one block), number of its block
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
 
     def flush() -> None:
         if buf:
@@ -120,18 +197,19 @@ def parse(text: str | None) -> Page:
             buf.clear()
             if t:
                 page.blocks.append(t)
-                page.place.append(stack[-1][2])
+                page.owner.append(stack[-1][4])
 
     def close(to: int) -> None:
         while len(stack) > to:
-            if stack[-1][0] in BLOCK:
+            tag, k = stack[-1][:2]
+            if tag in BLOCK:
                 flush()
-            tag, outside, place, first = stack.pop()
-            if tag in BLOCK and not outside:
-                page.subtrees.append((tag, first, len(page.blocks), place == 2))
+            if k != stack[-2][1]:
+                page.elements[k].end = len(page.blocks)
+            stack.pop()
 
     def say(t: str) -> None:
-        if t and not stack[-1][1]:
+        if t and not stack[-1][3]:
             buf.append(entities.unescape(t) if "&" in t else t)
 
     text, at = text or "", 0
@@ -178,14 +256,19 @@ def parse(text: str | None) -> Page:
             flush()
         if tag in VOID:
             continue
-        outside = stack[-1][1] or _is_outside(tag, m["attrs"])
-        place = 2 if tag == "article" else max(stack[-1][2], int(tag == "main"))
-        if tag == "header" and not outside and place < 2:
-            outside = True
-        stack.append((tag, outside, place, len(page.blocks)))
+        _, up, in_article, mute, owner = stack[-1]
+        why, comments = _reason(tag, m["attrs"], in_article)
+        if tag in BLOCK or why:
+            page.elements.append(Element(tag, up, len(page.blocks), why, 0, comments))
+            up = len(page.elements) - 1
+            mute = tag not in BLOCK
+            owner = owner if mute else up
+        stack.append((tag, up, in_article or (tag == "article" and not why), mute, owner))
     say(text[at:])
     close(1)
     flush()
+    page.elements[0].end = len(page.blocks)
+    page.settle()
     return page
 
 
@@ -200,10 +283,14 @@ def host_of(url: str | None) -> str:
 @dataclass(frozen=True)
 class TemplateRule:
     """A subtree is template if it stands beside ``min_pages`` different main texts of its host at
-    least, and beside ``min_share`` of them."""
+    least, and beside ``min_share`` of them or beside ``many``, whatever the host's size."""
 
     min_pages: int = 5
     min_share: float = 0.2
+    many: int = 100
+
+    def needed(self, pages: Column) -> Column:
+        return F.greatest(F.lit(self.min_pages), F.least(F.lit(self.many), F.ceil(self.min_share * pages)))
 
 
 def templates(pages: DataFrame, rule: TemplateRule = TemplateRule(), url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -228,7 +315,7 @@ def templates(pages: DataFrame, rule: TemplateRule = TemplateRule(), url_column:
     counts = rows.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     all_pages = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
     many = counts.filter((F.col("hash").isNotNull()) & (F.col("n") >= rule.min_pages))
-    return many.join(all_pages, "host").filter(F.col("n") >= rule.min_share * F.col("pages")).select("host", "hash")
+    return many.join(all_pages, "host").filter(F.col("n") >= rule.needed(F.col("pages"))).select("host", "hash")
 
 
 #: Templates up to this many rows (16 bytes and a host name each) are sent to every task.
