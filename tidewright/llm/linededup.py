@@ -84,11 +84,12 @@ def maximal_runs(levels: list[DataFrame], run: int) -> DataFrame | None:
     for k in reversed(range(len(levels) - 1)):
         here = levels[k].select(F.col("doc").alias("a_doc"), F.col("tie").alias("a_tie"), F.col("at").alias("a_at"), F.col("rank").alias("a"))
         there = levels[k].select(F.col("doc").alias("b_doc"), F.col("tie").alias("b_tie"), F.col("at").alias("b_at"), F.col("rank").alias("b"))
-        deeper, done = starts.filter(F.col("k") > k), starts.filter(F.col("k") <= k)
-        found = deeper.join(here, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("tie") == F.col("a_tie")) & (F.col("at") + F.col("length") == F.col("a_at")), "left")
-        found = found.join(there, F.col("first_doc").eqNullSafe(F.col("b_doc")) & (F.col("first_tie") == F.col("b_tie")) & (F.col("first_at") + F.col("length") == F.col("b_at")), "left")
+        # a source found at this depth or above shares no more lines than that here: its key is null
+        goes_on = F.when(F.col("k") > k, F.col("length"))
+        found = starts.join(here, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("tie") == F.col("a_tie")) & (F.col("at") + goes_on == F.col("a_at")), "left")
+        found = found.join(there, F.col("first_doc").eqNullSafe(F.col("b_doc")) & (F.col("first_tie") == F.col("b_tie")) & (F.col("first_at") + goes_on == F.col("b_at")), "left")
         found = found.withColumn("length", F.col("length") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0))
-        starts = found.select(*starts.columns).unionByName(done)
+        starts = cut(found.select(*starts.columns)) if k % 3 == 0 else found.select(*starts.columns)
     reach = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = starts.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("at") + F.col("length") > F.col("reach")))
     return runs.select(*HERE, "length", *FIRST)
@@ -99,7 +100,6 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, alone: int | None)
     text = F.col(text_column)
     worded = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _with_word)
     lines = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(worded).alias("at", "line"))
-    # a line of n words has 2n - 1 characters: short ones are not split
     is_long = F.lit(False) if alone is None else (F.length("line") >= 2 * alone - 1) & (F.size(words_of(F.col("line"))) >= alone)
     return cut(lines.select(*HERE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), is_long.alias("long")).distinct())
 
