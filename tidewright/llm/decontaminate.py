@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, slices, table
@@ -15,7 +15,8 @@ from .common import cut, fresh, slices, table
 WINDOW = 10
 #: Test items are searched in blocks of this many bytes; one block is what a task holds of them.
 BLOCK_BYTES = 16 << 20
-STATE = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+#: A longest verbatim match: words [start, start + length) of the document are words [item_start, ...) of the item.
+MATCH = "struct<item:string,item_start:bigint,start:bigint,length:bigint>"
 
 _ORD = np.arange(256)
 #: Lower-cased bytes of words, 0 for separators: ASCII letters and digits, and all bytes of non-ASCII characters.
@@ -68,7 +69,8 @@ def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Test:
-    """A block of items: their vocabulary, and each distinct window with the items that hold it."""
+    """A block of items: their vocabulary, and the distinct heads of their suffixes (``window`` words,
+    or a shorter item whole) with every (item, place) where such a suffix starts."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         data = [(t or "").encode("utf-8", "surrogatepass") for _, t in items]
@@ -76,22 +78,23 @@ class Test:
         self.names, self.window = [i for i, _ in items], window
         self.vocabulary = np.unique(hashes)
         ids = np.searchsorted(self.vocabulary, hashes) + 1
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         at = 0
         for i, n in enumerate(counts.tolist()):
             words = ids[at : at + n].tolist()
             at += n
             for k in range(max(1, n - window + 1) if n else 0):
-                found.setdefault(tuple(words[k : k + window]), set()).add(i)
+                found.setdefault(tuple(words[k : k + window]), []).append((i, k))
         windows = sorted(found)
         self.length = np.fromiter(map(len, windows), np.int64, len(windows))
         self.words = np.zeros((len(windows), window), np.int64)
         for k, w in enumerate(windows):
             self.words[k, : len(w)] = w
-        owners = [sorted(found[w]) for w in windows]
+        owners = [found[w] for w in windows]
         self.owner_count = np.fromiter(map(len, owners), np.int64, len(owners))
         self.owner_start = np.cumsum(self.owner_count) - self.owner_count
-        self.owner = np.fromiter((i for o in owners for i in o), np.int64, int(self.owner_count.sum()))
+        flat = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
+        self.owner, self.place = flat[:, 0], flat[:, 1]
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -157,56 +160,45 @@ def search_shard(hashes: np.ndarray, counts: np.ndarray, test: Test) -> tuple[np
     return owner, at - owner - first[owner], window
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of word spans inside each document."""
-    if not len(doc):
-        return doc, start, end
-    order = np.lexsort((end, start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    far = np.int64(1 << 40)
-    reach = np.maximum.accumulate(doc * far + end)
+def longest_matches(doc: np.ndarray, start: np.ndarray, window: np.ndarray, test: Test) -> tuple[np.ndarray, ...]:
+    """Longest matches (document, item, place in the item, first word, words) from where suffix heads occur.
+
+    Suffixes of one item that start one word after the other, and occur one word after the other,
+    are one match: it goes on to the last head and the words behind it.
+    """
+    n = test.owner_count[window]
+    pick = _ranges(test.owner_start[window], n)
+    doc, start, length = (np.repeat(x, n) for x in (doc, start, test.length[window]))
+    item, place = test.owner[pick], test.place[pick]
+    order = np.lexsort((start, start - place, item, doc))
+    doc, item, place, start, length = doc[order], item[order], place[order], start[order], length[order]
     new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] * far + start[1:] > reach[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - place[1:] != start[:-1] - place[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
     tail = np.append(at[1:], len(doc)) - 1
-    return doc[at], start[at], reach[tail] - doc[at] * far
+    return doc[at], item[at], place[at], start[at], start[tail] + length[tail] - start[at]
 
 
-def search(docs: DataFrame, test: Test, text_column: str) -> DataFrame:
-    """Add to the state columns what one block of items finds; narrow, documents keep their rows."""
+def search(docs: DataFrame, test: Test, text_column: str, n_words: str, found: str) -> DataFrame:
+    """Add to the columns ``n_words`` and ``found`` what one block of items finds; narrow, documents keep their rows."""
     shared = docs.sparkSession.sparkContext.broadcast(test)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, split = shared.value, Words()
-        labels = np.array(test.names, object)
         for b in slices(batches, text_column, 2 << 20):
             hashes, counts = split.split(*_bytes_of(b.column(text_column)))
-            doc, start, window = search_shard(hashes, counts, test)
-            d, s, e = _merged(doc, start, start + test.length[window])
-            pair = np.unique(np.repeat(doc, test.owner_count[window]) * len(labels) + test.owner[_ranges(test.owner_start[window], test.owner_count[window])])
-            spans = b.column("spans").to_pylist()
-            items = b.column("items").to_pylist()
-            for i in np.unique(d).tolist():
-                spans[i] = _union(spans[i], [{"start": x, "end": y} for x, y in zip(s[d == i].tolist(), e[d == i].tolist(), strict=True)])
-                items[i] = sorted({*items[i], *labels[pair[pair // len(labels) == i] % len(labels)]})
+            rows = longest_matches(*search_shard(hashes, counts, test), test)
+            lists = b.column(found).to_pylist()
+            for i, item, place, start, length in zip(*[x.tolist() for x in rows], strict=True):
+                lists[i].append({"item": test.names[item], "item_start": place, "start": start, "length": length})
             cols = dict(zip(b.schema.names, b.columns, strict=True))
-            cols |= {"n_words": pa.array(counts), "spans": pa.array(spans, b.schema.field("spans").type), "items": pa.array(items, pa.list_(pa.string()))}
+            cols |= {n_words: pa.array(counts), found: pa.array(lists, b.schema.field(found).type)}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _union(a: list[dict], b: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for x in sorted([*a, *b], key=lambda x: (x["start"], x["end"])):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
-
-
 def blocks(bench: DataFrame, item_column: str = "item_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES, window: int = WINDOW) -> Iterator[Test]:
     """The test set in blocks of a checked size: what any task or the driver holds of it at once."""
     items = bench.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("i"), F.col(text_column).alias("t"))
@@ -217,44 +209,77 @@ def blocks(bench: DataFrame, item_column: str = "item_id", text_column: str = "t
         yield Test([(r["i"], r["t"]) for r in part.collect()], window)
 
 
-def matches(docs: DataFrame, bench: DataFrame, text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` plus n_words, spans (merged runs of words inside longest verbatim matches) and items.
+def matches(docs: DataFrame, bench: DataFrame, text_column: str = "text", block_bytes: int = BLOCK_BYTES, n_words: str = "n_words", found: str = "matches") -> DataFrame:
+    """``docs`` plus the columns ``n_words`` and ``matches``: the longest verbatim matches of ten words
+    or more (or of a shorter item, whole) with items: item, item_start, start, length, in words.
 
     A shard is a run of documents of about 2 MB in one task; its suffix array over word ids is
-    sorted by prefix doubling and every test window is binary-searched in it. A test set of one
-    block takes one narrow pass; a larger one takes a pass for each block, with the state written
-    to the checkpoint folder between passes. Words are told apart by a 64-bit hash.
+    sorted by prefix doubling. Every test suffix is binary-searched in it by its first ten
+    words, the least that counts, and what suffixes of an item find in a row is one longest
+    match. A test set of one block takes one narrow pass; a larger one takes a pass for each
+    block, with the state written to the checkpoint folder between passes. Words are told apart
+    by a 64-bit hash.
 
     Null and empty texts have no words; an empty test set finds nothing; copies of a passage are
-    found in every document; repeated rows each get their result.
+    found in every document; repeated rows each get their result. The two names can be chosen
+    where columns of ``docs`` clash with them; a clash is an error.
     """
-    clash = {"n_words", "spans", "items"} & {c.lower() for c in docs.columns}
+    clash = {n_words.lower(), found.lower()} & {c.lower() for c in docs.columns}
     if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    state = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "items": F.array().cast("array<string>")})
+        raise ValueError(f"rename the columns {sorted(clash)} first, or choose other names")
+    state = docs.withColumns({n_words: F.lit(0).cast("bigint"), found: F.array().cast(f"array<{MATCH}>")})
     for k, test in enumerate(blocks(bench, text_column="text", block_bytes=block_bytes)):
-        state = search(cut(state) if k else state, test, text_column)
+        state = search(cut(state) if k else state, test, text_column, n_words, found)
     return state
 
 
+def n_hit(found: Column) -> Column:
+    """Words inside any match: matches in order of their start, each counted from where the last ended."""
+    ends = F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("a"), (m["start"] + m["length"]).alias("b"))))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], acc["at"]))).alias("n"), F.greatest(acc["at"], x["b"]).alias("at"))
+    return F.aggregate(ends, zero, step, lambda acc: acc["n"])
+
+
 def remove_contaminated(docs: DataFrame, bench: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without a word inside a test window, columns unchanged (any names)."""
-    inner = fresh(docs, "__row")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(inner), F.col(text_column).alias("__text"))
-    found = matches(packed, bench, "__text")
-    return found.filter(F.size("spans") == 0).select(f"{inner}.*")
+    inner, text = fresh(docs, "__row"), fresh(docs, "__text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(inner), F.col(text_column).alias(text))
+    return matches(packed, bench, text).filter(F.size("matches") == 0).select(f"{inner}.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = matches(docs, table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    hit = n_hit(F.col("matches"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0).cast("long"))
     return found.select(
-        "doc_id",
-        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
-        hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"), longest.alias("longest_match"),
     )
+
+
+#: DuckDB SQL for the query above, window by window.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g, k FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))
+), hit AS (
+  SELECT dw.r, dw.i, dw.n, bw.item_id, bw.k FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g
+), runs AS (
+  SELECT r, max(n) + count(*) - 1 AS m FROM (SELECT DISTINCT *, i - row_number() OVER (PARTITION BY r, item_id, i - k ORDER BY i) AS s FROM (SELECT DISTINCT * FROM hit)) GROUP BY r, item_id, i - k, s
+), n AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
+), its AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+), l AS (SELECT r, max(m) AS m FROM runs GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(m, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r) LEFT JOIN l USING (r)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op2_quality": quality.SQL, "op9_line_dedup": linededup.SQL}
+ORACLES = {"op2_quality": quality.SQL, "op7_decontamination": decontaminate.SQL, "op9_line_dedup": linededup.SQL}
