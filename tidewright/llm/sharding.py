@@ -3,136 +3,164 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, table
 
-CELLS = 512
+#: Cells of one search pass. Boxes of a level up to BROADCAST_BOXES (about 100 bytes each) are sent to every task.
+CELLS, BROADCAST_BOXES = 4096, 20_000
+LEAST = -(1 << 63)
+#: Depth of a cut's key: the dimension, then the text's hash, then the row.
+KEYS = ("value", "tie", "row")
 
 
-@dataclass
-class Node:
-    """A box of the tree. A split sends a row left if (x, tie, row) is below (v, t, r)."""
+def _with_boxes(rows: DataFrame, boxes: DataFrame, n_boxes: int) -> DataFrame:
+    return rows.join(F.broadcast(boxes) if n_boxes <= BROADCAST_BOXES else boxes, "box")
 
-    name: int
-    shards: int
-    first: int
-    dim: str | None = None
-    at: tuple[int, int, int] | None = None
-    left: Node | None = None
-    right: Node | None = None
-    # state of a running search for the cut
-    phase: int = 0
-    fixed: list[int] = field(default_factory=list)
-    low: int = 0
-    high: int = 0
-    before: int = 0
 
+def _value(dims: list[str]) -> Column:
+    out = F.col(dims[0])
+    for i, d in enumerate(dims[1:], 1):
+        out = F.when(F.col("dim") == i, F.col(d)).otherwise(out)
+    return out
 
-def _below(node: Node) -> Column:
-    keys, cond = (F.col(node.dim), F.col("__tie"), F.col("__row")), F.lit(False)
-    for k in reversed(range(3)):
-        cond = (keys[k] < F.lit(node.at[k])) | ((keys[k] == F.lit(node.at[k])) & cond)
-    return cond
 
+def _open_boxes(rows: DataFrame, dims: list[str], shards: DataFrame, width: dict[str, int]) -> DataFrame:
+    """What a search needs of each box with more than one shard: its widest dimension (its range over
+    the whole table's), the range there, and the bytes that go left."""
+    spans = rows.groupBy("box").agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    ranges = [F.struct(((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.lit(width[d])).alias("share"), F.lit(-i).alias("dim"), F.col(f"lo_{d}").alias("low"), F.col(f"hi_{d}").alias("high")) for i, d in enumerate(dims)]
+    widest = F.array_max(F.array(*ranges))
+    df = shards.filter("shards > 1").join(spans.withColumn("widest", widest), "box")
+    half = F.floor(F.col("shards") / 2)
+    return df.select(
+        "box", "shards", "first", (-F.col("widest.dim")).alias("dim"), F.lit(0).alias("phase"), F.col("widest.low").alias("low"), F.col("widest.high").alias("high"),
+        F.lit(0).cast("long").alias("before"), (F.col("w") * half / F.col("shards")).alias("goal"), *[F.lit(LEAST).alias(f"at_{k}") for k in KEYS], F.lit(False).alias("found"),
+    )
 
-def _place(node: Node, leaf: str) -> Column:
-    if node.left is None:
-        return F.lit(getattr(node, leaf))
-    return F.when(_below(node), _place(node.left, leaf)).otherwise(_place(node.right, leaf))
 
+def _narrow(rows: DataFrame, boxes: DataFrame, n_boxes: int, dims: list[str], slack: float) -> DataFrame:
+    """One pass: the search interval of every box shrinks to the cell that holds its goal.
 
-def _by_node(nodes: list[Node], value) -> Column:
-    out = F.lit(None)
-    for n in nodes:
-        out = F.when(F.col("__node") == n.name, value(n)).otherwise(out)
+    ``at_value``, ``at_tie`` and ``at_row`` hold what is fixed so far, and the cut once ``found``.
+    Cells are summed with map-side aggregation; at most CELLS sums of one box meet in a task.
+    """
+    c = F.col
+    todo = boxes.filter("not found")
+    near = _with_boxes(rows, todo, n_boxes).withColumn("value", _value(dims))
+    fixed = ((c("phase") < 1) | (c("value") == c("at_value"))) & ((c("phase") < 2) | (c("tie") == c("at_tie")))
+    key = F.when(c("phase") == 0, c("value")).when(c("phase") == 1, c("tie")).otherwise(c("row"))
+    near = near.withColumn("key", key).filter(fixed & c("key").between(c("low"), c("high")))
+    # a distance between two hashes may exceed a long; close ones need its exactness
+    width = c("high").cast("double") - c("low").cast("double")
+    away = F.when(width < float(1 << 62), (c("key") - c("low")).cast("double")).otherwise(c("key").cast("double") - c("low").cast("double"))
+    share = away * F.lit(CELLS) / (F.when(width < float(1 << 62), (c("high") - c("low")).cast("double")).otherwise(width) + 1)
+    cell = F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    cells = near.groupBy("box", cell.alias("cell")).agg(F.sum("size").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    upto = F.sum("w").over(Window.partitionBy("box").orderBy("cell"))
+    hit = cells.withColumn("upto", upto).join(todo.select("box", "before", "goal"), "box").filter(c("before") + c("upto") >= c("goal") - 0.5)
+    hit = hit.groupBy("box").agg(F.min(F.struct("cell", "w", "lo", "hi", "upto")).alias("h"))
+    df = todo.join(hit, "box")
+    below = c("before") + c("h.upto") - c("h.w")  # bytes before the cell
+    short, over = c("goal") - below, c("before") + c("h.upto") - c("goal")
+    one = c("h.lo") == c("h.hi")
+    last = one & (c("phase") == 2)
+    left = (short <= slack) | (last & (short <= over))  # cut before the cell
+    right = ~left & ((over <= slack) | last) & (c("h.hi") < (1 << 63) - 1)  # cut behind it
+    deeper = ~left & ~right & one
+    cut_at = F.when(left, c("h.lo")).when(right, c("h.hi") + 1)
+    at = {}
+    for i, k in enumerate(KEYS):
+        at[f"at_{k}"] = F.when(c("phase") == i, F.coalesce(cut_at, F.when(deeper, c("h.lo")), F.lit(LEAST))).otherwise(c(f"at_{k}"))
+    news = {
+        "found": left | right, "phase": F.when(deeper, c("phase") + 1).otherwise(c("phase")),
+        "low": F.when(deeper, F.lit(LEAST)).otherwise(c("h.lo")), "high": F.when(deeper, F.lit((1 << 63) - 1)).otherwise(c("h.hi")), "before": below, **at,
+    }
+    return boxes.filter("found").unionByName(df.select("box", "shards", "first", "dim", "goal", *[v.cast(boxes.schema[k].dataType).alias(k) for k, v in news.items()]))
+
+
+def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.001) -> DataFrame:
+    """Rows of ``meta`` (the dims, tie, row and size) with their ``shard``.
+
+    The tree is a table, one row per box, and rows carry the number of theirs: each level
+    chooses every box's widest dimension and finds all weighted medians at once: a pass sums
+    bytes in CELLS cells per box, keeps the cell that holds the median and looks closer, until
+    the cell is one value. Rows of one value are then cut by text, and rows of one text by row,
+    the same way; a cut that is off by less than ``tolerance`` of a shard is taken as it is, so
+    equal texts part only where they must. The driver learns how many boxes are still open, and
+    nothing of their content, so any number of shards takes the logarithm of it in levels.
+    """
+    spans = meta.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("w")).first()
+    if n_shards < 2 or spans["w"] is None:
+        return meta.withColumn("shard", F.lit(0))
+    slack = tolerance * spans["w"] / n_shards
+    width = {d: max(1, spans[f"hi_{d}"] - spans[f"lo_{d}"]) for d in dims}
+    spark = meta.sparkSession
+    rows = meta.withColumn("box", F.lit(1).cast("long"))
+    shards = spark.createDataFrame([(1, n_shards, 0)], "box long, shards int, first int")
+    done: list[DataFrame] = []
+    n_boxes = 1
+    while True:
+        boxes = cut(_open_boxes(rows, dims, shards, width))
+        while not boxes.filter("not found").isEmpty():
+            boxes = cut(_narrow(rows, boxes, n_boxes, dims, slack))
+        low = F.lit(False)
+        for k in reversed(KEYS):
+            low = (F.col(k) < F.col(f"at_{k}")) | ((F.col(k) == F.col(f"at_{k}")) & low)
+        half = F.floor(F.col("shards") / 2).cast("int")
+        parted = _with_boxes(rows, boxes, n_boxes).withColumn("value", _value(dims)).withColumn("low_side", low)
+        parted = parted.select(*meta.columns, F.when(F.col("low_side"), 2 * F.col("box")).otherwise(2 * F.col("box") + 1).alias("box"), F.when(F.col("low_side"), half).otherwise(F.col("shards") - half).alias("n"), F.when(F.col("low_side"), F.col("first")).otherwise(F.col("first") + half).alias("f"))
+        parted = cut(parted)
+        done.append(parted.filter("n = 1").select(*meta.columns, F.col("f").alias("shard")))
+        shards = boxes.select(F.inline(F.array(F.struct((2 * F.col("box")).alias("box"), half.alias("shards"), "first"), F.struct((2 * F.col("box") + 1).alias("box"), (F.col("shards") - half).alias("shards"), (F.col("first") + half).alias("first")))))
+        n_boxes *= 2
+        if n_boxes >= n_shards:
+            break
+        rows = parted.filter("n > 1").drop("n", "f")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
     return out
 
 
-def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.001) -> Node:
-    """Split until every leaf is one shard; ``meta`` has the dims, __tie, __row and size.
+def level_out(placed: DataFrame, n_shards: int, tolerance: float = 0.01, rounds: int = 12) -> DataFrame:
+    """Move single rows between shards until all are within ``tolerance`` of the mean.
 
-    Each level chooses every box's widest dimension (its range over the whole table's) and finds
-    all weighted medians at once: a pass sums bytes in CELLS cells per box, keeps the cell that
-    holds the median and looks closer, until the cell is one value. Rows of one value are then
-    cut by text, and rows of one text by row, the same way; a cut that is off by less than
-    ``tolerance`` of a shard is taken as it is, so equal texts part only where they must. The
-    driver sees at most CELLS sums for each box of a level, whatever the table's size.
+    The medians of a tree are as exact as its rows are small; where one row is a good part of a
+    shard, the fullest shard gives the emptiest the row nearest to what both lack, the next
+    fullest the next emptiest, and so on: one map-side-combined aggregation a round, one row a
+    shard. Tables of many rows per shard need no round.
     """
-    spans = meta.agg(*[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))], F.sum("size").alias("w")).first()
-    root = Node(0, n_shards, 0)
-    if spans["w"] is None:
-        root.shards = 1
-        return root
-    slack = tolerance * spans["w"] / n_shards
-    width = {d: max(1, spans[f"hi_{d}"] - spans[f"lo_{d}"]) for d in dims}
-    level, names = [root], 1
-    while level := [n for n in level if n.shards > 1]:
-        named = meta.withColumn("__node", _place(root, "name"))
-        rows = named.groupBy("__node").agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        stats = {r["__node"]: r for r in rows}
-        goal: dict[int, float] = {}
-        for n in level:
-            if (s := stats.get(n.name)) is None:
-                n.dim, n.at = dims[0], (0, 0, 0)
-                continue
-            n.dim = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / width[d])
-            n.low, n.high, goal[n.name] = s[f"lo_{n.dim}"], s[f"hi_{n.dim}"], s["w"] * (n.shards // 2) / n.shards
-        while running := [n for n in level if n.at is None]:
-            _narrow(named, running, goal, slack)
-        below = []
-        for n in level:
-            half = n.shards // 2
-            n.left, n.right = Node(names, half, n.first), Node(names + 1, n.shards - half, n.first + half)
-            names += 2
-            below += [n.left, n.right]
-        level = below
-    return root
-
-
-def _narrow(named: DataFrame, nodes: list[Node], goal: dict[int, float], slack: float) -> None:
-    """One pass: every box's search interval shrinks to the cell that holds its goal."""
-    key = _by_node(nodes, lambda n: F.col((n.dim, "__tie", "__row")[n.phase]))
-    inside = F.lit(False)
-    for n in nodes:
-        same = F.lit(True)
-        for col, v in zip((n.dim, "__tie"), n.fixed, strict=False):
-            same &= F.col(col) == F.lit(v)
-        inside |= (F.col("__node") == n.name) & same & F.col((n.dim, "__tie", "__row")[n.phase]).between(n.low, n.high)
-    def scaled(n: Node) -> Column:
-        k = F.col((n.dim, "__tie", "__row")[n.phase])
-        wide = n.high - n.low >= 1 << 62  # then the distance may exceed a long
-        away = k.cast("double") - F.lit(float(n.low)) if wide else (k - F.lit(n.low)).cast("double")
-        return F.floor(away * F.lit(CELLS / (n.high - n.low + 1)))
-
-    cell = F.least(F.greatest(_by_node(nodes, scaled), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-    sums = named.filter(inside).withColumn("__key", key).groupBy("__node", cell.alias("cell"))
-    rows = sums.agg(F.sum("size").alias("w"), F.min("__key").alias("lo"), F.max("__key").alias("hi")).collect()
-    cells: dict[int, list] = {n.name: [] for n in nodes}
-    for r in rows:
-        cells[r["__node"]].append((r["cell"], r["w"], r["lo"], r["hi"]))
-    for n in nodes:
-        total, want = n.before, goal[n.name]
-        for _, w, lo, hi in sorted(cells[n.name]):
-            if total + w >= want:
-                break
-            total += w
-        least = -(1 << 63)
-        rest = lambda v: (*n.fixed, v, *[least] * (2 - n.phase))  # noqa: E731,B023
-        if want - total <= slack:
-            n.at = rest(lo)
-        elif total + w - want <= slack:
-            n.at = rest(hi + 1) if hi < (1 << 63) - 1 else rest(lo)
-        elif lo == hi and n.phase == 2:
-            n.at = rest(lo) if want - total <= total + w - want else rest(hi + 1)
-        elif lo == hi:
-            n.fixed, n.phase, n.before = [*n.fixed, lo], n.phase + 1, total
-            n.low, n.high = least, (1 << 63) - 1
-        else:
-            n.low, n.high, n.before = lo, hi, total
+    total = placed.agg(F.sum("size")).first()[0]
+    if total is None or n_shards < 2:
+        return placed
+    mean, spark = total / n_shards, placed.sparkSession
+    every = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"))
+    for _ in range(rounds):
+        sums = every.join(placed.groupBy("shard").agg(F.sum("size").alias("w")), "shard", "left")
+        sums = sums.select("shard", (F.coalesce("w", F.lit(0)) - F.lit(mean)).alias("excess"))
+        sums = cut(sums)
+        if sums.filter(F.abs("excess") > tolerance * mean).isEmpty():
+            break
+        # ranks within sign: full shards by what they have over, the others by what they lack
+        signed = sums.withColumn("full", F.col("excess") > 0)
+        # one row a shard: two tasks order no more rows than there are shards
+        ranked = signed.withColumn("n", F.row_number().over(Window.partitionBy("full").orderBy(F.abs("excess").desc(), "shard")))
+        give = ranked.filter("full").select("n", F.col("shard"), F.col("excess").alias("over"))
+        take = ranked.filter("not full").select("n", F.col("shard").alias("to"), (-F.col("excess")).alias("lack"))
+        pairs = give.join(take, "n")
+        want = (F.col("over") + F.col("lack")) / 2
+        best = placed.join(F.broadcast(pairs) if n_shards <= BROADCAST_BOXES else pairs, "shard")
+        best = best.filter(F.abs(F.col("size") - want) < want).groupBy("shard", "to").agg(F.min(F.struct(F.abs(F.col("size") - want).alias("off"), "row")).alias("m"))
+        moved = cut(best.select(F.col("m.row").alias("row"), "to"))
+        if moved.isEmpty():
+            break
+        placed = placed.join(F.broadcast(moved) if n_shards <= BROADCAST_BOXES else moved, "row", "left")
+        placed = cut(placed.withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+    return placed
 
 
 def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -141,22 +169,23 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     Give ``n_shards``, or ``target_bytes`` for as many as bring a leaf to that size. Dimensions
     are the size and the ``metadata`` columns that the table has (strings by hash). A null text
     has size 16 and the checksum of an empty text; null metadata is a value of its own; repeated
-    rows are placed once each; an empty table gives no rows. Texts are read once, their
-    measures (no text) are written once to the checkpoint folder, and every pass reads those.
+    rows are placed once each; an empty table gives no rows; clashing names of other columns do
+    no harm, as only the named ones are read. Texts are read once, their measures (no text) are
+    written to the checkpoint folder, once and once a level, and every pass reads those. After
+    the tree, rows are moved one by one where a shard is off the mean by over a hundredth.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
-    dims = {f"__d{i}": F.coalesce(F.xxhash64(docs[c]).bitwiseAND(F.lit((1 << 30) - 1)), F.lit(-1)) for i, c in enumerate(c for c in metadata if c in docs.columns)}
+    dims = {f"d{i}": F.coalesce(F.xxhash64(docs[c]).bitwiseAND(F.lit((1 << 30) - 1)), F.lit(-1)) for i, c in enumerate(c for c in metadata if c in docs.columns)}
     size = (F.octet_length(text) + 16).cast("long")
-    meta = cut(docs.select(docs[id_column].alias(id_column), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__tie"), *[c.alias(n) for n, c in dims.items()]))
+    meta = cut(docs.select(docs[id_column].alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("tie"), *[c.alias(n) for n, c in dims.items()]))
     # the checkpoint fixes partitions and their order, so these numbers are the same in every pass
-    meta = meta.withColumn("__row", F.monotonically_increasing_id())
+    meta = cut(meta.withColumn("row", F.monotonically_increasing_id()))
     if n_shards is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, math.ceil(total / target_bytes))
-    root = tree(meta, n_shards, ["size", *dims])
-    placed = meta.withColumn("shard", _place(root, "first").cast("int"))
-    out = numbered(placed, ["shard"], ["__tie", "__row"], "slot")
-    return out.select(id_column, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = level_out(cut(tree(meta, n_shards, ["size", *dims])), n_shards)
+    out = numbered(placed, ["shard"], ["tie", "row"], "slot")
+    return out.select(F.col("id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
