@@ -202,20 +202,65 @@ def test_simhash_links_every_close_pair(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_decontamination_against_brute_force(spark, edges):
+def test_decontamination_on_hand_made_texts(spark, edges):
     passage = prose(77, 14)
     bench = spark.createDataFrame([("b", passage), ("a", "Short Item é9"), ("n", None), ("e", "..."), ("c", passage)], "item_id string, text string")
     docs = spark.createDataFrame([(1, "x. " + passage.upper() + "! " + passage), (2, "a short-item É9 short item é9"), (3, None), (4, passage.split(" ", 5)[5]), (5, "")], "doc_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.matches(docs, bench).collect()}
-    assert got[1]["items"] == ["b", "c"] and [tuple(s) for s in got[1].spans] == [(1, 29)] and got[1].n_words == 29
-    assert got[2]["items"] == ["a"] and [tuple(s) for s in got[2].spans] == [(4, 7)]
-    assert not got[4].spans and got[3].n_words == 0
-    small = {r.doc_id: (r.spans, r["items"]) for r in decontaminate.matches(docs, bench, block_bytes=100).collect()}
-    assert small == {k: (r.spans, r["items"]) for k, r in got.items()}
+    plain = lambda df: {r.doc_id: (r.n_words, sorted(tuple(m) for m in r.matches)) for r in df.collect()}
+    got = plain(decontaminate.matches(docs, bench))
+    assert got == {1: (29, [(i, 0, k, 14) for i in "bc" for k in (1, 15)]), 2: (7, [("a", 0, 4, 3)]), 3: (0, []), 4: (9, []), 5: (0, [])}
+    assert plain(decontaminate.matches(docs, bench, block_bytes=100)) == got
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).orderBy("doc_id").collect()] == [3, 4, 5]
     assert decontaminate.remove_contaminated(edges, empty(bench)).count() == len(EDGES)
-    assert decontaminate.remove_contaminated(edges.withColumnRenamed("h1", "spans"), bench).columns == ["doc_id", "text", "Ledger", "spans"]
+    assert decontaminate.remove_contaminated(edges.withColumnRenamed("h1", "matches"), bench).columns == ["doc_id", "text", "Ledger", "matches"]
     assert decontaminate.matches(empty(docs), bench).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.matches(docs.withColumn("N_words", F.lit(1)), bench)
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: r.choice("ab") if r.random() < 0.9 else r.choice("cé")
+    bench = [(f"i{k}", [word() for _ in range(r.choice([0, 1, 3, 9, 10, 11, 16, 30]))]) for k in range(14)]
+    bench += [("copy", bench[7][1]), ("same", ["a"] * 13)]
+    docs = []
+    for k in range(40):
+        w = [word() for _ in range(r.randrange(0, 60))]
+        if k % 3 == 0:
+            item = r.choice(bench)[1]
+            w[5:5] = item[r.randrange(4) :]
+        docs.append((k, w))
+    docs += [(90, ["a"] * 40), (91, ["Q"] * 3000 + bench[6][1] + ["Q"] * 3000)]
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key}, text string")
+    found = decontaminate.matches(frame(docs, "doc_id long"), frame(bench, "item_id string"))
+    got = {x.doc_id: x for x in found.withColumn("n_hit", decontaminate.n_hit(F.col("matches"))).collect()}
+    for i, w in docs:
+        want, hit = set(), set()
+        for name, item in bench:
+            n = min(10, len(item))
+            for p in range(len(w)):
+                for q in range(len(item)):
+                    if p and q and w[p - 1] == item[q - 1]:
+                        continue  # not the start of a longest match
+                    m = 0
+                    while p + m < len(w) and q + m < len(item) and w[p + m] == item[q + m]:
+                        m += 1
+                    if n and m >= n:
+                        want.add((name, q, p, m))
+                        hit |= set(range(p, p + m))
+        assert {tuple(m) for m in got[i].matches} == want and len(got[i].matches) == len(want), i
+        assert got[i].n_hit == len(hit) and got[i].n_words == len(w)
+
+
+def test_interval_is_the_range_of_a_sorted_list():
+    r = random.Random(10)
+    tokens = np.array([r.randrange(0, 4) for _ in range(200)] + [0] * 24)
+    array = decontaminate.suffix_array(tokens, 8)
+    words = np.array([[r.randrange(1, 5) for _ in range(8)] for _ in range(60)])
+    length = np.array([r.randrange(1, 9) for _ in range(60)])
+    lo, hi = decontaminate.interval(tokens, array, words, length)
+    for w, n, a, b in zip(words.tolist(), length.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        assert sorted(array[a:b].tolist()) == [i for i in range(200) if tokens[i : i + n].tolist() == w[:n]]
 
 
 def test_suffix_array_sorts_and_finds():
