@@ -172,6 +172,8 @@ def longest_matches(doc: np.ndarray, start: np.ndarray, window: np.ndarray, test
     item, place = test.owner[pick], test.place[pick]
     order = np.lexsort((start, start - place, item, doc))
     doc, item, place, start, length = doc[order], item[order], place[order], start[order], length[order]
+    if not len(doc):
+        return doc, item, place, start, length
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - place[1:] != start[:-1] - place[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
