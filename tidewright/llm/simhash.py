@@ -158,7 +158,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     bands, rows = substring.tune_bands(threshold, recall=0.999999)
     none = F.lit(0).cast("long")
     src = docs.select(none.alias("doc"), none.alias("id"), docs[text_column].alias("text"))
-    found = cut(substring.paragraphs(src, bands, rows, substring.SHINGLE, whole=True).select("h", "bands").dropDuplicates(["h"]))
+    found = cut(substring.paragraphs(src, bands, rows, substring.SHINGLE, whole=True).select("h", "bands"))
     classes = components(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
     groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     # the smallest (has an id, id, content) of each group names the row that stays
