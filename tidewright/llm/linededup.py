@@ -15,6 +15,14 @@ def _with_word(line: Column) -> Column:
     return F.length(F.translate(line, " \t\x0b\x0c\r", "")) > 0
 
 
+def _has_words(line: Column, n: int) -> Column:
+    """Whether a line has ``n`` words or more. Single spaces between words are counted; only lines
+    with other white space are split."""
+    plain = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
+    spaces = F.length(plain) - F.length(F.translate(plain, " ", ""))
+    return F.when(spaces < n - 1, False).when(F.instr(plain, "  ") == 0, True).otherwise(F.size(words_of(line)) >= n)
+
+
 HERE = ("doc", "tie", "at")
 FIRST = ("first_doc", "first_tie", "first_at")
 
@@ -100,7 +108,7 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, alone: int | None)
     text = F.col(text_column)
     worded = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), _with_word)
     lines = docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("tie"), F.posexplode(worded).alias("at", "line"))
-    is_long = F.lit(False) if alone is None else (F.length("line") >= 2 * alone - 1) & (F.size(words_of(F.col("line"))) >= alone)
+    is_long = F.lit(False) if alone is None else _has_words(F.col("line"), alone)
     return cut(lines.select(*HERE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"), is_long.alias("long")).distinct())
 
 
