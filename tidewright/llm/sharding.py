@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .common import cut, numbered, table
 
 #: Cells of one search pass. Boxes of a level up to BROADCAST_BOXES (about 100 bytes each) are sent to every task.
-CELLS, BROADCAST_BOXES = 4096, 20_000
+CELLS, BROADCAST_BOXES = 1 << 16, 20_000
+#: A level whose boxes have no more rows each (a few dozen bytes a row) is cut by sorting every box in one task.
+SORT_ROWS = 20_000
 LEAST = -(1 << 63)
 #: Depth of a cut's key: the dimension, then the text's hash, then the row.
 KEYS = ("value", "tie", "row")
@@ -31,13 +33,13 @@ def _value(dims: list[str]) -> Column:
 def _open_boxes(rows: DataFrame, dims: list[str], shards: DataFrame, width: dict[str, int]) -> DataFrame:
     """What a search needs of each box with more than one shard: its widest dimension (its range over
     the whole table's), the range there, and the bytes that go left."""
-    spans = rows.groupBy("box").agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
+    spans = rows.groupBy("box").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("rows"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))])
     ranges = [F.struct(((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / F.lit(width[d])).alias("share"), F.lit(-i).alias("dim"), F.col(f"lo_{d}").alias("low"), F.col(f"hi_{d}").alias("high")) for i, d in enumerate(dims)]
     widest = F.array_max(F.array(*ranges))
     df = shards.filter("shards > 1").join(spans.withColumn("widest", widest), "box")
     half = F.floor(F.col("shards") / 2)
     return df.select(
-        "box", "shards", "first", (-F.col("widest.dim")).alias("dim"), F.lit(0).alias("phase"), F.col("widest.low").alias("low"), F.col("widest.high").alias("high"),
+        "box", "shards", "first", "rows", (-F.col("widest.dim")).alias("dim"), F.lit(0).alias("phase"), F.col("widest.low").alias("low"), F.col("widest.high").alias("high"),
         F.lit(0).cast("long").alias("before"), (F.col("w") * half / F.col("shards")).alias("goal"), *[F.lit(LEAST).alias(f"at_{k}") for k in KEYS], F.lit(False).alias("found"),
     )
 
@@ -79,7 +81,19 @@ def _narrow(rows: DataFrame, boxes: DataFrame, n_boxes: int, dims: list[str], sl
         "found": left | right, "phase": F.when(deeper, c("phase") + 1).otherwise(c("phase")),
         "low": F.when(deeper, F.lit(LEAST)).otherwise(c("h.lo")), "high": F.when(deeper, F.lit((1 << 63) - 1)).otherwise(c("h.hi")), "before": below, **at,
     }
-    return boxes.filter("found").unionByName(df.select("box", "shards", "first", "dim", "goal", *[v.cast(boxes.schema[k].dataType).alias(k) for k, v in news.items()]))
+    return boxes.filter("found").unionByName(df.select("box", "shards", "first", "rows", "dim", "goal", *[v.cast(boxes.schema[k].dataType).alias(k) for k, v in news.items()]))
+
+
+def _low_side(near: DataFrame, dims: list[str], slack: float) -> DataFrame:
+    """The cut of small boxes, each sorted in one task: rows before the goal go left, texts whole if that is near enough."""
+    c = F.col
+    near = near.withColumn("value", _value(dims))
+    inside = Window.partitionBy("box").orderBy("value", "tie", "row")
+    same = Window.partitionBy("box", "value", "tie")
+    whole = F.sum("size").over(same)
+    near = near.withColumn("upto", F.sum("size").over(inside)).withColumn("whole", whole).withColumn("end", F.max("upto").over(same))
+    row_goes = c("upto") - c("size") / 2 <= c("goal")
+    return near.withColumn("low_side", F.when(F.abs(c("end") - c("goal")) <= slack, True).when(F.abs(c("end") - c("whole") - c("goal")) <= slack, False).otherwise(row_goes))
 
 
 def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.001) -> DataFrame:
@@ -89,7 +103,7 @@ def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.0
     chooses every box's widest dimension and finds all weighted medians at once: a pass sums
     bytes in CELLS cells per box, keeps the cell that holds the median and looks closer, until
     the cell is one value. Rows of one value are then cut by text, and rows of one text by row,
-    the same way; a cut that is off by less than ``tolerance`` of a shard is taken as it is, so
+    the same way (levels of small boxes are sorted instead); a cut that is off by less than ``tolerance`` of a shard is taken as it is, so
     equal texts part only where they must. The driver learns how many boxes are still open, and
     nothing of their content, so any number of shards takes the logarithm of it in levels.
     """
@@ -105,13 +119,16 @@ def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.0
     n_boxes = 1
     while True:
         boxes = cut(_open_boxes(rows, dims, shards, width))
-        while not boxes.filter("not found").isEmpty():
-            boxes = cut(_narrow(rows, boxes, n_boxes, dims, slack))
-        low = F.lit(False)
-        for k in reversed(KEYS):
-            low = (F.col(k) < F.col(f"at_{k}")) | ((F.col(k) == F.col(f"at_{k}")) & low)
         half = F.floor(F.col("shards") / 2).cast("int")
-        parted = _with_boxes(rows, boxes, n_boxes).withColumn("value", _value(dims)).withColumn("low_side", low)
+        if (boxes.agg(F.max("rows")).first()[0] or 0) <= SORT_ROWS:
+            parted = _low_side(_with_boxes(rows, boxes, n_boxes), dims, slack)
+        else:
+            while not boxes.filter("not found").isEmpty():
+                boxes = cut(_narrow(rows, boxes, n_boxes, dims, slack))
+            low = F.lit(False)
+            for k in reversed(KEYS):
+                low = (F.col(k) < F.col(f"at_{k}")) | ((F.col(k) == F.col(f"at_{k}")) & low)
+            parted = _with_boxes(rows, boxes, n_boxes).withColumn("value", _value(dims)).withColumn("low_side", low)
         parted = parted.select(*meta.columns, F.when(F.col("low_side"), 2 * F.col("box")).otherwise(2 * F.col("box") + 1).alias("box"), F.when(F.col("low_side"), half).otherwise(F.col("shards") - half).alias("n"), F.when(F.col("low_side"), F.col("first")).otherwise(F.col("first") + half).alias("f"))
         parted = cut(parted)
         done.append(parted.filter("n = 1").select(*meta.columns, F.col("f").alias("shard")))
@@ -126,40 +143,36 @@ def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.0
     return out
 
 
-def level_out(placed: DataFrame, n_shards: int, tolerance: float = 0.01, rounds: int = 12) -> DataFrame:
-    """Move single rows between shards until all are within ``tolerance`` of the mean.
+def level_out(placed: DataFrame, n_shards: int, tolerance: float = 0.01, rounds: int = 8) -> DataFrame:
+    """Move single rows between shards until all are within ``tolerance`` of the mean, or no move helps.
 
     The medians of a tree are as exact as its rows are small; where one row is a good part of a
     shard, the fullest shard gives the emptiest the row nearest to what both lack, the next
-    fullest the next emptiest, and so on: one map-side-combined aggregation a round, one row a
-    shard. Tables of many rows per shard need no round.
+    fullest the next emptiest, and so on: map-side-combined aggregations, one row a shard. Tables
+    of many rows per shard need no round.
     """
-    total = placed.agg(F.sum("size")).first()[0]
-    if total is None or n_shards < 2:
-        return placed
-    mean, spark = total / n_shards, placed.sparkSession
+    spark, last = placed.sparkSession, None
     every = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     for _ in range(rounds):
-        sums = every.join(placed.groupBy("shard").agg(F.sum("size").alias("w")), "shard", "left")
-        sums = sums.select("shard", (F.coalesce("w", F.lit(0)) - F.lit(mean)).alias("excess"))
-        sums = cut(sums)
-        if sums.filter(F.abs("excess") > tolerance * mean).isEmpty():
+        sums = every.join(placed.groupBy("shard").agg(F.sum("size").alias("w")), "shard", "left").select("shard", F.coalesce("w", F.lit(0)).alias("w"))
+        stats = sums.agg(F.sum("w").alias("w"), F.max("w").alias("hi"), F.min("w").alias("lo")).first()
+        mean = stats["w"] / n_shards
+        off = max(stats["hi"] - mean, mean - stats["lo"])
+        if off <= tolerance * mean or (last is not None and off > 0.95 * last):
             break
-        # ranks within sign: full shards by what they have over, the others by what they lack
-        signed = sums.withColumn("full", F.col("excess") > 0)
-        # one row a shard: two tasks order no more rows than there are shards
+        last = off
+        # ranks within sign: full shards by what they have over, the others by what they lack.
+        # One row a shard: two tasks order no more rows than there are shards
+        signed = sums.withColumn("excess", F.col("w") - F.lit(mean)).withColumn("full", F.col("excess") > 0)
         ranked = signed.withColumn("n", F.row_number().over(Window.partitionBy("full").orderBy(F.abs("excess").desc(), "shard")))
-        give = ranked.filter("full").select("n", F.col("shard"), F.col("excess").alias("over"))
+        give = ranked.filter("full").select("n", "shard", F.col("excess").alias("over"))
         take = ranked.filter("not full").select("n", F.col("shard").alias("to"), (-F.col("excess")).alias("lack"))
-        pairs = give.join(take, "n")
-        want = (F.col("over") + F.col("lack")) / 2
-        best = placed.join(F.broadcast(pairs) if n_shards <= BROADCAST_BOXES else pairs, "shard")
-        best = best.filter(F.abs(F.col("size") - want) < want).groupBy("shard", "to").agg(F.min(F.struct(F.abs(F.col("size") - want).alias("off"), "row")).alias("m"))
-        moved = cut(best.select(F.col("m.row").alias("row"), "to"))
-        if moved.isEmpty():
-            break
-        placed = placed.join(F.broadcast(moved) if n_shards <= BROADCAST_BOXES else moved, "row", "left")
-        placed = cut(placed.withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+        want = ((F.col("over") + F.col("lack")) / 2).alias("want")
+        pairs = cut(give.join(take, "n").select("shard", "to", want))
+        small = F.broadcast if n_shards <= BROADCAST_BOXES else lambda df: df
+        best = placed.join(small(pairs), "shard").withColumn("off", F.abs(F.col("size") - F.col("want"))).filter("off < want")
+        moved = best.groupBy("shard", "to").agg(F.min_by("row", "off").alias("row")).select("row", "to")
+        placed = cut(placed.join(small(moved), "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
     return placed
 
 
@@ -183,7 +196,9 @@ def shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None
     if n_shards is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, math.ceil(total / target_bytes))
-    placed = level_out(cut(tree(meta, n_shards, ["size", *dims])), n_shards)
+    placed = cut(tree(meta, n_shards, ["size", *dims]))
+    if n_shards > 1 and not placed.isEmpty():
+        placed = level_out(placed, n_shards)
     out = numbered(placed, ["shard"], ["tie", "row"], "slot")
     return out.select(F.col("id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
