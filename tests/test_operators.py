@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewright import functions as fn
 from tidewright.operators import align, cdc, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
 from tidewright.operators.dedup import dedup_first
+from tidewright.plans import marts
 from tidewright.sources import bronze, export
 from tidewright.streaming import stream
 
@@ -235,3 +236,81 @@ def test_seeds_and_export(spark, tmp_path):
     rows = {r.table_name: r.success for r in export.export_tables(spark, {"BAD": bad, "GOOD": good}, url, props, partitions=1).collect()}
     assert rows == {"GOOD": True, "BAD": False}
     assert spark.read.jdbc(url, "GOOD", properties=props).count() == 1
+
+
+def test_change_batches_give_the_history_of_the_whole_log(spark):
+    import random
+
+    r = random.Random(6)
+    log = []
+    for k in "abc":
+        times = sorted(r.sample(range(1, 60), 9))
+        alive = False
+        for n, t in enumerate(times):
+            op = "c" if not alive else r.choice(["u", "u", "d"])
+            alive = op != "d"
+            log.append((op, t * 1000, n, k, f"{k}{n}"))
+    df = lambda rows: spark.createDataFrame(rows, "op string, ts_ms long, seq long, k string, v string")
+    plain = lambda h: sorted((x.k, x.v, x.effective_start, x.effective_end, x.is_current) for x in h.collect())
+    want = plain(cdc.to_history(df(log), ["k"]))
+    held = [x for x in log if x[0] == "u" and r.random() < 0.4]  # updates that come late, and one batch twice
+    soon = [x for x in sorted(log, key=lambda x: x[1]) if x not in held]
+    now = None
+    for part in (soon[:9], soon[9:18], soon[5:12], soon[18:] + held[::2], held):
+        now = cdc.apply_changes(now, df(part), ["k"])
+        now = spark.createDataFrame(now.collect(), now.schema)
+    assert plain(now) == want
+    assert now.filter("is_current").groupBy("k").count().filter("count > 1").count() == 0
+
+
+def test_late_changes_are_what_scd2_ignores(spark):
+    df = lambda rows: spark.createDataFrame([(k, v, at(m)) for k, v, m in rows], "k string, v string, ts timestamp")
+    one = upsert.scd2_apply(None, df([("a", "A", 0), ("a", "B", 10), ("b", "x", 5)]), ["k"], ["v"], "ts")
+    new = df([("a", "A", 0), ("a", "C", 5), ("a", "D", 20), ("b", "y", 5), (None, "z", 0), ("c", "n", 0)])
+    assert {(r.k, r.v) for r in upsert.late_changes(one, new, ["k"], ["v"], "ts").collect()} == {("a", "C"), ("b", "y")}
+
+
+def test_seed_repeats_and_default_zone(spark):
+    seed = spark.createDataFrame([("k1", "old", 1), ("k1", "new", 2), ("k2", "x", None), (None, "y", 9)], "id string, name string, n int")
+    assert {(r.id, r.name) for r in dims.from_seed(seed, "id", "key", "n").collect()} == {("k1", "new"), ("k2", "x")}
+    assert dims.from_seed(seed, "id", "key").count() == 2
+    kitchens = spark.createDataFrame([("K-1", "X"), ("K-2", "Y")], "kitchen_id string, city string")
+    zones = spark.createDataFrame([("X-DOWNTOWN", "X"), ("X-UPTOWN", "X")], "zone_id string, city string")
+    orders = spark.createDataFrame([(1, "K-1", None), (2, "K-1", "X-UPTOWN"), (3, "K-2", None), (4, None, None)], "o int, kitchen_id string, zone_id string")
+    assert {(r.o, r.zone_id) for r in facts.default_zone(orders, kitchens, zones).collect()} == {(1, "X-DOWNTOWN"), (2, "X-UPTOWN"), (3, None), (4, None)}
+
+
+def test_fuzzy_in_a_block_of_one_prefix(spark):
+    names = [f"kitchen {i * 7919 % 100003}" for i in range(400)] + ["kitchen 1", "kitchen 1"]
+    df = spark.createDataFrame([(i, "z", n) for i, n in enumerate(names)], "id int, b string, name string")
+    got = identity.fuzzy(df, "id", "name", ["b"], 1)
+    near = lambda a, b: a == b or (abs(len(a) - len(b)) <= 1 and any(a[:i] + a[i + 1 :] in (b, b[:j] + b[j + 1 :]) or b[:j] + b[j + 1 :] == a for i in range(len(a)) for j in range(max(0, i - 1), min(len(b), i + 2))))
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and near(a, b)}
+    assert {(r.a, r.b) for r in got.collect()} == want and (400, 401) in want
+    assert got.columns[0] == "b"
+
+
+def test_records_are_parsed_once(spark):
+    b = landed(spark, [(uber("1"), 0)])
+    for df in (align.placed_orders(b), align.align(b), align.status_events(b)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField") + plan.count("jsontostructs(StructField") <= 1, plan
+
+
+def test_connection_and_schema_merge(spark, tmp_path):
+    url, props = export.connection({"EXPORT_JDBC_URL": "jdbc:x", "EXPORT_JDBC_USER": "u", "EXPORT_JDBC_PASSWORD": "p"})
+    assert url == "jdbc:x" and props == {"user": "u", "password": "p"}
+    with pytest.raises(KeyError):
+        export.connection({})
+    a, b = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, "x")], "a int, b string")
+    bronze.write_table(a, f"{tmp_path}/t")
+    bronze.write_table(b, f"{tmp_path}/t", "append")
+    assert {tuple(r) for r in bronze.read_table(spark, f"{tmp_path}/t", mergeSchema="true").select("a", "b").collect()} == {(1, None), (2, "x")}
+
+
+def test_views_are_ordered(spark):
+    d = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2))], "date_key int, full_date date").selectExpr("*", "2024 year", "1 month", "1 day_of_month", "false is_weekend")
+    k = spark.createDataFrame([(7, "K", "n", "c", "s"), (8, "L", "n", "c", "s")], "kitchen_key int, kitchen_id string, name string, city string, state string")
+    f = spark.createDataFrame([(1, 7, 5, 1, False), (2, 7, 1, 1, False), (2, 8, 3, 1, True)], "date_key int, kitchen_key int, order_total_cents long, item_count int, is_cancelled boolean")
+    rows = marts.revenue_by_kitchen_day(f, d, k).collect()
+    assert [(str(r.order_date), r.total_revenue_cents) for r in rows] == [("2024-01-02", 3), ("2024-01-02", 1), ("2024-01-01", 5)]

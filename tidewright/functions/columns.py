@@ -80,6 +80,7 @@ def mph_to_kmh(mph: Column) -> Column:
 
 
 def day_part(hour: Column) -> Column:
+    # fixed values: the bounds of the parts of a day
     return F.when(hour.between(5, 11), "morning").when(hour.between(12, 16), "afternoon").when(hour.between(17, 21), "evening").otherwise("night")
 
 

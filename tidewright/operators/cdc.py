@@ -42,6 +42,29 @@ def to_history(changes: DataFrame, keys: list[str], order: tuple[str, str] = ("t
     return df.withColumn("effective_start", at(ts)).withColumn("effective_end", at("__next")).withColumn("is_current", F.col("__next").isNull()).drop("op", ts, seq, "__next")
 
 
-def menu_history(bronze: DataFrame) -> DataFrame:
-    hist = to_history(parse(bronze), ["brand", "item_id"])
+def apply_changes(history: DataFrame | None, changes: DataFrame, keys: list[str], order: tuple[str, str] = ("ts_ms", "seq")) -> DataFrame:
+    """The history after one more batch of ``changes``, the same as that of the whole log.
+
+    Only keys of the batch are rebuilt: their versions count as changes at their starts, and an
+    end that no version follows as a delete, so late updates find their place and a repeated
+    batch changes nothing. At one instant the batch wins. A history keeps no trace of a delete
+    that closed nothing when it came: deletes must not overtake the versions they close.
+    """
+    if history is None:
+        return to_history(changes, keys, order)
+    ts, seq = order
+    touched = changes.select(*keys).distinct()
+    old, rest = history.join(touched, keys, "left_semi"), history.join(touched, keys, "left_anti")
+    follows = F.lead("effective_start").over(Window.partitionBy(*keys).orderBy("effective_start")) == F.col("effective_end")
+    old = old.withColumn("__gone", F.col("effective_end").isNotNull() & ~F.coalesce(follows, F.lit(False)))
+    values = [c for c in changes.columns if c not in ("op", ts, seq)]
+    at = lambda c, op: F.struct(F.lit(op).alias("op"), F.unix_millis(c).alias(ts))
+    events = F.explode(F.when(F.col("__gone"), F.array(at("effective_start", "u"), at("effective_end", "d"))).otherwise(F.array(at("effective_start", "u")))).alias("e")
+    known = old.select(*values, events).select("e.op", f"e.{ts}", F.lit(-1).cast("long").alias(seq), *values)
+    return rest.unionByName(to_history(known.unionByName(changes.select(*known.columns)), keys, order))
+
+
+def menu_history(bronze: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Versions of menu items; with a ``history``, that one after the changes in ``bronze``."""
+    hist = apply_changes(None if history is None else history.drop("menu_item_hk"), parse(bronze), ["brand", "item_id"])
     return hist.select(surrogate_key(F.col("brand"), F.col("item_id")).alias("menu_item_hk"), *hist.columns)

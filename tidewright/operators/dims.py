@@ -18,12 +18,19 @@ def date(spark: SparkSession, start: str = "2024-01-01", end: str = "2026-12-31"
 def time(spark: SparkSession) -> DataFrame:
     df = spark.range(1440).select(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).alias("full_time"))
     c, h = F.col("full_time"), F.hour("full_time")
+    # fixed values: the hours of lunch, dinner and happy hour
     return df.select("full_time", time_key(c).alias("time_key"), h.alias("hour"), F.minute(c).alias("minute"), day_part(h).alias("time_of_day"), h.between(11, 13).alias("is_lunch_rush"), h.between(17, 20).alias("is_dinner_rush"), h.between(16, 18).alias("is_happy_hour"))
 
 
-def from_seed(seed: DataFrame, natural_key: str, key: str) -> DataFrame:
-    """A dimension whose last seed wins (SCD1), keyed by its natural key."""
-    return seed.dropna(subset=[natural_key]).select(surrogate_key(F.col(natural_key)).alias(key), *seed.columns)
+def from_seed(seed: DataFrame, natural_key: str, key: str, newest: str | None = None) -> DataFrame:
+    """A dimension whose last seed wins (SCD1), keyed by its natural key.
+
+    Of rows that repeat a natural key the one with the greatest ``newest`` stays (a column that
+    orders the seeds), ties and a missing order go by all values, so one row a key is left.
+    """
+    rank = F.max(F.struct(*([F.col(newest).alias("__newest")] if newest else []), *seed.columns)).alias("last")
+    last = seed.dropna(subset=[natural_key]).groupBy(F.col(natural_key).alias("__key")).agg(rank)
+    return last.select(surrogate_key(F.col("__key")).alias(key), *[F.col(f"last.`{c}`") for c in seed.columns])
 
 
 def zone(cities: DataFrame, kinds: dict[str, float], target: DataFrame | None = None) -> DataFrame:

@@ -17,6 +17,13 @@ def resolve_fk(df: DataFrame, dim: DataFrame, on: str, key: str, unknown: int =
     return df.join(dim.select(on, key), on, "left").withColumn(key, F.coalesce(key, F.lit(unknown)))
 
 
+def default_zone(aligned: DataFrame, kitchens: DataFrame, zones: DataFrame, suffix: str = "-DOWNTOWN") -> DataFrame:
+    """Orders without a zone get the default zone (the one that ends in ``suffix``) of their kitchen's city."""
+    by_city = zones.filter(F.col("zone_id").endswith(suffix)).groupBy("city").agg(F.min("zone_id").alias("__zone"))
+    by_kitchen = kitchens.select("kitchen_id", "city").join(by_city, "city").select("kitchen_id", "__zone")
+    return aligned.join(by_kitchen, "kitchen_id", "left").withColumn("zone_id", F.coalesce("zone_id", "__zone")).drop("__zone")
+
+
 def orders(aligned: DataFrame, kitchens: DataFrame, brands: DataFrame, zones: DataFrame, final: DataFrame | None = None) -> DataFrame:
     """One row per order. ``final``: order_id, is_cancelled from the status events."""
     df = resolve_fk(aligned, kitchens, "kitchen_id", "kitchen_key")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rate_pct
+
 
 def row_counts(tables: dict[str, DataFrame], least: dict[str, int]) -> DataFrame:
     """Rows (table_name, n, expected, status)."""
@@ -63,11 +65,25 @@ def count_drop(df: DataFrame, ts: str, share: float = 0.5, days: int = 7) -> Dat
 
 
 def bronze_profile(bronze: DataFrame) -> DataFrame:
-    return bronze.groupBy("ingestion_date").agg(F.count(F.lit(1)).alias("n"), F.min("kafka_offset").alias("min_offset"), F.max("kafka_offset").alias("max_offset"))
+    return bronze.groupBy("ingestion_date").agg(F.count(F.lit(1)).alias("n"), F.min("kafka_offset").alias("min_offset"), F.max("kafka_offset").alias("max_offset")).orderBy("ingestion_date")
+
+
+def bronze_totals(bronze: DataFrame) -> DataFrame:
+    """One row over the whole table: rows, range of offsets, distinct ingestion partitions."""
+    part = F.struct("ingestion_date", "ingestion_hour")
+    return bronze.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("kafka_offset").alias("lo"), F.max("kafka_offset").alias("hi")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("lo").alias("min_offset"), F.max("hi").alias("max_offset"), F.count(F.lit(1)).alias("n_partitions")
+    )
+
+
+def pass_rate(checks: DataFrame) -> DataFrame:
+    """Share of the rules of each suite that hold."""
+    g = checks.groupBy("suite").agg(F.count(F.lit(1)).alias("n_rules"), F.count_if("success").alias("n_passed"))
+    return g.withColumn("pass_pct", rate_pct(F.col("n_passed"), F.col("n_rules")))
 
 
 def platform_profile(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_email").isNull()).alias("null_emails"), F.count_distinct("customer_key").alias("customers"))
+    return orders.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("raw_email").isNull()).alias("null_emails"), F.count_distinct("customer_key").alias("customers")).orderBy("platform")
 
 
 def identity_profile(hub: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mask, match_method
@@ -22,23 +22,35 @@ def with_confidence(b: DataFrame) -> DataFrame:
     return b.withColumn("email_hash", mask(F.col("raw_email"))).withColumn("confidence", F.when(F.col("match_method") == "exact_email", 1.0).otherwise(0.6)).drop("raw_email")
 
 
+def _shorter(names: Column) -> Column:
+    """All strings that lack one character of one in the array ``names``."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substr(n, F.lit(1), i - 1), F.substr(n, i + 1)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(names, lambda n: F.length(n) > 0), one)))
+
+
 def fuzzy(people: DataFrame, id_column: str, name: str, block: list[str], most: int = 2) -> DataFrame:
     """Pairs (a < b) of one block whose names differ by at most ``most`` edits.
 
-    Two names within ``most`` edits share one of ``most + 1`` pieces of either at a place shifted
-    by no more than ``most``: the join is on (block, piece), never on the block alone, so large
-    blocks make no cross product. Names too short to cut are compared by their one piece.
+    Two such names share a string that both become by dropping up to ``most`` characters, so
+    different names are joined on (block, that string): names in one group are near each other,
+    whatever prefix a whole block shares. A name of n characters has about n ** most / 2 of them.
+    ``block`` and ``name`` may be anything the pairs should agree in or be near in, a name or an
+    address. Null and empty names have no pair.
     """
-    cut = F.greatest(F.floor(F.length("n") / (most + 1)), F.lit(1)).cast("int")
-    src = people.select(*block, F.col(id_column).alias("id"), F.lower(F.trim(F.col(name))).alias("n")).filter(F.col("n") != "")
-    whole = src.withColumn("len", F.length("n")).withColumn("size", cut)
-    pieces = whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).select(*block, "id", "n", "len", "i", F.when(F.col("i") < most, F.substring(F.col("n"), F.col("i") * F.col("size") + 1, F.col("size"))).otherwise(F.substring(F.col("n"), F.col("i") * F.col("size") + 1, F.col("len"))).alias("piece"))
-    # the other side cuts its name as a name of each near length would be cut, at each near place
-    near = F.explode(F.sequence(F.lit(-most), F.lit(most)))
-    probe = whole.withColumn("dl", near).withColumn("olen", F.col("len") + F.col("dl")).filter("olen > 0").withColumn("osize", F.greatest(F.floor(F.col("olen") / (most + 1)), F.lit(1)).cast("int"))
-    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
-    at = F.col("i") * F.col("osize") + F.col("shift")
-    width = F.when(F.col("i") < most, F.col("osize")).otherwise(F.greatest(F.col("olen") - F.col("i") * F.col("osize"), F.lit(0)))
-    probe = probe.filter(at >= 0).select(*block, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("olen").alias("len"), "i", F.substring(F.col("n"), at + 1, width).alias("piece")).distinct()
-    pairs = pieces.withColumnsRenamed({"id": "a", "n": "na"}).join(probe, [*block, "len", "i", "piece"]).filter(F.col("a") < F.col("b"))
-    return pairs.select(*block, "a", "b", "na", "nb").distinct().withColumn("distance", F.levenshtein("na", "nb")).filter(F.col("distance") <= most)
+    inner = [f"__block{i}" for i in range(len(block))]
+    src = people.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(block, inner, strict=True)], F.col(id_column).alias("__id"), F.lower(F.trim(F.col(name))).alias("__name")).filter("__name <> ''")
+    keys = step = F.array("__name")
+    for _ in range(most):
+        step = _shorter(step)
+        keys = F.concat(keys, step)
+    names = src.select(*inner, "__name").distinct().withColumn("__key", F.explode(F.array_distinct(keys)))
+    other = names.withColumnRenamed("__name", "__other")
+    near = names.join(other, [*inner, "__key"]).filter("__name <= __other").select(*inner, "__name", "__other").distinct()
+    near = near.withColumn("distance", F.levenshtein("__name", "__other")).filter(F.col("distance") <= most)
+    left, right = src.withColumnRenamed("__id", "__a"), src.withColumnsRenamed({"__id": "__b", "__name": "__other"})
+    pairs = near.join(left, [*inner, "__name"]).join(right, [*inner, "__other"]).filter(F.col("__a") != F.col("__b"))
+    # the two names of a pair come in either order; of equal names every pair comes twice
+    pairs = pairs.filter((F.col("__name") != F.col("__other")) | (F.col("__a") < F.col("__b")))
+    turn = F.col("__a") > F.col("__b")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return pairs.select(*[F.col(i).alias(c) for c, i in zip(block, inner, strict=True)], pick("__a", "__b").alias("a"), pick("__b", "__a").alias("b"), pick("__name", "__other").alias("na"), pick("__other", "__name").alias("nb"), "distance")

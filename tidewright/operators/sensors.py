@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import date_key
 from .dedup import dedup_first
+from .facts import resolve_fk
 
 SCHEMA = "reading_id string, sensor_id string, kitchen_id string, sensor_type string, value string, unit string, zone string, event_timestamp string"
 #: A reading above its type's limit is anomalous; a type without a limit never is.
@@ -48,6 +50,12 @@ def hourly(clean_readings: DataFrame) -> DataFrame:
     )
 
 
+def fact_hourly(clean_readings: DataFrame, kitchens: DataFrame) -> DataFrame:
+    """The hourly rollup with the keys of its dimensions; unknown kitchens are -1."""
+    h = resolve_fk(hourly(clean_readings), kitchens, "kitchen_id", "kitchen_key")
+    return h.withColumn("date_key", date_key(F.col("hour")))
+
+
 def _by_sensor() -> Window:
     return Window.partitionBy("sensor_id").orderBy("event_timestamp", "reading_id")
 

@@ -37,7 +37,7 @@ def scd2_apply(target: DataFrame | None, source: DataFrame, keys: list[str], tra
 
     A source row opens a version if its tracked values differ from those just before it, so a
     value that returns (A, B, A) is a new version and a repeated batch changes nothing. Rows not
-    later than a key's current version are ignored. Result: keys, tracked, row_hash,
+    later than a key's current version are ignored (``late_changes`` gives them). Result: keys, tracked, row_hash,
     effective_start, effective_end, is_current; exactly one current row per key.
     """
     c = F.col
@@ -58,3 +58,18 @@ def scd2_apply(target: DataFrame | None, source: DataFrame, keys: list[str], tra
     df = df.withColumn("effective_end", end).withColumn("is_current", c("effective_end").isNull())
     out = df.select(*cols, "row_hash", "effective_start", "effective_end", "is_current")
     return out if closed is None else closed.select(*out.columns).unionByName(out)
+
+
+def late_changes(target: DataFrame, source: DataFrame, keys: list[str], tracked: list[str], eff_ts: str) -> DataFrame:
+    """Rows of ``source`` that ``scd2_apply`` would ignore as older than their key's current version.
+
+    Repeats of a version that is there are no late changes. Route them to a rebuild of their keys.
+    """
+    c = F.col
+    current = target.filter("is_current").select(*[c(k).alias(f"__{k}") for k in keys], c("effective_start").alias("__start"))
+    on = c(eff_ts) <= c("__start")
+    for k in keys:
+        on &= c(k) == c(f"__{k}")
+    late = source.dropna(subset=keys).join(current, on, "left_semi").withColumn("row_hash", change_hash(*[c(t) for t in tracked]))
+    known = target.select(*keys, "row_hash", c("effective_start").alias(eff_ts))
+    return late.join(known, [*keys, "row_hash", eff_ts], "left_anti").select(*source.columns)

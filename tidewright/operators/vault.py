@@ -38,10 +38,13 @@ def link(target: DataFrame | None, rows: DataFrame, name: str, hub_keys: list[st
     return insert_only(target, new.select(name, *hub_keys, "load_ts"), [name])
 
 
+#: What makes a new version of an order.
+ORDER_TRACKED = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_id", "brand_name", "item_count", "is_late_arriving"]
+
+
 def sat_order_details(target: DataFrame | None, orders: DataFrame, eff_ts: str = "ingestion_timestamp") -> DataFrame:
     src = orders.withColumn("order_hk", F.sha2("platform_order_id", 256))
-    tracked = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_id", "brand_name", "item_count", "is_late_arriving"]
-    return scd2_apply(target, src, ["order_hk"], tracked, eff_ts)
+    return scd2_apply(target, src, ["order_hk"], ORDER_TRACKED, eff_ts)
 
 
 def sat_customer_profile(target: DataFrame | None, bridge: DataFrame) -> DataFrame:

@@ -27,14 +27,14 @@ def revenue_by_kitchen_day(fact_order: DataFrame, dim_date: DataFrame, dim_kitch
     g = fact_order.groupBy("date_key", "kitchen_key").agg(*_revenue(), F.count_if("is_cancelled").alias("cancelled_orders"), net)
     d = dim_date.select("date_key", F.col("full_date").alias("order_date"), "year", "month", "day_of_month", "is_weekend")
     k = dim_kitchen.select("kitchen_key", "kitchen_id", F.col("name").alias("kitchen_name"), "city", "state")
-    return g.join(d, "date_key").join(k, "kitchen_key").drop("date_key", "kitchen_key")
+    return g.join(d, "date_key").join(k, "kitchen_key").drop("date_key", "kitchen_key").orderBy(F.desc("order_date"), F.desc("total_revenue_cents"))
 
 
 def revenue_by_brand_day(fact_order: DataFrame, dim_date: DataFrame, dim_brand: DataFrame) -> DataFrame:
     g = fact_order.groupBy("date_key", "brand_key", "platform").agg(*_revenue(), F.count_distinct("customer_hk").alias("unique_customers"))
     d = dim_date.select("date_key", F.col("full_date").alias("order_date"), "year", "month")
     b = dim_brand.select("brand_key", "brand_id", "brand_name", "cuisine_type")
-    return g.join(d, "date_key").join(b, "brand_key").drop("date_key", "brand_key")
+    return g.join(d, "date_key").join(b, "brand_key").drop("date_key", "brand_key").orderBy(F.desc("order_date"), F.desc("total_revenue_cents"))
 
 
 def _mean(column: str, digits: int) -> Column:
@@ -50,7 +50,7 @@ def delivery_by_zone(trips: DataFrame, fact_order: DataFrame, dim_zone: DataFram
     return t.groupBy("zone_id", "zone_name", "city").agg(
         F.count("trip_key").alias("trip_count"), _mean("duration_minutes", 2).alias("avg_duration_minutes"), r(F.min(m), 2).alias("min_duration_minutes"),
         r(F.max(m), 2).alias("max_duration_minutes"), _mean("distance_km", 3).alias("avg_distance_km"), _mean("avg_speed_kmh", 2).alias("avg_speed_kmh"),
-    )
+    ).orderBy("avg_duration_minutes")
 
 
 def _lifetime(fact_order: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ PROFILE = ["customer_hk", "customer_id", "email_masked", "platform_count", "plat
 def multi_platform_customers(dim_customer: DataFrame, fact_order: DataFrame) -> DataFrame:
     c = dim_customer.filter("is_multi_platform and is_current").select(*PROFILE)
     out = c.join(_lifetime(fact_order).select("customer_hk", "total_orders", "lifetime_value_cents", "lifetime_value_dollars"), "customer_hk", "left")
-    return out.withColumn("total_orders", F.coalesce("total_orders", F.lit(0)))
+    return out.withColumn("total_orders", F.coalesce("total_orders", F.lit(0))).orderBy(F.desc("lifetime_value_cents"))
 
 
 def top_customers(dim_customer: DataFrame, fact_order: DataFrame, n: int = 10) -> DataFrame:
@@ -75,13 +75,13 @@ def top_customers(dim_customer: DataFrame, fact_order: DataFrame, n: int = 10) -
 
 def menu_price_history(dim_menu_item: DataFrame) -> DataFrame:
     c = F.col
-    return dim_menu_item.select("item_id", "item_name", "brand", "category", c("price").alias("price_dollars"), F.round(c("price") * 100).cast("long").alias("price_cents"), c("valid_from").alias("effective_start"), c("valid_to").alias("effective_end"), "is_current", version_status(c("valid_to")).alias("version_status"))
+    return dim_menu_item.select("item_id", "item_name", "brand", "category", c("price").alias("price_dollars"), F.round(c("price") * 100).cast("long").alias("price_cents"), c("valid_from").alias("effective_start"), c("valid_to").alias("effective_end"), "is_current", version_status(c("valid_to")).alias("version_status")).orderBy("item_id", F.desc("effective_start"))
 
 
 def sensor_anomalies(fact_sensor_hourly: DataFrame, dim_kitchen: DataFrame) -> DataFrame:
     k = dim_kitchen.select("kitchen_id", F.col("name").alias("kitchen_name"), "city")
     s = fact_sensor_hourly.filter("anomaly_count > 0").join(k, "kitchen_id")
-    return s.select("kitchen_id", "kitchen_name", "city", "sensor_id", "sensor_type", "zone", F.to_date("hour").alias("sensor_date"), F.hour("hour").alias("sensor_hour"), "reading_count", "anomaly_count", rate_pct(F.col("anomaly_count"), F.col("reading_count")).alias("anomaly_rate_pct"), "avg_value", "min_value", "max_value")
+    return s.select("kitchen_id", "kitchen_name", "city", "sensor_id", "sensor_type", "zone", F.to_date("hour").alias("sensor_date"), F.hour("hour").alias("sensor_hour"), "reading_count", "anomaly_count", rate_pct(F.col("anomaly_count"), F.col("reading_count")).alias("anomaly_rate_pct"), "avg_value", "min_value", "max_value").orderBy(F.desc("anomaly_count"), F.desc("sensor_date"))
 
 
 def register(views: dict[str, DataFrame]) -> None:

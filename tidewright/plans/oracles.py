@@ -236,13 +236,13 @@ ORACLES: dict[str, str] = {
     "dq_fact_order": q(dq("fact_order", "fact", [*[("not_null", c, f"{c} IS NULL") for c in ("customer_hk", "kitchen_key", "brand_key", "date_key", "time_key")], ("between", "order_total_cents", "order_total_cents NOT BETWEEN 100 AND 100000"), ("between", "item_count", "item_count NOT BETWEEN 1 AND 20"), ("in_set", "platform", "platform NOT IN ('uber_eats', 'doordash', 'own_app')"), ("match", "date_key", "NOT regexp_matches(date_key::VARCHAR, '^[0-9]{8}$')"), ("unique", "platform_order_id", repeats("fact", "platform_order_id"))]), ORD, FACT),
     "dq_dim_customer": q(dq("dim_customer", "cust", [("not_null", "customer_hk", "customer_hk IS NULL"), ("not_null", "email_masked", "email_masked IS NULL"), ("not_match", "email_masked", "email_masked LIKE '%@%'"), ("between", "platform_count", "platform_count NOT BETWEEN 1 AND 3"), ("in_set", "is_current", "is_current IS NULL"), ("unique", "customer_hk", repeats("cust", "customer_hk"))]), ORD, CUST),
     "dq_dim_menu_item": q(dq("dim_menu_item", "menu", [("not_null", "item_id", "item_id IS NULL"), ("between", "price", "price_cents NOT BETWEEN 99 AND 5000"), ("in_set", "is_current", "is_current IS NULL"), ("not_null", "valid_from", "effective_start IS NULL"), ("unique", "menu_item_key", repeats("menu", "brand, item_id, effective_start"))]) + " UNION ALL SELECT 'dim_menu_item', 'one_current', 'brand,item_id', count(*) FILTER (n > 1) = 0, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT, sum(n)::BIGINT FROM (SELECT count(*) AS n FROM menu WHERE is_current GROUP BY brand, item_id)", MENU),
-    "dq_states": q("SELECT 'states' AS suite, 'has_state' AS rule, 'order_id' AS \"column\", count(*) FILTER (NOT p) = 0 AS success, count(*) FILTER (NOT p) AS unexpected_count, count(*) AS total FROM (SELECT order_id, bool_or(status = 'placed') AS p FROM ev GROUP BY 1) UNION ALL SELECT 'states', 'columns', '', true, 0, 2", ORD, EV),
+    "dq_states": q("SELECT 'states' AS suite, 'has_state' AS rule, 'order_id' AS \"column\", count(*) FILTER (NOT p) = 0 AS success, count(*) FILTER (NOT p) AS unexpected_count, count(*) AS total FROM (SELECT order_id, bool_or(status = 'placed') AS p FROM ev GROUP BY 1) UNION ALL SELECT 'states', 'columns', '', m = 0, m, 2 FROM (SELECT 2 - count(*) AS m FROM (DESCRIBE SELECT order_id, status FROM ev) WHERE column_name IN ('order_id', 'status')) UNION ALL SELECT 'orders', 'columns', '', m = 0, m, 3 FROM (SELECT 3 - count(*) AS m FROM (DESCRIBE orders) WHERE column_name IN ('o_orderkey', 'o_orderdate', 'o_zone'))", ORD, EV),
     "fk_orphans": q("SELECT k AS fk, n AS orphans, t AS total, round(n * 100.0 / t, 2) AS orphan_pct, CASE WHEN round(n * 100.0 / t, 2) > 5 THEN 'fail' WHEN n > 0 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT 'kitchen_key' AS k, count(*) FILTER (kitchen_key = -1) AS n, count(*) AS t FROM fact UNION ALL SELECT 'brand_key', count(*) FILTER (brand_key = -1), count(*) FROM fact)", ORD, FACT),
     "grain_check": q("SELECT count(*) AS n, count(DISTINCT platform_order_id) AS n_keys, count(*) - count(DISTINCT platform_order_id) AS duplicates, 'pass' AS status FROM fact", ORD, FACT),
     "pii_scan": q(" UNION ALL ".join([f"SELECT 'dim_customer' AS table_name, '{c}' AS column_name, count(*) FILTER ({c} LIKE '%@%') AS leaks FROM cust" for c in ("customer_hk", "customer_id", "email_masked", "platforms_list", "record_source")] + [f"SELECT 'identity_bridge', '{c}', count(*) FILTER ({c} LIKE '%@%') FROM bridge" for c in ("customer_hk", "platform", "platform_customer_id", "raw_email", "match_method")]), ORD, CUST),
     "freshness": q("SELECT max(ing + to_seconds(cp * 300)) AS latest, (epoch(TIMESTAMP '2001-08-02 12:00:00') - epoch(max(ing + to_seconds(cp * 300))))::BIGINT AS age_seconds, CASE WHEN epoch(TIMESTAMP '2001-08-02 12:00:00') - epoch(max(ing + to_seconds(cp * 300))) > 86400 THEN 'fail' WHEN epoch(TIMESTAMP '2001-08-02 12:00:00') - epoch(max(ing + to_seconds(cp * 300))) > 7200 THEN 'warn' ELSE 'pass' END AS status FROM copies", ORD),
-    "row_counts": q("SELECT 'orders' AS table_name, count(*) AS n, 1000::BIGINT AS expected, CASE WHEN count(*) >= 1000 THEN 'pass' ELSE 'fail' END AS status FROM orders UNION ALL SELECT 'customer', count(*), 1000000000, CASE WHEN count(*) >= 1000000000 THEN 'pass' ELSE 'fail' END FROM customer"),
-    "health_verdict": q("SELECT 1::BIGINT AS failures, 0::BIGINT AS warnings, 'failed' AS verdict FROM (SELECT count(*) AS n FROM customer) WHERE n < 1000000000"),
+    "row_counts": q("SELECT 'orders' AS table_name, count(*) AS n, 1000::BIGINT AS expected, CASE WHEN count(*) >= 1000 THEN 'pass' ELSE 'fail' END AS status FROM orders UNION ALL SELECT 'customer', count(*), 1000, CASE WHEN count(*) >= 1000 THEN 'pass' ELSE 'fail' END FROM customer"),
+    "health_verdict": q("SELECT f::BIGINT AS failures, 0::BIGINT AS warnings, CASE WHEN f > 0 THEN 'failed' ELSE 'healthy' END AS verdict FROM (SELECT ((SELECT count(*) FROM orders) < 1000)::INT + ((SELECT count(*) FROM customer) < 1000)::INT + (SELECT count(*) <> count(DISTINCT o_orderkey) FROM orders)::INT AS f)"),
     "row_count_drop": q("SELECT day, n, round(t, 4) AS trailing_avg, coalesce(n < 0.5 * round(t, 4), false) AS is_drop FROM (SELECT *, avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS t FROM (SELECT ts::DATE AS day, count(*) AS n FROM o GROUP BY 1))", ORD),
     "feedback_0_100": q("SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 100 / 50, 2) AS rating FROM lineitem"),
     "upsert_scd1": q("SELECT coalesce(t.c_custkey, s.c_custkey) AS c_custkey, CASE WHEN s.b IS NOT NULL THEN s.v ELSE t.c_acctbal END AS c_acctbal, CASE WHEN s.b IS NOT NULL THEN 2 ELSE 1 END::INT AS batch FROM customer t FULL JOIN (SELECT c_custkey * 2 AS c_custkey, c_acctbal AS v, 2 AS b FROM customer WHERE c_custkey % 3 = 0) s ON t.c_custkey = s.c_custkey"),
@@ -253,4 +253,25 @@ ORACLES: dict[str, str] = {
     "backfill_range": q("SELECT platform, count(*) AS n, sum(cents)::BIGINT AS cents FROM (SELECT DISTINCT k, platform, cents FROM copies WHERE strftime(ing + to_seconds(cp * 300), '%Y') = '1996') GROUP BY 1", ORD),
     "reconcile_48h": q("SELECT DISTINCT poid AS platform_order_id, cents AS order_total_cents, ts AS order_timestamp FROM copies WHERE ing + to_seconds(cp * 300) BETWEEN TIMESTAMP '1999-05-30 12:00:00' AND TIMESTAMP '1999-06-01 12:00:00'", ORD),
     "jdbc_roundtrip": q("SELECT ts::DATE AS day, count(*) AS n_orders FROM o GROUP BY 1", ORD),
+    "menu_cdc_two_batches": q("SELECT * FROM menu", MENU),
+    "sat_order_late_changes": q("SELECT sha256(poid) AS order_hk, cents + 100 AS order_total_cents, ing - INTERVAL 1 DAY AS ingestion_timestamp FROM o WHERE k % 20 = 0", ORD),
+    "fact_order_default_zone": q(f"SELECT poid AS platform_order_id, CASE WHEN k % 7 <> 0 THEN {sk('zone_id')} WHEN city IS NULL THEN -1 ELSE {sk("city || '-DOWNTOWN'")} END AS zone_key FROM o LEFT JOIN kitchen USING (kitchen_id)", ORD, KITCHEN),
+    "fact_sensor_hourly": q("SELECT hourly.*, coalesce(kitchen_key, -1) AS kitchen_key, (year(hour) * 10000 + month(hour) * 100 + day(hour))::INT AS date_key FROM hourly LEFT JOIN kitchen USING (kitchen_id)", SENS, KITCHEN),
+    "seed_last_wins": q(f"SELECT {sk("'K-' || s_suppkey")} AS kitchen_key, 'K-' || s_suppkey AS kitchen_id, CASE WHEN length('K-' || s_suppkey) % 2 = 0 THEN upper(s_name) ELSE s_name END AS name, CASE WHEN length('K-' || s_suppkey) % 2 = 0 THEN 2 ELSE 1 END::INT AS load FROM supplier"),
+    "seed_csv": q("SELECT * FROM kitchen", KITCHEN),
+    "schema_merge": q("SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS c_mktsegment FROM customer"),
+    "hub_menu_item": q("SELECT sha256(item_id) AS item_id_hk, item_id, TIMESTAMP '2002-01-01' AS load_ts, 'menu' AS record_source FROM (SELECT DISTINCT item_id FROM menu)", MENU),
+    "link_order_kitchen_brand": q("SELECT sha256(sha256(poid) || '||' || sha256(kitchen_id) || '||' || sha256(brand_name)) AS link_hk, sha256(poid) AS order_hk, sha256(kitchen_id) AS kitchen_hk, sha256(brand_name) AS brand_hk, TIMESTAMP '2002-01-01' AS load_ts FROM o", ORD),
+    "identity_fuzzy_address": q("SELECT x.b AS segment, x.c_custkey AS a, y.c_custkey AS b, x.n AS na, y.n AS nb, levenshtein(x.n, y.n)::INT AS distance FROM s x JOIN s y ON x.b = y.b AND x.c_custkey < y.c_custkey AND levenshtein(x.n, y.n) <= 1", "s AS (SELECT c_custkey, c_mktsegment AS b, 'house ' || substr(md5(c_custkey::VARCHAR), 1, 4) AS n FROM customer)"),
+    "bronze_totals": q("SELECT count(*) AS n, min(k * 10 + cp) AS min_offset, max(k * 10 + cp) AS max_offset, count(DISTINCT strftime(ing + to_seconds(cp * 300), '%Y-%m-%d %H')) AS n_partitions FROM copies", ORD),
+    "dq_more": q("""SELECT 'sensors' AS suite, 'rate_between' AS rule, 'is_anomaly' AS "column", coalesce(count(*) FILTER (is_anomaly) / nullif(count(*), 0) BETWEEN 0.0 AND 0.25, false) AS success, count(*) FILTER (is_anomaly) AS unexpected_count, count(*) AS total FROM sensor
+      UNION ALL SELECT 'sensors', 'drift_below', 'value', count(*) FILTER (d >= 200) = 0, count(*) FILTER (d >= 200), count(*) FROM (SELECT abs(value - lag(value) OVER (PARTITION BY sensor_id ORDER BY event_timestamp, reading_id)) AS d FROM sensor)
+      UNION ALL SELECT 'dim_zone', 'row_count', '', count(*) = 125, abs(count(*) - 125), count(*) FROM zone UNION ALL SELECT 'dim_time', 'row_count', '', count(*) = 1440, abs(count(*) - 1440), count(*) FROM unnest(generate_series(0, 1439))""", SENS, ZONE),
+    "replace_partitions": q("SELECT year(ts)::INT AS year, platform, (CASE WHEN year(ts) = 1997 THEN -1 ELSE 1 END * sum(cents))::BIGINT AS cents FROM o GROUP BY year(ts), platform", ORD),
+    "stream_sliding": q("SELECT h AS hour, event_type, count(*) AS reading_count, min(value) AS min_value, max(value) AS max_value FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 30 MINUTE]) AS h FROM events) WHERE h + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) GROUP BY 1, 2"),
+    "jdbc_gold_tables": q(" UNION ALL ".join(f"SELECT '{name}' AS table_name, ({n}) AS n" for name, n in {
+        "dim_date": "SELECT count(*) FROM cal", "dim_time": "SELECT count(*) FROM unnest(generate_series(0, 1439))", "dim_kitchen": "SELECT count(*) FROM kitchen", "dim_brand": "SELECT count(*) FROM brand", "dim_delivery_zone": "SELECT count(*) FROM zone",
+        "dim_menu_item": "SELECT count(*) FROM menu", "dim_customer": "SELECT count(*) FROM cust", "bridge_kitchen_brand": "SELECT count(DISTINCT (kitchen_key, brand_key)) FROM fact WHERE kitchen_key <> -1 AND brand_key <> -1", "fact_order": "SELECT count(*) FROM fact",
+        "fact_order_state_history": "SELECT count(*) FROM st", "fact_sensor_hourly": "SELECT count(*) FROM hourly", "fact_delivery_trip": "SELECT count(*) FROM moved"}.items()), ORD, CAL, KITCHEN, BRAND, ZONE, MENU, CUST, FACT, EV, STATES, SENS, TRIP),
 }
+ORACLES["dq_pass_rate"] = "SELECT suite, count(*) AS n_rules, count(*) FILTER (success) AS n_passed, round(100.0 * count(*) FILTER (success) / count(*), 2) AS pass_pct FROM ((" + ORACLES["dq_fact_order"] + ") UNION ALL (" + ORACLES["dq_dim_customer"] + ")) GROUP BY suite"

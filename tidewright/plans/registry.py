@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rating_0_100
-from ..operators import align, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
+from ..operators import align, cdc, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
 from ..session import shared_folder
 from ..sources import export, feeds
-from ..sources.bronze import envelope
+from ..sources.bronze import envelope, read_seed, read_table, write_table
 from ..streaming import stream
 from . import marts
 from .star import Star, bronze, load_ts
@@ -313,7 +313,7 @@ def dq_dim_menu_item(s: Star) -> DataFrame:
 
 @query
 def dq_states(s: Star) -> DataFrame:
-    return quality.run(s.events(), "states", [quality.Rule("has_state", "order_id", {"state_column": "status", "state": "placed"}), quality.Rule("columns", args={"names": ["order_id", "status"]})])
+    return quality.run(s.events(), "states", [quality.Rule("has_state", "order_id", {"state_column": "status", "state": "placed"}), quality.Rule("columns", args={"names": ["order_id", "status"]})]).unionByName(quality.run(s.table("orders"), "orders", [quality.Rule("columns", args={"names": ["o_orderkey", "o_orderdate", "o_zone"]})]))
 
 
 @query
@@ -339,13 +339,13 @@ def freshness(s: Star) -> DataFrame:
 
 @query
 def health_verdict(s: Star) -> DataFrame:
-    counts = health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
+    counts = health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 1000})
     return health.verdict(counts.select("status").unionByName(health.grain(s.orders(), ["platform_order_id"]).select("status")))
 
 
 @query
 def row_counts(s: Star) -> DataFrame:
-    return health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 10**9})
+    return health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 1000})
 
 
 @query
@@ -430,4 +430,138 @@ def jdbc_roundtrip(s: Star) -> DataFrame:
     return back.toDF(*[c.lower() for c in back.columns])
 
 
+@query
+def menu_cdc_two_batches(s: Star) -> DataFrame:
+    """The history after a second batch of changes, which holds one of the first batch again."""
+    log, cut = s.bronze_menu(), F.lit("1998-01-01").cast("timestamp")
+    first = cdc.menu_history(log.filter(F.col("kafka_timestamp") < cut))
+    second = log.filter((F.col("kafka_timestamp") >= cut) | (F.col("kafka_timestamp") < "1995-01-02"))
+    return cdc.menu_history(second, first).drop("description", "is_active")
+
+
+@query
+def sat_order_late_changes(s: Star) -> DataFrame:
+    o = s.orders()
+    k = F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long")
+    day = F.timestamp_seconds(F.unix_timestamp("ingestion_timestamp") - F.when(k % 20 == 0, 86_400).otherwise(-86_400))
+    late = o.filter(k % 10 == 0).withColumn("order_total_cents", F.col("order_total_cents") + 100).withColumn("ingestion_timestamp", day)
+    late = late.unionByName(o.filter(k % 10 == 1)).withColumn("order_hk", F.sha2("platform_order_id", 256))
+    found = upsert.late_changes(vault.sat_order_details(None, o), late, ["order_hk"], vault.ORDER_TRACKED, "ingestion_timestamp")
+    return found.select("order_hk", "order_total_cents", "ingestion_timestamp")
+
+
+@query
+def fact_order_default_zone(s: Star) -> DataFrame:
+    """Every seventh order comes without a zone and gets its kitchen's default one."""
+    k = F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long")
+    o = s.orders().withColumn("zone_id", F.when(k % 7 != 0, F.col("zone_id")))
+    f = facts.orders(facts.default_zone(o, s.kitchen(), s.zone()), s.kitchen(), s.brand(), s.zone())
+    return f.select("platform_order_id", "zone_key")
+
+
+@query
+def fact_sensor_hourly(s: Star) -> DataFrame:
+    return sensors.fact_hourly(s.readings(), s.kitchen())
+
+
+@query
+def seed_last_wins(s: Star) -> DataFrame:
+    """Two loads of one seed: the later one counts."""
+    base = s.table("supplier").select(F.concat(F.lit("K-"), F.col("s_suppkey").cast("string")).alias("kitchen_id"), F.col("s_name").alias("name"), F.lit(1).alias("load"))
+    again = base.filter(F.length("kitchen_id") % 2 == 0).withColumn("name", F.upper("name")).withColumn("load", F.lit(2))
+    return dims.from_seed(base.unionByName(again), "kitchen_id", "kitchen_key", "load")
+
+
+@query
+def seed_csv(s: Star) -> DataFrame:
+    """Kitchens as a seed file with upper-case headers, read under a schema."""
+    path = scratch(s.spark)
+    k = feeds.kitchens(s.spark, s.dir)
+    k.select(*[F.col(c).alias(c.upper()) for c in k.columns]).write.csv(path, header=True)
+    return dims.from_seed(read_seed(s.spark, path, ", ".join(f"{c.upper()} {t}" for c, t in k.dtypes)), "kitchen_id", "kitchen_key")
+
+
+@query
+def schema_merge(s: Star) -> DataFrame:
+    """A table overwritten with a new schema, then appended to with one more column, read with all of them."""
+    path = scratch(s.spark)
+    c = s.table("customer")
+    write_table(c.select(F.col("c_custkey").cast("string").alias("old")), path)
+    write_table(c.filter("c_custkey % 2 = 0").select("c_custkey", "c_acctbal"), path)
+    write_table(c.filter("c_custkey % 2 = 1").select("c_custkey", "c_acctbal", "c_mktsegment"), path, "append")
+    return read_table(s.spark, path, mergeSchema="true").select("c_custkey", "c_acctbal", "c_mktsegment")
+
+
+@query
+def hub_menu_item(s: Star) -> DataFrame:
+    rows = s.menu().withColumn("source", F.lit("menu"))
+    return vault.hub_of(None, rows, "item_id", "source", ["effective_start"], load_ts())
+
+
+@query
+def link_order_kitchen_brand(s: Star) -> DataFrame:
+    sha = lambda c: F.sha2(F.col(c), 256)
+    o = s.orders().select(sha("platform_order_id").alias("order_hk"), sha("kitchen_id").alias("kitchen_hk"), sha("brand_name").alias("brand_hk"))
+    return vault.link(None, o, "link_hk", ["order_hk", "kitchen_hk", "brand_hk"], load_ts())
+
+
+@query
+def identity_fuzzy_address(s: Star) -> DataFrame:
+    """Customers of one segment whose addresses are near each other."""
+    people = s.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.concat_ws(" ", F.lit("house"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 4)).alias("address"))
+    return identity.fuzzy(people, "c_custkey", "address", ["segment"], 1)
+
+
+@query
+def bronze_totals(s: Star) -> DataFrame:
+    return health.bronze_totals(s.bronze_orders())
+
+
+@query
+def dq_more(s: Star) -> DataFrame:
+    r = s.readings()
+    rules = [quality.Rule("rate_between", "is_anomaly", {"flag": F.col("is_anomaly"), "min": 0.0, "max": 0.25}), quality.Rule("drift_below", "value", {"by": "sensor_id", "order": ["event_timestamp", "reading_id"], "limit": 200})]
+    zone = quality.run(s.zone(), "dim_zone", [quality.Rule("row_count", args={"n": 125})])
+    time = quality.run(dims.time(s.spark), "dim_time", [quality.Rule("row_count", args={"n": 1440})])
+    return quality.run(r, "sensors", rules).unionByName(zone).unionByName(time)
+
+
+@query
+def dq_pass_rate(s: Star) -> DataFrame:
+    checks = quality.run(s.fact_order(), "fact_order", quality.FACT_ORDER).unionByName(quality.run(s.customer(), "dim_customer", quality.DIM_CUSTOMER))
+    return health.pass_rate(checks)
+
+
+@query
+def replace_partitions(s: Star) -> DataFrame:
+    """Orders per year and platform; then one year is replaced and the others stay."""
+    path = scratch(s.spark)
+    g = s.orders().groupBy(F.year("order_timestamp").alias("year"), "platform").agg(F.sum("order_total_cents").alias("cents"))
+    stream.replace_partitions(g, path, "year")
+    stream.replace_partitions(g.filter("year = 1997").withColumn("cents", -F.col("cents")), path, "year")
+    return s.spark.read.parquet(path).select("year", "platform", "cents")
+
+
+@query
+def stream_sliding(s: Star) -> DataFrame:
+    """Hours that start every half hour, closed by a watermark of no delay."""
+    e = _stream_of(s, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = stream.run_once(s.spark, stream.rollup(e, ["event_type"], "ts", "value", "0 seconds", slide="30 minutes"), scratch(s.spark), scratch(s.spark))
+    return out.select("hour", "event_type", "reading_count", "min_value", "max_value")
+
+
+@query
+def jdbc_gold_tables(s: Star) -> DataFrame:
+    """The dimensional set exported in order (dimensions first), and the rows that arrived."""
+    url, props = export.connection({"EXPORT_JDBC_URL": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "EXPORT_JDBC_DRIVER": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    for r in export.export_tables(s.spark, s.gold(), url, props, partitions=2).collect():
+        if not r["success"]:
+            raise RuntimeError(f"{r['table_name']}: {r['error']}")
+    out = None
+    for name in s.gold():
+        one = s.spark.read.jdbc(url, name, properties=props).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 __all__ = ["QUERIES", "bronze", "feeds"]

@@ -144,3 +144,15 @@ class Star:
 
     def fact_order(self) -> DataFrame:
         return facts.orders(self.orders(), self.kitchen(), self.brand(), self.zone(), facts.final_state(self.events()))
+
+    def trips(self) -> DataFrame:
+        return trips.link_orders(trips.summarise(self.pings()), self.fact_order())
+
+    def gold(self) -> dict[str, DataFrame]:
+        """The dimensional set, dimensions before facts."""
+        return {
+            "dim_date": self.date(), "dim_time": dims.time(self.spark), "dim_kitchen": self.kitchen(), "dim_brand": self.brand(), "dim_delivery_zone": self.zone(),
+            "dim_menu_item": dims.menu_item(self.menu()), "dim_customer": self.customer(), "bridge_kitchen_brand": dims.pairs(self.orders(), self.kitchen(), self.brand()),
+            "fact_order": self.fact_order(), "fact_order_state_history": facts.state_history(self.events(), self.kitchen()),
+            "fact_sensor_hourly": sensors.fact_hourly(self.readings(), self.kitchen()), "fact_delivery_trip": self.trips(),
+        }

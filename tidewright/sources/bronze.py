@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What a log broker's source gives for every record.
 STREAM_SCHEMA = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp, timestampType int"
+#: The columns of the two seed files.
 KITCHEN_SCHEMA = "kitchen_id string, name string, city string, state string, lat double, lon double, capacity_orders_per_hour int, opened_date date, is_active boolean"
 BRAND_SCHEMA = "brand_id string, brand_name string, cuisine_type string, launch_date date, is_active boolean"
 
@@ -37,8 +38,9 @@ def read_stream(spark: SparkSession, topic: str, servers: str | None = None, fmt
     return reader.schema(schema or STREAM_SCHEMA).options(**options).load(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """A table by format; ``mergeSchema="true"`` takes the columns of all its files."""
+    return spark.read.format(fmt).options(**options).load(path)
 
 
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
