@@ -35,9 +35,11 @@ def fuzzy(people: DataFrame, id_column: str, name: str, block: list[str], most:
     different names are joined on (block, that string): names in one group are near each other,
     whatever prefix a whole block shares. A name of n characters has about n ** most / 2 of them.
     ``block`` and ``name`` may be anything the pairs should agree in or be near in, a name or an
-    address. Null and empty names have no pair.
+    address. Null and empty names have no pair. Columns: the block's, a, b, na, nb, distance (with an
+    underscore where the block has a column of that name).
     """
     inner = [f"__block{i}" for i in range(len(block))]
+    out = [n + "_" * (n in block) for n in ("a", "b", "na", "nb", "distance")]
     src = people.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(block, inner, strict=True)], F.col(id_column).alias("__id"), F.lower(F.trim(F.col(name))).alias("__name")).filter("__name <> ''")
     keys = step = F.array("__name")
     for _ in range(most):
@@ -53,4 +55,4 @@ def fuzzy(people: DataFrame, id_column: str, name: str, block: list[str], most:
     pairs = pairs.filter((F.col("__name") != F.col("__other")) | (F.col("__a") < F.col("__b")))
     turn = F.col("__a") > F.col("__b")
     pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    return pairs.select(*[F.col(i).alias(c) for c, i in zip(block, inner, strict=True)], pick("__a", "__b").alias("a"), pick("__b", "__a").alias("b"), pick("__name", "__other").alias("na"), pick("__other", "__name").alias("nb"), "distance")
+    return pairs.select(*[F.col(i).alias(c) for c, i in zip(block, inner, strict=True)], *[c.alias(n) for c, n in zip((pick("__a", "__b"), pick("__b", "__a"), pick("__name", "__other"), pick("__other", "__name"), F.col("distance")), out, strict=True)])
