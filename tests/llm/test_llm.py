@@ -61,6 +61,22 @@ def test_quality_against_brute_force(spark, edges):
     assert ab["few_words"].n_only == bits.filter("bits = 1").count()
 
 
+@pytest.mark.parametrize("name", ["op2_quality", "op7_decontamination", "op9_line_dedup", "quality_ablation", "quality_policies"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from tests.test_queries import SF, rows
+    from tidewright.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = rows(got.toPandas(), sorted(got.columns)), rows(want.df(), sorted(got.columns))
+    assert a == b
+
+
 def naive_spans(t):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import fresh, shared_folder, table, words_of
 
 #: Bit of each rule. Never reuse a bit: stored ledgers outlive policies.
 RULES = {
@@ -68,8 +70,6 @@ def ledger(docs: DataFrame, text_column: str = "text") -> DataFrame:
     and no ratio rule); repeated rows are measured alike. Existing columns keep their values: the
     one added struct is named ``ledger``, with underscores appended if that name is taken.
     """
-    from .common import fresh
-
     t, name = fresh(docs, "__t"), fresh(docs, "ledger")
     w, g, m = fresh(docs, "__words"), fresh(docs, "__grams"), fresh(docs, "__m")
     width = 5
@@ -131,19 +131,54 @@ def ablation(bits: DataFrame, policy: str, column: str = "bits") -> DataFrame:
 
 def reject(docs: DataFrame, policy: str = "v1", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass ``policy``, columns unchanged."""
-    from .common import fresh
-
     name = fresh(docs, "ledger")
     return ledger(docs, text_column).filter(kept(F.col(name)["bits"], policy)).drop(name)
 
 
+def store(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Write the ledger of ``docs`` to ``path`` and read it: id, measurements and bits, no text.
+
+    Every rule is evaluated once, here. Policies, new ones too, ablations and checks against
+    labels read the stored bits. One row per row of ``docs``, repeated ids and all.
+    """
+    out = ledger(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text").select("id", F.col("ledger.*"))
+    out.withColumnRenamed("id", id_column).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def policy_table(stored: DataFrame, labels: DataFrame | None = None, id_column: str = "doc_id") -> DataFrame:
+    """Per policy: documents, kept ones and, with ``labels`` (id, quality 1 or 0), the kept and all of
+    either label. One aggregation over the stored bits; the labels are joined once."""
+    df = stored.select(id_column, "bits")
+    if labels is None:
+        df = df.withColumn("quality", F.lit(None).cast("long"))
+    else:
+        df = df.join(labels.select(id_column, "quality"), id_column, "left")
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), kept(F.col("bits"), p).alias("kept")) for p in POLICIES])).alias("p")
+    good, bad, k = F.col("quality") == 1, F.col("quality") == 0, F.col("p.kept")
+    g = df.select("quality", rows).groupBy(F.col("p.policy").alias("policy"))
+    return g.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(k).alias("n_kept"), F.count_if(good).alias("n_good"), F.count_if(good & k).alias("good_kept"), F.count_if(bad).alias("n_bad"), F.count_if(bad & k).alias("bad_kept"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents under policy v1."""
-    df = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    x = F.col("ledger")
-    base = x["bits"].bitwiseAND(F.lit(mask(BASE_RULES))) != 0
-    cols = [x[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return df.select("doc_id", *cols, base.alias("base_failed"), kept(x["bits"], "v1").alias("kept"), x["bits"].alias("fail_bits"))
+    """The stored ledger of all documents under policy v1."""
+    base = F.col("bits").bitwiseAND(F.lit(mask(BASE_RULES))) != 0
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return _stored(spark, sf_dir).select("doc_id", *cols, base.alias("base_failed"), kept(F.col("bits"), "v1").alias("kept"), F.col("bits").alias("fail_bits"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, and what it alone rejects, from the stored ledger."""
+    return ablation(_stored(spark, sf_dir), "v1")
+
+
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All policies over the stored ledger, against the labels."""
+    return policy_table(_stored(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 #: DuckDB SQL for the query above.
@@ -179,3 +214,11 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
        (fail_bits & 503) = 0 AS kept, fail_bits FROM b
 """
+ABLATION_SQL = "WITH x AS (SELECT fail_bits & %d AS f FROM (%s)) " % (mask(POLICIES["v1"]), SQL) + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, count(*) FILTER (f & {1 << RULES[r]} <> 0) AS n_failed, count(*) FILTER (f = {1 << RULES[r]}) AS n_only, count(*) AS n_docs FROM x" for r in POLICIES["v1"]
+)
+POLICIES_SQL = f"WITH x AS (SELECT fail_bits, quality FROM ({SQL}) LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, count(*) AS n_docs, count(*) FILTER (fail_bits & {mask(r)} = 0) AS n_kept, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality = 1 AND fail_bits & {mask(r)} = 0) AS good_kept, "
+    f"count(*) FILTER (quality = 0) AS n_bad, count(*) FILTER (quality = 0 AND fail_bits & {mask(r)} = 0) AS bad_kept FROM x"
+    for p, r in POLICIES.items()
+)

@@ -15,5 +15,13 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "quality_ablation": quality.quality_ablation,
+    "quality_policies": quality.quality_policies,
+}
+ORACLES = {
+    "op2_quality": quality.SQL,
+    "op7_decontamination": decontaminate.SQL,
+    "op9_line_dedup": linededup.SQL,
+    "quality_ablation": quality.ABLATION_SQL,
+    "quality_policies": quality.POLICIES_SQL,
 }
-ORACLES = {"op2_quality": quality.SQL, "op7_decontamination": decontaminate.SQL, "op9_line_dedup": linededup.SQL}

@@ -163,9 +163,10 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     # the smallest (has an id, id, content) of each group names the row that stays
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h")).alias("m"))
-    keep = cut(best.select(F.col("m.h").alias("__keep_h"), F.col("m.low").alias("__keep_id")))
-    stay = marked.join(keep, (F.col(key) == F.col("__keep_h")) & F.col(id_column).eqNullSafe(F.col("__keep_id")))
-    return stay.dropDuplicates(["__keep_h"]).select(*docs.columns)
+    keep_h, keep_id = fresh(docs, "__keep_h"), fresh(docs, "__keep_id")
+    keep = cut(best.select(F.col("m.h").alias(keep_h), F.col("m.low").alias(keep_id)))
+    stay = marked.join(keep, (F.col(key) == F.col(keep_h)) & F.col(id_column).eqNullSafe(F.col(keep_id)))
+    return stay.dropDuplicates([keep_h]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
