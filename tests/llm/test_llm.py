@@ -678,3 +678,43 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids[names[3]]
     assert hashlib.sha256(b"").hexdigest() == pii.digest("")
+
+
+def test_pipeline_edge_cases(spark, edges, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("b", prose(99_999, 14))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    many = [(500, "\n".join(prose(k, 30) for k in range(3000))), (501, "x" * 400_000), (502, prose(9, 60)), (502, prose(9, 60)), (None, prose(9, 60)), (None, None)]
+    odd = spark.createDataFrame([(i, t, "en", 5) for i, t in many], edges.schema)
+    names = {"Ledger": "__keep_h", "h1": "__gone"}
+    for docs in (edges.unionByName(odd).withColumnsRenamed(names), empty(edges)):
+        step = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, str(tmp_path))
+            assert step.columns == docs.columns, name
+            out = f"{tmp_path}/{name}-{docs.columns[2]}"
+            step.write.parquet(out)
+            step = spark.read.parquet(out)
+        rows = step.collect()
+        if docs.columns[2] == "__keep_h":
+            assert sorted((r.doc_id is None, len(r.text)) for r in rows if r.text and len(r.text) > 100) == sorted([(False, len(many[0][1])), (False, len(EDGES[-1][1])), (True, len(many[2][1]))])
+        else:
+            assert not rows
+        packed = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == len({r.doc_id for r in rows})
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(prose(k, 40) for k in range(2500))
+    docs = spark.createDataFrame([(1, long), (2, "a " * 300_000), (3, "z" * 500_000), (4, long[:-7] + " other")], "doc_id long, text string")
+    led = {r.doc_id: r.ledger for r in quality.ledger(docs).collect()}
+    assert led[1].n_words == 100_000 and led[2].n_repeat_words == 300_000 and led[3].n_words == 1
+    lines = {r.doc_id: r for r in linededup.dedup_lines(docs, alone=10).collect()}
+    assert lines[1].text == long and lines[4].n_deleted == 2499
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == 3
+    assert simhash.keep_one(docs).count() == 3
+    assert {r.doc_id for r in substring.repeated_passages(docs).collect()} == {1, 4}
+    assert {r.doc_id: r.n_pretokens for r in tokencount.count_tokens(docs, {"▁a": -1.0, "z": -1.0}).collect()}[1] == 100_000
+    bench = spark.createDataFrame([("b", prose(2400, 40))], "item_id string, text string")
+    assert {r.doc_id: len(r.matches) for r in decontaminate.matches(docs, bench).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+    assert sharding.shard(docs, n_shards=2).groupBy("shard").count().count() == 2
