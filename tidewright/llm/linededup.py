@@ -39,6 +39,16 @@ def _classes(df: DataFrame, keys: list[str]) -> DataFrame:
     return cut(found.orderBy(*keys)).withColumn("longer", F.monotonically_increasing_id())
 
 
+#: Tables of at most so many narrow rows go through a step in one task, without an exchange.
+SMALL_ROWS = 20_000
+
+
+def _gathered(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows in one partition if it is small: deep levels are, and an exchange of them
+    would cost tasks and move next to nothing."""
+    return df.coalesce(1) if n <= SMALL_ROWS else df
+
+
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     """Intervals of the suffix array over line ids by depth, until every suffix is alone.
 
@@ -55,8 +65,10 @@ def suffix_levels(lines: DataFrame) -> list[DataFrame]:
     levels: list[DataFrame] = []
     while True:
         level = cut(rows.join(_classes(rows, keys), keys).select(*HERE, F.col("longer").alias("rank"), *FIRST))
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             return levels
+        level = _gathered(level, n)
         levels.append(level)
         step = 1 << (len(levels) - 1)
         ahead = F.min("rank").over(Window.partitionBy("doc", "tie").orderBy("at").rangeBetween(step, step))
@@ -89,6 +101,7 @@ def maximal_runs(levels: list[DataFrame], run: int) -> DataFrame | None:
     follows = (before("at") == F.col("at") - 1) & before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_tie") == F.col("first_tie")) & (before("first_at") == F.col("first_at") - 1) & (before("k") >= F.col("k"))
     starts = deepest.withColumn("follows", F.coalesce(follows, F.lit(False))).filter("not follows").drop("follows")
     starts = cut(starts.withColumn("length", F.expr("shiftleft(1, k)")))
+    starts = _gathered(starts, starts.count())
     for k in reversed(range(len(levels) - 1)):
         here = levels[k].select(F.col("doc").alias("a_doc"), F.col("tie").alias("a_tie"), F.col("at").alias("a_at"), F.col("rank").alias("a"))
         there = levels[k].select(F.col("doc").alias("b_doc"), F.col("tie").alias("b_tie"), F.col("at").alias("b_at"), F.col("rank").alias("b"))
@@ -97,7 +110,7 @@ def maximal_runs(levels: list[DataFrame], run: int) -> DataFrame | None:
         found = starts.join(here, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("tie") == F.col("a_tie")) & (F.col("at") + goes_on == F.col("a_at")), "left")
         found = found.join(there, F.col("first_doc").eqNullSafe(F.col("b_doc")) & (F.col("first_tie") == F.col("b_tie")) & (F.col("first_at") + goes_on == F.col("b_at")), "left")
         found = found.withColumn("length", F.col("length") + F.when(F.col("a") == F.col("b"), 1 << k).otherwise(0))
-        starts = cut(found.select(*starts.columns)) if k % 3 == 0 else found.select(*starts.columns)
+        starts = found.select(*starts.columns)
     reach = F.max(F.col("at") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = starts.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("at") + F.col("length") > F.col("reach")))
     return runs.select(*HERE, "length", *FIRST)
