@@ -13,7 +13,7 @@ from .common import cut, numbered, table
 #: Cells of one search pass. Boxes of a level up to BROADCAST_BOXES (about 100 bytes each) are sent to every task.
 CELLS, BROADCAST_BOXES = 1 << 16, 20_000
 #: A level whose boxes have no more rows each (a few dozen bytes a row) is cut by sorting every box in one task.
-SORT_ROWS = 20_000
+SORT_ROWS = 100_000
 LEAST = -(1 << 63)
 #: Depth of a cut's key: the dimension, then the text's hash, then the row.
 KEYS = ("value", "tie", "row")
@@ -113,7 +113,8 @@ def tree(meta: DataFrame, n_shards: int, dims: list[str], tolerance: float = 0.0
     slack = tolerance * spans["w"] / n_shards
     width = {d: max(1, spans[f"hi_{d}"] - spans[f"lo_{d}"]) for d in dims}
     spark = meta.sparkSession
-    rows = meta.withColumn("box", F.lit(1).cast("long"))
+    # read off the row, so that no plan takes the number for a constant and the join for a product
+    rows = meta.withColumn("box", F.when(F.col("row").isNotNull(), 1).otherwise(0).cast("long"))
     shards = spark.createDataFrame([(1, n_shards, 0)], "box long, shards int, first int")
     done: list[DataFrame] = []
     n_boxes = 1
