@@ -27,9 +27,11 @@ _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C1
 
 
 class Words:
-    """Word hashes of many texts at once, by array operations over their bytes."""
+    """Word hashes of many texts at once, by array operations over their bytes. ``letters``: the byte
+    that each byte of a word counts as, 0 for separators."""
 
-    def __init__(self) -> None:
+    def __init__(self, letters: np.ndarray = WORD_BYTE) -> None:
+        self.letters = letters
         self.power = self.inverse = np.ones(1, np.uint64)
         #: (first byte, end) of every word of the last split.
         self.bounds = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -42,7 +44,7 @@ class Words:
             with np.errstate(over="ignore"):
                 self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]))
                 self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _INVERSE)]))
-        low = WORD_BYTE[data]
+        low = self.letters[data]
         inside = low != 0
         edge = (np.cumsum(sizes) - sizes)[sizes > 0]
         first = inside.copy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, linededup, packing, periodic, pii, quality, sharding, simhash, substring, tokencount
+from . import decontaminate, html, linededup, packing, periodic, pii, quality, sharding, simhash, sketch, substring, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_sketch": sketch.op11_sketch,
     "op13_periodic_runs": periodic.op13_periodic_runs,
     "quality_ablation": quality.quality_ablation,
     "quality_policies": quality.quality_policies,
@@ -23,6 +24,7 @@ ORACLES = {
     "op2_quality": quality.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op9_line_dedup": linededup.SQL,
+    "op11_sketch": sketch.SQL,
     "quality_ablation": quality.ABLATION_SQL,
     "quality_policies": quality.POLICIES_SQL,
 }
