@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, linededup, packing, periodic, pii, quality, sharding, simhash, sketch, substring, tokencount
+from . import decontaminate, html, linededup, packing, periodic, pii, quality, sharding, simhash, sketch, substring, tokencount, whitening
 
 QUERIES = {
     "op1_token_counts": tokencount.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_sketch": sketch.op11_sketch,
+    "op12_whitening": whitening.op12_whitening,
     "op13_periodic_runs": periodic.op13_periodic_runs,
     "quality_ablation": quality.quality_ablation,
     "quality_policies": quality.quality_policies,
