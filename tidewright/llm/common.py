@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words of a text: runs of anything but ASCII white space.
@@ -76,7 +76,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts
 
     A group is dealt over ``salts`` cells by a hash of ``order`` (by default so many that the
     table's rows, were they one group, gave cells of 50 000); cells are counted with map-side
-    aggregation, their starts are prefix sums over at most ``salts`` counts, and only the rows
+    aggregation, their starts are running sums of at most ``salts`` counts a group, and only the rows
     of one cell meet in a task. The number of a row depends on its content alone, so a lost task
     gives the same numbers again; rows that agree in ``order`` may swap numbers.
     """
@@ -85,15 +85,8 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts
         salts = max(512, df.count() // 50_000)
     df = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("n"))
-    cells = counts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(cell, "n"))).alias("cells"))
-    step = lambda acc, x: F.struct(
-        (acc["total"] + x["n"]).alias("total"),
-        F.concat(acc["out"], F.array(F.struct(x[cell].alias(cell), acc["total"].alias(base)))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(f"array<struct<{cell}:int,{base}:bigint>>").alias("out"))
-    bases = cells.select(*group, F.inline(F.aggregate("cells", zero, step, lambda acc: acc["out"])))
-    from pyspark.sql import Window
-
+    upto = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*group, cell, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias(base))
     inside = F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order)).cast("long") - 1
     ranked = df.withColumn(at, inside)
     joined = ranked.join(bases, [*group, cell])

@@ -80,23 +80,44 @@ class Test:
         self.names, self.window = [i for i, _ in items], window
         self.vocabulary = np.unique(hashes)
         ids = np.searchsorted(self.vocabulary, hashes) + 1
-        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        at = 0
+        found: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+        at, self.starts = 0, np.cumsum(counts) - counts
+        self.counts, self.tokens = counts, ids
         for i, n in enumerate(counts.tolist()):
             words = ids[at : at + n].tolist()
             at += n
             for k in range(max(1, n - window + 1) if n else 0):
-                found.setdefault(tuple(words[k : k + window]), []).append((i, k))
+                found.setdefault(tuple(words[k : k + window]), []).append((words[k - 1] if k else 0, i, k))
         windows = sorted(found)
         self.length = np.fromiter(map(len, windows), np.int64, len(windows))
         self.words = np.zeros((len(windows), window), np.int64)
         for k, w in enumerate(windows):
             self.words[k, : len(w)] = w
-        owners = [found[w] for w in windows]
+        # owners of a window in order of the word before it, 0 where an item starts
+        owners = [sorted(found[w]) for w in windows]
         self.owner_count = np.fromiter(map(len, owners), np.int64, len(owners))
         self.owner_start = np.cumsum(self.owner_count) - self.owner_count
-        flat = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
-        self.owner, self.place = flat[:, 0], flat[:, 1]
+        flat = np.array([x for o in owners for x in o], np.int64).reshape(-1, 3)
+        self.owner, self.place = flat[:, 1], flat[:, 2]
+        self.span = len(self.vocabulary) + 2
+        self.owner_key = np.repeat(np.arange(len(windows)), self.owner_count) * self.span + flat[:, 0]
+
+
+class Runs:
+    """Hashes of token runs from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        with np.errstate(over="ignore"):
+            code = (tokens.astype(np.uint64) + np.uint64(1)) * _CODE[0]
+            code = (code ^ (code >> np.uint64(31))) * _CODE[1]
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]))
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]))
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum((code ^ (code >> np.uint64(29))) * power[:n])])
+
+    def run(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.total[start + length] - self.total[start]) * self.inverse[start]
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -142,62 +163,88 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def search_shard(hashes: np.ndarray, counts: np.ndarray, test: Test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One shard: where test windows occur. Returns (document, first word, window) of every occurrence."""
-    n_docs, none = len(counts), np.zeros(0, np.int64)
-    if not len(test.words) or not len(hashes):
-        return none, none, none
-    first = np.cumsum(counts) - counts
-    doc = np.repeat(np.arange(n_docs), counts)
-    where = np.searchsorted(test.vocabulary, hashes)
-    known = test.vocabulary[np.minimum(where, len(test.vocabulary) - 1)] == hashes
-    tokens = np.zeros(len(hashes) + n_docs + 2 * test.window + 16, np.int64)
-    slot = np.arange(len(hashes)) + doc  # one empty token after each document
-    tokens[slot] = np.where(known, where + 1, 0)
-    array = suffix_array(tokens, test.window)
-    lo, hi = interval(tokens, array, test.words, test.length)
-    at = array[_ranges(lo, hi - lo)]
-    window = np.repeat(np.arange(len(lo)), hi - lo)
-    owner = np.searchsorted(first + np.arange(n_docs), at, "right") - 1
-    return owner, at - owner - first[owner], window
-
-
-def longest_matches(doc: np.ndarray, start: np.ndarray, window: np.ndarray, test: Test) -> tuple[np.ndarray, ...]:
-    """Longest matches (document, item, place in the item, first word, words) from where suffix heads occur.
-
-    Suffixes of one item that start one word after the other, and occur one word after the other,
-    are one match: it goes on to the last head and the words behind it.
-    """
-    n = test.owner_count[window]
-    pick = _ranges(test.owner_start[window], n)
-    doc, start, length = (np.repeat(x, n) for x in (doc, start, test.length[window]))
-    item, place = test.owner[pick], test.place[pick]
-    order = np.lexsort((start, start - place, item, doc))
-    doc, item, place, start, length = doc[order], item[order], place[order], start[order], length[order]
-    if not len(doc):
-        return doc, item, place, start, length
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - place[1:] != start[:-1] - place[:-1]) | (start[1:] != start[:-1] + 1)
-    at = np.flatnonzero(new)
-    tail = np.append(at[1:], len(doc)) - 1
-    return doc[at], item[at], place[at], start[at], start[tail] + length[tail] - start[at]
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
+
+
+class Shard:
+    """A run of documents as tokens: ids of the words that items have, 0 for others and after each document."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, test: Test):
+        n_docs = len(counts)
+        self.counts, self.test = counts, test
+        doc = np.repeat(np.arange(n_docs), counts)
+        where = np.searchsorted(test.vocabulary, hashes)
+        known = test.vocabulary[np.minimum(where, len(test.vocabulary) - 1)] == hashes if len(test.vocabulary) else np.zeros(len(hashes), bool)
+        self.tokens = np.zeros(len(hashes) + n_docs + 2 * test.window + 16, np.int64)
+        self.tokens[np.arange(len(hashes)) + doc] = np.where(known, where + 1, 0)
+        self.first = np.cumsum(counts) - counts + np.arange(n_docs)
+
+    def occurrences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(token, window) wherever a suffix head of the test occurs, by suffix array and binary search."""
+        if not len(self.test.words) or not self.tokens.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        array = suffix_array(self.tokens, self.test.window)
+        lo, hi = interval(self.tokens, array, self.test.words, self.test.length)
+        return array[_ranges(lo, hi - lo)], np.repeat(np.arange(len(lo)), hi - lo)
+
+    def longest(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Longest matches in portions: (document, item, place in the item, first word, words).
+
+        Where a head occurs, a longest match with an item's place starts if the words before the two
+        differ or one of them is the first; owners of a head lie in order of that word, so only such
+        pairs are ever made, one for each match, however often a text or an item repeats a word. How
+        far a match goes is found by halving over hashes of runs."""
+        test = self.test
+        at, window = self.occurrences()
+        if not len(at):
+            return
+        before = np.where(at > 0, self.tokens[np.maximum(at - 1, 0)], 0)
+        lo, n = test.owner_start[window], test.owner_count[window]
+        key = window * test.span + before
+        a = np.where(before > 0, np.searchsorted(test.owner_key, key), lo + n)
+        b = np.where(before > 0, np.searchsorted(test.owner_key, key, "right"), lo + n)
+        head, tail = a - lo, lo + n - b
+        here, there = Runs(self.tokens), Runs(test.tokens)
+        ends = np.cumsum(head + tail)
+        k = 0
+        while k < len(at):
+            base = int(ends[k - 1]) if k else 0
+            e = max(k + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+            part = slice(k, e)
+            pick = np.concatenate([_ranges(lo[part], head[part]), _ranges(b[part], tail[part])])
+            start = np.concatenate([np.repeat(at[part], head[part]), np.repeat(at[part], tail[part])])
+            least = np.concatenate([np.repeat(test.length[window[part]], head[part]), np.repeat(test.length[window[part]], tail[part])])
+            k = e
+            item, place = test.owner[pick], test.place[pick]
+            doc = np.searchsorted(self.first, start, "right") - 1
+            word = start - self.first[doc]
+            other = test.starts[item] + place
+            most = np.minimum(self.counts[doc] - word, test.counts[item] - place)
+            while (go := least < most).any():
+                mid = np.where(go, (least + most + 1) // 2, least)
+                same = here.run(start, mid) == there.run(other, mid)
+                least, most = np.where(go & same, mid, least), np.where(go & ~same, mid - 1, most)
+            yield doc, item, place, word, least
 
 
 def search(docs: DataFrame, test: Test, text_column: str, n_words: str, found: str) -> DataFrame:
-    """Add to the columns ``n_words`` and ``found`` what one block of items finds; narrow, documents keep their rows."""
+    """Fill the columns ``n_words`` and ``found`` with what one block of items finds; narrow, documents keep their rows."""
     shared = docs.sparkSession.sparkContext.broadcast(test)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test, split = shared.value, Words()
+        items = pa.array(test.names, pa.string())
         for b in slices(batches, text_column, 2 << 20):
             hashes, counts = split.split(*_bytes_of(b.column(text_column)))
-            rows = longest_matches(*search_shard(hashes, counts, test), test)
-            lists = b.column(found).to_pylist()
-            for i, item, place, start, length in zip(*[x.tolist() for x in rows], strict=True):
-                lists[i].append({"item": test.names[item], "item_start": place, "start": start, "length": length})
+            parts = list(Shard(hashes, counts, test).longest())
+            doc, item, place, word, length = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+            order = np.argsort(doc, kind="stable")
+            offsets = np.searchsorted(doc[order], np.arange(len(counts) + 1))
+            rows = pa.StructArray.from_arrays([items.take(pa.array(item[order])), *(pa.array(x[order]) for x in (place, word, length))], names=["item", "item_start", "start", "length"])
             cols = dict(zip(b.schema.names, b.columns, strict=True))
-            cols |= {n_words: pa.array(counts), found: pa.array(lists, b.schema.field(found).type)}
+            cols |= {n_words: pa.array(counts), found: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return docs.mapInArrow(run, docs.schema)
@@ -219,10 +266,10 @@ def matches(docs: DataFrame, bench: DataFrame, text_column: str = "text", block_
 
     A shard is a run of documents of about 2 MB in one task; its suffix array over word ids is
     sorted by prefix doubling. Every test suffix is binary-searched in it by its first ten
-    words, the least that counts, and what suffixes of an item find in a row is one longest
-    match. A test set of one block takes one narrow pass; a larger one takes a pass for each
-    block, with the state written to the checkpoint folder between passes. Words are told apart
-    by a 64-bit hash.
+    words, the least that counts; from there each longest match is made once. A test set of one
+    block takes one narrow pass; of a larger one, each further block takes a pass that writes the
+    matches of each different text to the checkpoint folder, the text known by two hashes, and one
+    join brings them to the documents. Words are told apart by a 64-bit hash.
 
     Null and empty texts have no words; an empty test set finds nothing; copies of a passage are
     found in every document; repeated rows each get their result. The two names can be chosen
@@ -231,10 +278,26 @@ def matches(docs: DataFrame, bench: DataFrame, text_column: str = "text", block_
     clash = {n_words.lower(), found.lower()} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)} first, or choose other names")
-    state = docs.withColumns({n_words: F.lit(0).cast("bigint"), found: F.array().cast(f"array<{MATCH}>")})
-    for k, test in enumerate(blocks(bench, text_column="text", block_bytes=block_bytes)):
-        state = search(cut(state) if k else state, test, text_column, n_words, found)
-    return state
+    none = F.array().cast(f"array<{MATCH}>")
+    blank = lambda df: df.withColumns({n_words: F.lit(0).cast("bigint"), found: none})
+    state, more = None, []
+    keys = [fresh(docs, "__h1"), fresh(docs, "__h2")]
+    text = F.col(text_column)
+    key = [F.xxhash64(text).alias(keys[0]), F.hash(text, F.octet_length(text)).alias(keys[1])]
+    for test in blocks(bench, text_column="text", block_bytes=block_bytes):
+        if state is None:
+            state = search(blank(docs), test, text_column, n_words, found)
+        else:
+            hits = search(blank(docs.select(*key, text_column)), test, text_column, n_words, found)
+            more.append(cut(hits.filter(F.size(found) > 0).select(*keys, found).dropDuplicates(keys)))
+    if not more:
+        return state
+    extra, other = more[0], fresh(state, "__found")
+    for x in more[1:]:
+        extra = extra.unionByName(x)
+    extra = cut(extra.groupBy(*keys).agg(F.flatten(F.collect_list(found)).alias(other)))
+    joined = state.withColumns(dict(zip(keys, key, strict=True))).join(extra, keys, "left")
+    return joined.select(*docs.columns, n_words, F.concat(found, F.coalesce(other, none)).alias(found))
 
 
 def n_hit(found: Column) -> Column:
