@@ -139,11 +139,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     src = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     found = cut(sketched(src, bands, rows, width))
     full = found.filter("n > 0")
-    links = substring.near_links(full.select("h", "bands"), src, threshold, sets=lambda sieve: sets_of(src, sieve, width))
+    links = substring.near_links(full.select("h", "bands"), src, threshold, sets=lambda sieve: sets_of(src, sieve, width), main_first=True)
     classes = components(links)
     low = cut(full.groupBy("h").agg(F.min("id").alias("low")))
     groups = cut(low.join(classes, low["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root")))
-    ids = groups.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = cut(groups.groupBy("root").agg(F.min("low").alias("component_id")))
     named = cut(groups.select("h", "root").join(ids, "root").select("h", "component_id"))
     linked = full.select("id", "n", "h").join(named, "h").select("id", "n", "component_id")
     alone = found.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
