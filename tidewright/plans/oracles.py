@@ -251,6 +251,13 @@ ORACLES: dict[str, str] = {
     "stream_hourly": q("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS reading_count, min(value) AS min_value, max(value) AS max_value FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) GROUP BY 1, 2"),
     "stream_upsert": q("SELECT user_id, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY 1"),
     "backfill_range": q("SELECT platform, count(*) AS n, sum(cents)::BIGINT AS cents FROM (SELECT DISTINCT k, platform, cents FROM copies WHERE strftime(ing + to_seconds(cp * 300), '%Y') = '1996') GROUP BY 1", ORD),
+    "sensor_offline_alarms": q("""SELECT sensor_id, ts AS last_seen, ts + INTERVAL 20000 SECOND AS alarm_at
+        FROM (SELECT sensor_id, ts, lead(ts) OVER (PARTITION BY sensor_id ORDER BY ts) AS nx FROM (SELECT DISTINCT sensor_id, event_timestamp AS ts FROM sensor)), (SELECT max(event_timestamp) - INTERVAL 1 HOUR AS w FROM sensor)
+        WHERE (nx IS NULL OR nx > ts + INTERVAL 20000 SECOND) AND ts + INTERVAL 20000 SECOND < w""", SENS),
+    "stream_order_pickups": q("""SELECT poid AS platform_order_id, ts AS placed_ts, p.done AS picked_up_ts
+        FROM o LEFT JOIN (SELECT order_id, done FROM ev WHERE status = 'picked_up') p ON p.order_id = poid AND p.done BETWEEN ts AND ts + INTERVAL 40 MINUTE,
+          (SELECT least((SELECT max(ts) FROM o), (SELECT max(done) FROM ev WHERE status = 'picked_up')) - INTERVAL 1 HOUR AS w)
+        WHERE p.done IS NOT NULL OR ts + INTERVAL 40 MINUTE < w""", ORD, EV),
     "reconcile_48h": q("SELECT DISTINCT poid AS platform_order_id, cents AS order_total_cents, ts AS order_timestamp FROM copies WHERE ing + to_seconds(cp * 300) BETWEEN TIMESTAMP '1999-05-30 12:00:00' AND TIMESTAMP '1999-06-01 12:00:00'", ORD),
     "jdbc_roundtrip": q("SELECT ts::DATE AS day, count(*) AS n_orders FROM o GROUP BY 1", ORD),
     "menu_cdc_two_batches": q("SELECT * FROM menu", MENU),

@@ -13,7 +13,8 @@ from ..operators import align, cdc, dims, facts, health, identity, pit, quality,
 from ..session import shared_folder
 from ..sources import export, feeds
 from ..sources.bronze import envelope, read_seed, read_table, write_table
-from ..streaming import stream
+from ..sources.snapshots import Snapshots
+from ..streaming import alarms, joins, stream
 from . import marts
 from .star import Star, bronze, load_ts
 
@@ -399,12 +400,30 @@ def stream_hourly(s: Star) -> DataFrame:
 
 @query
 def stream_upsert(s: Star) -> DataFrame:
-    """Last value per user by foreachBatch, equal to the batch answer."""
+    """Last value per user by foreachBatch, in hash buckets; equal to the batch answer."""
     base, last = scratch(s.spark), F.max_by(F.struct("value", "ts"), F.struct("ts", "event_id"))
     reduce = lambda b: b.groupBy("user_id").agg(last.alias("x")).select("user_id", F.col("x.value").alias("value"), F.col("x.ts").alias("ts"))
-    q = _stream_of(s, "events").writeStream.foreachBatch(stream.upsert_sink(base, ["user_id"], reduce)).option("checkpointLocation", scratch(s.spark)).trigger(availableNow=True).start()
+    events = _stream_of(s, "events")
+    q = events.writeStream.foreachBatch(stream.bucket_upsert_sink(base, ["user_id"], reduce, buckets=16)).option("checkpointLocation", scratch(s.spark)).trigger(availableNow=True).start()
     stream.finish(q, 300)
-    return s.spark.read.parquet(f"{base}/{q.lastProgress.batchId}")
+    return Snapshots(s.spark, base).read(reduce(events).schema)
+
+
+@query
+def sensor_offline_alarms(s: Star) -> DataFrame:
+    """An alarm for every silence of over 20 000 s, raised by timers of a stream over the readings."""
+    readings = s.stream_of("silver_readings")
+    out = alarms.offline_alarms(readings, "sensor_id", "event_timestamp", 20_000, "1 hour")
+    return stream.run_once(s.spark, out, scratch(s.spark), scratch(s.spark))
+
+
+@query
+def stream_order_pickups(s: Star) -> DataFrame:
+    """Orders with their courier's pickup within 40 minutes, and those without one, from two streams."""
+    picked = s.stream_of("silver_states").filter("status = 'picked_up'").select(F.col("order_id").alias("platform_order_id"), F.col("status_timestamp").alias("picked_up_ts"))
+    placed = s.stream_of("silver_orders").select("platform_order_id", F.col("order_timestamp").alias("placed_ts"))
+    out = joins.interval_join(placed, picked, ["platform_order_id"], "placed_ts", "picked_up_ts", "0 seconds", "40 minutes", "1 hour", "1 hour")
+    return stream.run_once(s.spark, out, scratch(s.spark), scratch(s.spark))
 
 
 @query

@@ -55,15 +55,23 @@ class Star:
             out += [s.getLen(), s.getModificationTime()]
         return tuple(out)
 
+    def _key(self, name: str) -> tuple:
+        return (self.spark.sparkContext.applicationId, self.dir, name, self._stamp())
+
     def stored(self, name: str) -> DataFrame:
         """The table ``name`` of LANDED or SILVER, written if it is not there yet."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name, self._stamp())
+        key = self._key(name)
         if key not in _WRITTEN:
             path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
             getattr(self, f"_{name}")().write.parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 
+    def stream_of(self, name: str) -> DataFrame:
+        """A stream over the files of a stored table."""
+        schema = self.stored(name).schema
+        return self.spark.readStream.schema(schema).parquet(_WRITTEN[self._key(name)])
+
     def _landed_orders(self) -> DataFrame:
         return bronze(feeds.order_records(self.spark, self.dir))
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import upsert
 from ..sources.bronze import envelope
+from ..sources.snapshots import Snapshots
 
 
 def sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, partition_by: tuple[str, ...] = (), fmt: str = "parquet") -> StreamingQuery:
@@ -67,6 +68,38 @@ def upsert_sink(base: str, keys: list[str], reduce: Callable[[DataFrame], DataFr
     return apply
 
 
+def bucket(keys: list[str], buckets: int) -> Column:
+    """The hash bucket of a row's keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def bucket_upsert_sink(base: str, keys: list[str], reduce: Callable[[DataFrame], DataFrame], buckets: int = 256, update: dict[str, Column] | None = None, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps an upserted table in hash buckets of its keys (``Snapshots``).
+
+    A batch reads and writes only the buckets that its keys fall into and publishes them as the
+    version of its number; a batch that is replayed after that does nothing, one that failed
+    before it starts again. The last ``keep`` versions stay readable.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        table = Snapshots(spark, base)
+        if batch_id in table.versions() or batch_id < (table.versions() or [-1])[-1]:
+            return
+        new = reduce(batch).withColumn("bucket", bucket(keys, buckets)).persist()
+        try:
+            touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+            schema = new.drop("bucket").schema
+            before = table.read(schema, part="bucket", kind="int", only=touched)
+            after = upsert(before.select(*new.columns), new, ["bucket", *keys], update)
+            table.replace(after, "bucket", batch_id)
+        finally:
+            new.unpersist()
+        table.clean(keep)
+
+    return apply
+
+
 def in_range(bronze: DataFrame, start: str | Column, end: str | Column, column: str = "ingestion_date") -> DataFrame:
     """Bronze rows ingested in [start, end], by the partition column, so that other days are not read."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
