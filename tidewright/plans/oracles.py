@@ -258,6 +258,12 @@ ORACLES: dict[str, str] = {
         FROM o LEFT JOIN (SELECT order_id, done FROM ev WHERE status = 'picked_up') p ON p.order_id = poid AND p.done BETWEEN ts AND ts + INTERVAL 40 MINUTE,
           (SELECT least((SELECT max(ts) FROM o), (SELECT max(done) FROM ev WHERE status = 'picked_up')) - INTERVAL 1 HOUR AS w)
         WHERE p.done IS NOT NULL OR ts + INTERVAL 40 MINUTE < w""", ORD, EV),
+    "sat_order_bitemporal": q("""SELECT bn AS batch, order_hk, cents AS order_total_cents, ts AS effective_start, lead(ts) OVER l AS effective_end, lead(ts) OVER l IS NULL AS is_current FROM (
+          SELECT b.n AS bn, order_hk, cents, ts, lag(cents) OVER (PARTITION BY b.n, order_hk ORDER BY ts) AS before FROM (
+            SELECT 1 AS n, sha256(poid) AS order_hk, cents, ing AS ts FROM o
+            UNION ALL SELECT 2, sha256(poid), cents + 100, ing - INTERVAL 1 DAY FROM o WHERE k % 10 = 0 UNION ALL SELECT 2, sha256(poid), cents + 50, ing + INTERVAL 1 DAY FROM o WHERE k % 10 = 1
+            UNION ALL SELECT 3, sha256(poid), cents, ing + INTERVAL 2 DAY FROM o WHERE k % 20 < 2) x JOIN (VALUES (1), (2), (3)) b(n) ON x.n <= b.n) b
+        WHERE before IS NULL OR before <> cents WINDOW l AS (PARTITION BY bn, order_hk ORDER BY ts)""", ORD),
     "reconcile_48h": q("SELECT DISTINCT poid AS platform_order_id, cents AS order_total_cents, ts AS order_timestamp FROM copies WHERE ing + to_seconds(cp * 300) BETWEEN TIMESTAMP '1999-05-30 12:00:00' AND TIMESTAMP '1999-06-01 12:00:00'", ORD),
     "jdbc_roundtrip": q("SELECT ts::DATE AS day, count(*) AS n_orders FROM o GROUP BY 1", ORD),
     "menu_cdc_two_batches": q("SELECT * FROM menu", MENU),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rating_0_100
-from ..operators import align, cdc, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
+from ..operators import align, bitemporal, cdc, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
 from ..session import shared_folder
 from ..sources import export, feeds
 from ..sources.bronze import envelope, read_seed, read_table, write_table
@@ -469,6 +469,24 @@ def sat_order_late_changes(s: Star) -> DataFrame:
     return found.select("order_hk", "order_total_cents", "ingestion_timestamp")
 
 
+@query
+def sat_order_bitemporal(s: Star) -> DataFrame:
+    """Order totals as they were known after each of three batches, two of them with changes that came late."""
+    o = s.orders().select(F.sha2("platform_order_id", 256).alias("order_hk"), "order_total_cents", F.col("ingestion_timestamp").alias("ts"), F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long").alias("k"))
+    later = lambda days: F.timestamp_seconds(F.unix_timestamp("ts") + days * 86_400)
+    more = lambda cents: F.col("order_total_cents") + cents
+    late = o.filter("k % 10 = 0").withColumns({"ts": later(-1), "order_total_cents": more(100)})
+    batches = [o, late.unionByName(o.filter("k % 10 = 1").withColumns({"ts": later(1), "order_total_cents": more(50)})), o.filter("k % 20 < 2").withColumn("ts", later(2))]
+    table, out = None, None
+    for n, batch in enumerate(batches, 1):
+        table = bitemporal.apply_batch(table, batch.drop("k"), ["order_hk"], ["order_total_cents"], "ts", F.lit(f"2003-01-0{n} 00:00:00"))
+    for n in (1, 2, 3):
+        rows = bitemporal.known_at(table, F.lit(f"2003-01-0{n} 12:00:00").cast("timestamp"))
+        seen = bitemporal.versions(rows, ["order_hk"], ["order_total_cents"]).withColumn("batch", F.lit(n))
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 @query
 def fact_order_default_zone(s: Star) -> DataFrame:
     """Every seventh order comes without a zone and gets its kitchen's default one."""
