@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, cut  # noqa: F401
+
 #: The words of a text: runs of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -30,12 +32,6 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut lineage in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -91,43 +87,3 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, salts
     ranked = df.withColumn(at, inside)
     joined = ranked.join(bases, [*group, cell])
     return joined.withColumn(name, F.col(base) + F.col(at)).drop(cell, base, at)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b: long) as rows (node, root), root the smallest node.
-
-    Contraction: every node of a round points to the least node among itself and its neighbours,
-    pointers are doubled until all end at a root, and edges are renamed by them until none is
-    left; both loops grow with the logarithm of the longest path. Pointers come from a
-    map-side-combined minimum and are written as tables of their own before they are joined, so
-    that a node with most of the edges is split over tasks by adaptive execution. Nothing is
-    gathered on the driver but whether anything is left to do.
-    """
-    spark = edges.sparkSession
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if now.isEmpty():
-        return spark.createDataFrame([], "node long, root long")
-    labels: DataFrame | None = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"))
-        while True:
-            onward = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            further = cut(points.join(onward, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-            points = further.select("node", "to")
-            if further.filter("moved").isEmpty():
-                break
-        if labels is None:
-            labels = points.withColumnRenamed("to", "label")
-        else:
-            labels = labels.join(points.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        a, b = points.select(F.col("node").alias("a"), F.col("to").alias("x")), points.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        now = now.join(a, "a").join(b, "b").filter("x <> y")
-        now = cut(now.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        if now.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    labels = cut(labels)
-    least = cut(labels.groupBy("label").agg(F.min("node").alias("root")))
-    return labels.join(least, "label").select("node", "root")
