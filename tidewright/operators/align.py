@@ -40,7 +40,7 @@ MAPPINGS = (
 def payload_schema(mappings: tuple[FeedMapping, ...] = MAPPINGS) -> str:
     """One struct with the fields of every shape, so that a record is parsed once. Numbers and
     times are read as text and converted tolerantly: a malformed one is null, never an error."""
-    fields = {"order_id", "platform", "event_type", "status", "status_timestamp", "kitchen_id"}
+    fields = {"order_id", "platform", "event_type", "status", "status_timestamp", "kitchen_id", "reason"}
     for m in mappings:
         fields |= {m.customer_id, m.email, m.total, m.ts, m.kitchen, m.brand, m.zone, m.items}
     return ", ".join(f"`{f}` string" for f in sorted(fields))
@@ -109,7 +109,7 @@ def align(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> Da
 
 
 def status_events(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> DataFrame:
-    """Placed and changed states of every order: order_id (canonical key), status, status_timestamp, kitchen_id.
+    """Placed and changed states of every order: order_id (canonical key), status, status_timestamp, kitchen_id, reason.
 
     One pass and one parse: a record without an event type is a placed order in its platform's
     shape, a status change has the common one. The earliest record of a state counts.
@@ -123,5 +123,34 @@ def status_events(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPING
         F.when(placed, "placed").otherwise(c("p.status")).alias("status"),
         F.try_to_timestamp(F.when(placed, _pick("ts", mappings)).otherwise(c("p.status_timestamp"))).alias("status_timestamp"),
         F.when(placed, _pick("kitchen", mappings)).otherwise(c("p.kitchen_id")).alias("kitchen_id"),
+        F.when(changed, c("p.reason")).alias("reason"),
     )
-    return df.filter(c("status_timestamp").isNotNull()).groupBy("order_id", "status").agg(F.min("status_timestamp").alias("status_timestamp"), F.min("kitchen_id").alias("kitchen_id"))
+    return df.filter(c("status_timestamp").isNotNull()).groupBy("order_id", "status").agg(F.min("status_timestamp").alias("status_timestamp"), F.min("kitchen_id").alias("kitchen_id"), F.min_by("reason", "status_timestamp").alias("reason"))
+
+
+def faults(bronze: DataFrame, mappings: tuple[FeedMapping, ...] = MAPPINGS) -> DataFrame:
+    """``bronze`` plus ``fault``: why a record becomes neither an order nor a state, null if it does.
+
+    not_json, unknown_platform, unknown_event, no_order_id, bad_timestamp, no_status or bad_total; the first
+    that holds counts. Split by it: good records go on, the others to a quarantine table.
+    """
+    c = F.col
+    df = parse(bronze, mappings)
+    fields = [f"p.`{f.name}`" for f in df.schema["p"].dataType.fields]
+    pick = lambda field: _pick(field, mappings)
+    status = c("p.event_type") == "status_change"
+    placed = c("p.event_type").isNull()
+    cents = F.lit(None).cast("long")
+    for m in mappings:
+        number = c(f"p.`{m.total}`")
+        cents = F.when(c("p.platform") == m.platform, number.try_cast("long") if m.in_cents else dollars_to_cents(number.try_cast("double"))).otherwise(cents)
+    fault = (
+        F.when(F.coalesce(*fields).isNull(), "not_json")
+        .when(~F.coalesce(c("p.platform").isin(*[m.platform for m in mappings]), F.lit(False)), "unknown_platform")
+        .when(~placed & ~status, "unknown_event")
+        .when(c("p.order_id").isNull(), "no_order_id")
+        .when(F.try_to_timestamp(F.when(status, c("p.status_timestamp")).otherwise(pick("ts"))).isNull(), "bad_timestamp")
+        .when(status & c("p.status").isNull(), "no_status")
+        .when(placed & cents.isNull(), "bad_total")
+    )
+    return df.select(*bronze.columns, fault.alias("fault"))

@@ -25,16 +25,16 @@ def default_zone(aligned: DataFrame, kitchens: DataFrame, zones: DataFrame, suff
 
 
 def orders(aligned: DataFrame, kitchens: DataFrame, brands: DataFrame, zones: DataFrame, final: DataFrame | None = None) -> DataFrame:
-    """One row per order. ``final``: order_id, is_cancelled from the status events."""
+    """One row per order in its final state. ``final``: what ``final_state`` makes of the status events."""
     df = resolve_fk(aligned, kitchens, "kitchen_id", "kitchen_key")
     df = resolve_fk(df, brands, "brand_name", "brand_key")
     df = resolve_fk(df, zones, "zone_id", "zone_key")
     if final is None:
-        df = df.withColumn("is_cancelled", F.lit(False))
+        df = df.withColumns({"is_cancelled": F.lit(False), "delivered_ts": F.lit(None).cast("timestamp"), "delivery_seconds": F.lit(None).cast("long"), "cancellation_reason": F.lit(None).cast("string")})
     else:
-        df = df.join(final.select(F.col("order_id").alias("platform_order_id"), "is_cancelled"), "platform_order_id", "left").withColumn("is_cancelled", F.coalesce("is_cancelled", F.lit(False)))
+        df = df.join(final.select(F.col("order_id").alias("platform_order_id"), "is_cancelled", "delivered_ts", "delivery_seconds", "cancellation_reason"), "platform_order_id", "left").withColumn("is_cancelled", F.coalesce("is_cancelled", F.lit(False)))
     ts = F.col("order_timestamp")
-    return df.select(date_key(ts).alias("date_key"), time_key(ts).alias("time_key"), "kitchen_key", "brand_key", F.col("customer_key").alias("customer_hk"), "zone_key", "platform", "platform_order_id", "order_total_cents", "item_count", ts.alias("order_placed_ts"), "is_late_arriving", "is_cancelled")
+    return df.select(date_key(ts).alias("date_key"), time_key(ts).alias("time_key"), "kitchen_key", "brand_key", F.col("customer_key").alias("customer_hk"), "zone_key", "platform", "platform_order_id", "order_total_cents", "item_count", ts.alias("order_placed_ts"), "is_late_arriving", "is_cancelled", F.col("delivered_ts").alias("order_delivered_ts"), F.round(F.col("delivery_seconds") / 60, 2).alias("delivery_duration_min"), "cancellation_reason")
 
 
 def state_history(events: DataFrame, kitchens: DataFrame) -> DataFrame:
@@ -52,8 +52,11 @@ def state_history(events: DataFrame, kitchens: DataFrame) -> DataFrame:
 
 
 def final_state(events: DataFrame) -> DataFrame:
+    """One row per order: its last state, when it was placed and delivered, and why it was cancelled."""
     at = F.struct("status_timestamp", "status")
     placed = F.min(F.when(F.col("status") == "placed", F.col("status_timestamp")))
     done = F.max(F.when(F.col("status") == "delivered", F.col("status_timestamp")))
-    df = events.groupBy("order_id").agg(F.max_by("status", at).alias("final_status"), placed.alias("placed_ts"), done.alias("delivered_ts"), F.bool_or(F.col("status") == "cancelled").alias("is_cancelled"))
+    said = F.col("reason") if "reason" in events.columns else F.lit(None).cast("string")
+    reason = F.max(F.when(F.col("status") == "cancelled", said)).alias("cancellation_reason")
+    df = events.groupBy("order_id").agg(F.max_by("status", at).alias("final_status"), placed.alias("placed_ts"), done.alias("delivered_ts"), F.bool_or(F.col("status") == "cancelled").alias("is_cancelled"), reason)
     return df.withColumn("delivery_seconds", (F.unix_timestamp("delivered_ts") - F.unix_timestamp("placed_ts")).cast("long"))

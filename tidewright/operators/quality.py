@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +88,19 @@ def run(df: DataFrame, suite: str, rules: list[Rule]) -> DataFrame:
     return out
 
 
+def observed_write(df: DataFrame, write: Callable[[DataFrame], None], suite: str, rules: list[Rule]) -> DataFrame:
+    """Write ``df`` by ``write`` and give the results of its row-level rules, as ``run`` does, from the
+    same scan: the counts are metrics that the writing tasks keep. Rules on groups need a pass of
+    their own and are an error here."""
+    if any(_violation(r) is None for r in rules) or not rules:
+        raise ValueError("only rules on single rows can be observed, one at least")
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(_violation(r)).alias(f"v{i}") for i, r in enumerate(rules)]))
+    got = seen.get
+    rows = [(suite, r.kind, r.column, got[f"v{i}"] == 0, got[f"v{i}"], got["n"]) for i, r in enumerate(rules)]
+    return df.sparkSession.createDataFrame(rows, "suite string, rule string, column string, success boolean, unexpected_count long, total long")
+
+
 #: The expectation suites of the star schema.
 FACT_ORDER = [
     *[Rule("not_null", c) for c in ("customer_hk", "kitchen_key", "brand_key", "date_key", "time_key")],

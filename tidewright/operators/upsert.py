@@ -38,15 +38,18 @@ def scd2_apply(target: DataFrame | None, source: DataFrame, keys: list[str], tra
     A source row opens a version if its tracked values differ from those just before it, so a
     value that returns (A, B, A) is a new version and a repeated batch changes nothing. Rows not
     later than a key's current version are ignored (``late_changes`` gives them). Result: keys, tracked, row_hash,
-    effective_start, effective_end, is_current; exactly one current row per key.
+    effective_start, effective_end, is_current; exactly one current row per key. Only keys of the
+    batch are shuffled and sorted; all other rows pass through.
     """
     c = F.col
     cols = [*keys, *tracked]
     new = source.dropna(subset=keys).select(*cols, change_hash(*[c(t) for t in tracked]).alias("row_hash"), c(eff_ts).alias("effective_start"), F.lit(1).alias("__new")).dropDuplicates([*keys, "row_hash", "effective_start"])
-    closed = None
+    rest = None
     if target is not None:
-        closed = target.filter(~c("is_current"))
-        new = target.filter("is_current").select(*cols, "row_hash", "effective_start", F.lit(0).alias("__new")).unionByName(new)
+        current, touched = target.filter("is_current"), new.select(*keys).distinct()
+        rest = target.filter(~c("is_current")).unionByName(current.join(touched, keys, "left_anti").select(*target.columns))
+        old = current.join(touched, keys, "left_semi")
+        new = old.select(*cols, "row_hash", "effective_start", F.lit(0).alias("__new")).unionByName(new)
     by_key = Window.partitionBy(*keys)
     in_time = by_key.orderBy("effective_start", "__new", "row_hash")
     base = F.max(F.when(c("__new") == 0, c("effective_start"))).over(by_key)
@@ -57,7 +60,7 @@ def scd2_apply(target: DataFrame | None, source: DataFrame, keys: list[str], tra
     end = F.lead("effective_start").over(in_time)
     df = df.withColumn("effective_end", end).withColumn("is_current", c("effective_end").isNull())
     out = df.select(*cols, "row_hash", "effective_start", "effective_end", "is_current")
-    return out if closed is None else closed.select(*out.columns).unionByName(out)
+    return out if rest is None else rest.select(*out.columns).unionByName(out)
 
 
 def late_changes(target: DataFrame, source: DataFrame, keys: list[str], tracked: list[str], eff_ts: str) -> DataFrame:

@@ -24,14 +24,22 @@ def _revenue() -> list[Column]:
 def revenue_by_kitchen_day(fact_order: DataFrame, dim_date: DataFrame, dim_kitchen: DataFrame) -> DataFrame:
     """Aggregated to (date, kitchen) keys before the dimensions are joined, so the joins see few rows."""
     net = F.sum(F.when(~F.col("is_cancelled"), F.col("order_total_cents")).otherwise(0)).alias("net_revenue_cents")
-    g = fact_order.groupBy("date_key", "kitchen_key").agg(*_revenue(), F.count_if("is_cancelled").alias("cancelled_orders"), net)
+    return kitchen_day(fact_order.groupBy("date_key", "kitchen_key").agg(*_revenue(), F.count_if("is_cancelled").alias("cancelled_orders"), net), dim_date, dim_kitchen)
+
+
+def kitchen_day(g: DataFrame, dim_date: DataFrame, dim_kitchen: DataFrame) -> DataFrame:
+    """Sums by (date, kitchen) key with the names of both, in the view's order."""
     d = dim_date.select("date_key", F.col("full_date").alias("order_date"), "year", "month", "day_of_month", "is_weekend")
     k = dim_kitchen.select("kitchen_key", "kitchen_id", F.col("name").alias("kitchen_name"), "city", "state")
     return g.join(d, "date_key").join(k, "kitchen_key").drop("date_key", "kitchen_key").orderBy(F.desc("order_date"), F.desc("total_revenue_cents"))
 
 
 def revenue_by_brand_day(fact_order: DataFrame, dim_date: DataFrame, dim_brand: DataFrame) -> DataFrame:
-    g = fact_order.groupBy("date_key", "brand_key", "platform").agg(*_revenue(), F.count_distinct("customer_hk").alias("unique_customers"))
+    return brand_day(fact_order.groupBy("date_key", "brand_key", "platform").agg(*_revenue(), F.count_distinct("customer_hk").alias("unique_customers")), dim_date, dim_brand)
+
+
+def brand_day(g: DataFrame, dim_date: DataFrame, dim_brand: DataFrame) -> DataFrame:
+    """Sums by (date, brand, platform) key with the names of both, in the view's order."""
     d = dim_date.select("date_key", F.col("full_date").alias("order_date"), "year", "month")
     b = dim_brand.select("brand_key", "brand_id", "brand_name", "cuisine_type")
     return g.join(d, "date_key").join(b, "brand_key").drop("date_key", "brand_key").orderBy(F.desc("order_date"), F.desc("total_revenue_cents"))
@@ -55,7 +63,7 @@ def delivery_by_zone(trips: DataFrame, fact_order: DataFrame, dim_zone: DataFram
 
 def _lifetime(fact_order: DataFrame) -> DataFrame:
     c = F.col("order_total_cents")
-    return fact_order.groupBy("customer_hk").agg(F.count(F.lit(1)).alias("total_orders"), F.sum(c).alias("lifetime_value_cents"), _dollars(F.sum(c)).alias("lifetime_value_dollars"), _dollars(F.avg(c)).alias("avg_order_value_dollars"), F.count_distinct("kitchen_key").alias("kitchens"), F.count_distinct("brand_key").alias("brands"), F.max("order_placed_ts").alias("last_order_ts"))
+    return fact_order.groupBy("customer_hk").agg(F.count(F.lit(1)).alias("total_orders"), F.sum(c).alias("lifetime_value_cents"), _dollars(F.sum(c)).alias("lifetime_value_dollars"), _dollars(F.avg(c)).alias("avg_order_value_dollars"), F.size(F.collect_set("kitchen_key")).cast("long").alias("kitchens"), F.size(F.collect_set("brand_key")).cast("long").alias("brands"), F.max("order_placed_ts").alias("last_order_ts"))
 
 
 PROFILE = ["customer_hk", "customer_id", "email_masked", "platform_count", "platforms_list", "is_multi_platform", "first_order_date"]
@@ -68,9 +76,12 @@ def multi_platform_customers(dim_customer: DataFrame, fact_order: DataFrame) ->
 
 
 def top_customers(dim_customer: DataFrame, fact_order: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` customers with the most orders; ties by value, then by key."""
-    life = _lifetime(fact_order).join(dim_customer.filter("is_current").select(*PROFILE), "customer_hk")
-    return life.orderBy(F.desc("total_orders"), F.desc("lifetime_value_cents"), "customer_hk").limit(n)
+    """The ``n`` customers with the most orders; ties by value, then by key. Customers are ranked by a
+    semi-join alone; only those at the top get their profile."""
+    order = (F.desc("total_orders"), F.desc("lifetime_value_cents"), "customer_hk")
+    current = dim_customer.filter("is_current")
+    best = _lifetime(fact_order).join(current.select("customer_hk"), "customer_hk", "left_semi").orderBy(*order).limit(n)
+    return current.select(*PROFILE).join(F.broadcast(best), "customer_hk").select(*best.columns, *PROFILE[1:]).orderBy(*order)
 
 
 def menu_price_history(dim_menu_item: DataFrame) -> DataFrame:

@@ -42,7 +42,10 @@ fact AS (
     CASE WHEN c % 101 IN (SELECT s_suppkey FROM supplier) THEN {sk("kitchen_id")} ELSE -1 END AS kitchen_key,
     CASE WHEN brand_name IN (SELECT p_brand FROM part) THEN {sk("replace(brand_name, 'Brand#', 'BR-')")} ELSE -1 END AS brand_key,
     customer_key AS customer_hk, {sk("zone_id")} AS zone_key, platform, poid AS platform_order_id, cents AS order_total_cents,
-    coalesce(items.n, 0)::INT AS item_count, ts AS order_placed_ts, late AS is_late_arriving, k % 20 = 7 AS is_cancelled, k, c
+    coalesce(items.n, 0)::INT AS item_count, ts AS order_placed_ts, late AS is_late_arriving, k % 20 = 7 AS is_cancelled,
+    CASE WHEN k % 20 <> 7 THEN ts + to_minutes(list_sum([2 + (k * j) % 14 for j in range(1, 6)])::BIGINT) END AS order_delivered_ts,
+    CASE WHEN k % 20 <> 7 THEN list_sum([2 + (k * j) % 14 for j in range(1, 6)])::DOUBLE END AS delivery_duration_min,
+    CASE WHEN k % 20 = 7 THEN ['customer', 'kitchen', 'courier'][(k % 3 + 1)::INT] END AS cancellation_reason, k, c
   FROM o LEFT JOIN items USING (k)
 )
 """
@@ -212,7 +215,7 @@ ORACLES: dict[str, str] = {
     "dim_menu_item": q("SELECT item_id, name AS item_name, price_cents / 100 AS price, category, brand, effective_start AS valid_from, effective_end AS valid_to, is_current FROM menu", MENU),
     "bridge_kitchen_brand": q("SELECT DISTINCT kitchen_key, brand_key, true AS is_active FROM fact WHERE kitchen_key <> -1 AND brand_key <> -1", ORD, FACT),
     "fact_order": q("SELECT * EXCLUDE (k, c) FROM fact", ORD, FACT),
-    "fact_order_final_state": q("SELECT order_id, arg_max(status, n) AS final_status, min(done) FILTER (status = 'placed') AS placed_ts, max(done) FILTER (status = 'delivered') AS delivered_ts, bool_or(status = 'cancelled') AS is_cancelled, (epoch(max(done) FILTER (status = 'delivered')) - epoch(min(done) FILTER (status = 'placed')))::BIGINT AS delivery_seconds FROM ev GROUP BY 1", ORD, EV),
+    "fact_order_final_state": q("SELECT order_id, arg_max(status, n) AS final_status, min(done) FILTER (status = 'placed') AS placed_ts, max(done) FILTER (status = 'delivered') AS delivered_ts, bool_or(status = 'cancelled') AS is_cancelled, max(CASE WHEN status = 'cancelled' THEN ['customer', 'kitchen', 'courier'][(k % 3 + 1)::INT] END) AS cancellation_reason, (epoch(max(done) FILTER (status = 'delivered')) - epoch(min(done) FILTER (status = 'placed')))::BIGINT AS delivery_seconds FROM ev GROUP BY 1", ORD, EV),
     "order_state_history": q("SELECT * FROM st", ORD, EV, STATES),
     "menu_cdc_history": q("SELECT * FROM menu", MENU),
     "menu_current": q("SELECT brand, item_id, price_cents, effective_start FROM menu WHERE is_current", MENU),
@@ -264,6 +267,21 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 2, sha256(poid), cents + 100, ing - INTERVAL 1 DAY FROM o WHERE k % 10 = 0 UNION ALL SELECT 2, sha256(poid), cents + 50, ing + INTERVAL 1 DAY FROM o WHERE k % 10 = 1
             UNION ALL SELECT 3, sha256(poid), cents, ing + INTERVAL 2 DAY FROM o WHERE k % 20 < 2) x JOIN (VALUES (1), (2), (3)) b(n) ON x.n <= b.n) b
         WHERE before IS NULL OR before <> cents WINDOW l AS (PARTITION BY bn, order_hk ORDER BY ts)""", ORD),
+    "orders_quarantine": q("""SELECT k * 10 + cp AS kafka_offset, CASE WHEN k % 101 = 0 THEN 'not_json' WHEN k % 103 = 0 THEN 'unknown_platform' WHEN k % 107 = 0 THEN 'no_order_id' WHEN k % 109 = 0 THEN 'bad_timestamp' ELSE 'bad_total' END AS fault
+        FROM copies WHERE k % 101 = 0 OR k % 103 = 0 OR k % 107 = 0 OR k % 109 = 0 OR k % 113 = 0""", ORD),
+    "nightly_reconciliation": q("""SELECT strftime(seen, '%Y-%m') AS ingestion_month, platform, count(*) AS n, sum(cents)::BIGINT AS cents FROM (SELECT *, ing + to_seconds(cp * 300) AS seen FROM copies)
+        WHERE epoch(seen) - epoch(ts) <= 86400 OR strftime(seen, '%Y-%m') IN ('1999-05', '1999-06') GROUP BY ALL""", ORD),
+    "identity_people": q("""SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 'by hand ' || c_custkey WHEN mail IS NOT NULL THEN sha256(mail) WHEN best IS NOT NULL THEN sha256(best.m) ELSE sha256('id ' || least) END AS identity_key,
+          CASE WHEN c_custkey % 50 = 7 THEN 'manual_override' WHEN mail IS NOT NULL THEN 'exact_email' WHEN best IS NOT NULL OR d IS NOT NULL THEN 'fuzzy_name_address' ELSE 'platform_id_fallback' END AS match_method,
+          CASE WHEN c_custkey % 50 = 7 OR mail IS NOT NULL THEN 1.0 WHEN best IS NOT NULL OR d IS NOT NULL THEN round(0.9 - 0.1 * d, 1) ELSE 0.6 END::DOUBLE AS match_confidence
+        FROM p LEFT JOIN grp ON grp.a = p.c_custkey LEFT JOIN nearest USING (g) LEFT JOIN own ON own.a = p.c_custkey""", """RECURSIVE p AS (
+          SELECT c_custkey, c_mktsegment AS b, 'house ' || substr(md5(c_custkey::VARCHAR), 1, 3) AS n, CASE WHEN c_custkey % 3 <> 0 THEN 'mail' || floor(c_custkey / 2)::BIGINT || '@x.org' END AS mail FROM customer
+        ), pair AS (SELECT x.c_custkey AS a, y.c_custkey AS o, y.mail, levenshtein(x.n, y.n) AS d FROM p x JOIN p y ON x.b = y.b AND x.mail IS NULL AND x.c_custkey <> y.c_custkey AND levenshtein(x.n, y.n) <= 1),
+        reach AS (SELECT c_custkey AS a, c_custkey AS o FROM p WHERE mail IS NULL UNION SELECT reach.a, pair.o FROM reach JOIN pair ON pair.a = reach.o WHERE pair.mail IS NULL),
+        grp AS (SELECT a, min(o) AS g, min(o) AS least FROM reach GROUP BY a),
+        nearest AS (SELECT g, min({'d': pair.d, 'm': pair.mail}) AS best FROM grp JOIN pair USING (a) WHERE pair.mail IS NOT NULL GROUP BY g),
+        own AS (SELECT a, min(d) AS d FROM pair GROUP BY a)"""),
+    "unique_customers_rollup": q("""SELECT p.period, date_trunc(p.period, ts)::DATE AS start, platform, count(DISTINCT customer_key) AS customers FROM o, (VALUES ('day'), ('week'), ('month')) p(period) GROUP BY ALL""", ORD),
     "reconcile_48h": q("SELECT DISTINCT poid AS platform_order_id, cents AS order_total_cents, ts AS order_timestamp FROM copies WHERE ing + to_seconds(cp * 300) BETWEEN TIMESTAMP '1999-05-30 12:00:00' AND TIMESTAMP '1999-06-01 12:00:00'", ORD),
     "jdbc_roundtrip": q("SELECT ts::DATE AS day, count(*) AS n_orders FROM o GROUP BY 1", ORD),
     "menu_cdc_two_batches": q("SELECT * FROM menu", MENU),
@@ -287,4 +305,7 @@ ORACLES: dict[str, str] = {
         "dim_menu_item": "SELECT count(*) FROM menu", "dim_customer": "SELECT count(*) FROM cust", "bridge_kitchen_brand": "SELECT count(DISTINCT (kitchen_key, brand_key)) FROM fact WHERE kitchen_key <> -1 AND brand_key <> -1", "fact_order": "SELECT count(*) FROM fact",
         "fact_order_state_history": "SELECT count(*) FROM st", "fact_sensor_hourly": "SELECT count(*) FROM hourly", "fact_delivery_trip": "SELECT count(*) FROM moved"}.items()), ORD, CAL, KITCHEN, BRAND, ZONE, MENU, CUST, FACT, EV, STATES, SENS, TRIP),
 }
+ORACLES["dq_observed_write"] = "SELECT * FROM (" + ORACLES["dq_fact_order"] + ") WHERE rule <> 'unique'"
+ORACLES["rev_kitchen_day_incremental"] = ORACLES["rev_kitchen_day"]
+ORACLES["rev_brand_day_incremental"] = ORACLES["rev_brand_day"]
 ORACLES["dq_pass_rate"] = "SELECT suite, count(*) AS n_rules, count(*) FILTER (success) AS n_passed, round(100.0 * count(*) FILTER (success) / count(*), 2) AS pass_pct FROM ((" + ORACLES["dq_fact_order"] + ") UNION ALL (" + ORACLES["dq_dim_customer"] + ")) GROUP BY suite"

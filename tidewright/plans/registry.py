@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rating_0_100
-from ..operators import align, bitemporal, cdc, dims, facts, health, identity, pit, quality, sensors, trips, upsert, vault
+from ..operators import align, bitemporal, cdc, dims, distinct, facts, health, identity, pit, quality, sensors, trips, upsert, vault
 from ..session import shared_folder
 from ..sources import export, feeds
 from ..sources.bronze import envelope, read_seed, read_table, write_table
 from ..sources.snapshots import Snapshots
 from ..streaming import alarms, joins, stream
-from . import marts
+from . import incremental, marts
 from .star import Star, bronze, load_ts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,4 +601,97 @@ def jdbc_gold_tables(s: Star) -> DataFrame:
     return out
 
 
+def _damaged(s: Star) -> DataFrame:
+    """The landed orders, some of them broken on the way."""
+    k, raw = F.floor(F.col("kafka_offset") / 10), F.col("raw_value")
+    broken = F.when(k % 101 == 0, F.substring(raw, 1, 20)).when(k % 103 == 0, F.replace(raw, F.lit('"platform":"'), F.lit('"platform":"x_')))
+    broken = broken.when(k % 107 == 0, F.replace(raw, F.lit('"order_id"'), F.lit('"order"'))).when(k % 109 == 0, F.regexp_replace(raw, '"(order_timestamp|created_at|timestamp)":"', '"$1":"on '))
+    broken = broken.when(k % 113 == 0, F.regexp_replace(raw, '"(total_amount|order_value|amount_cents)":', '"$1":"?","was":'))
+    return s.bronze_orders().withColumn("raw_value", broken.otherwise(raw))
+
+
+@query
+def orders_quarantine(s: Star) -> DataFrame:
+    """Broken records and why they go to the quarantine table; the good ones go on."""
+    path = scratch(s.spark)
+    align.faults(_damaged(s)).filter("fault is not null").write.partitionBy("fault").parquet(path)
+    return s.spark.read.parquet(path).select("kafka_offset", "fault")
+
+
+@query
+def dq_observed_write(s: Star) -> DataFrame:
+    """The row rules of the order fact, counted while it is written."""
+    rows = [r for r in quality.FACT_ORDER if r.kind != "unique"]
+    path = scratch(s.spark)
+    return quality.observed_write(s.fact_order(), lambda df: df.write.parquet(path), "fact_order", rows)
+
+
+@query
+def nightly_reconciliation(s: Star) -> DataFrame:
+    """Monthly revenue by platform that missed late orders; the months of the last 48 hours are made anew."""
+    table = Snapshots(s.spark, scratch(s.spark))
+
+    def build(bronze: DataFrame) -> DataFrame:
+        orders = align.placed_orders(bronze).select(F.date_format("ingestion_timestamp", "yyyy-MM").alias("ingestion_month"), "platform", "order_total_cents", "is_late_arriving")
+        return orders.groupBy("ingestion_month", "platform").agg(F.count(F.lit(1)).alias("n"), F.sum("order_total_cents").alias("cents"))
+
+    in_time = F.unix_timestamp("ingestion_timestamp") - F.unix_timestamp("kafka_timestamp") <= 86_400
+    table.replace(build(s.bronze_orders().filter(in_time)), "ingestion_month")
+    stream.reconcile_into(table, s.bronze_orders(), "1999-06-01 12:00:00", 48, build, "ingestion_month", 7)
+    return table.read("platform string, n long, cents long", "ingestion_month")
+
+
+@query
+def identity_people(s: Star) -> DataFrame:
+    """Customers with their identity: by email, else by near addresses in a segment; some set by hand."""
+    k = F.col("c_custkey")
+    mail = F.when(k % 3 != 0, F.concat(F.lit("mail"), F.floor(k / 2).cast("long").cast("string"), F.lit("@x.org")))
+    people = s.table("customer").select("c_custkey", mail.alias("email"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit("house "), F.substring(F.md5(k.cast("string")), 1, 3)).alias("address"))
+    by_hand = people.filter("c_custkey % 50 = 7").select("c_custkey", F.concat(F.lit("by hand "), k.cast("string")).alias("identity_key"))
+    return identity.identities(people, "c_custkey", "email", "address", ["segment"], 1, overrides=by_hand)
+
+
+@query
+def rev_kitchen_day_incremental(s: Star) -> DataFrame:
+    """The view after three batches, the last of corrections: no order is read that did not change."""
+    now = s.fact_order()
+    k = F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long")
+    wrong = (k % 7 == 0) | F.col("is_cancelled")
+    first = now.withColumns({"order_total_cents": F.when(k % 7 == 0, F.col("order_total_cents") + 500).otherwise(F.col("order_total_cents")), "kitchen_key": F.when(k % 21 == 0, F.lit(-1).cast("long")).otherwise(F.col("kitchen_key"))})
+    first = first.withColumns({"changed": wrong, "is_cancelled": F.lit(False)})
+    early = F.col("order_placed_ts") < "1998-01-01"
+    keys, stored = incremental.KITCHEN_DAY, None
+    for batch in (first.filter(early), first.filter(~early)):
+        stored = incremental.merge(stored, incremental.deltas(None, batch.drop("changed"), keys), keys)
+    stored = incremental.merge(stored, incremental.deltas(first.filter("changed").drop("changed"), now.filter(wrong), keys), keys)
+    return incremental.kitchen_day_view(stored, s.date(), s.kitchen())
+
+
+@query
+def rev_brand_day_incremental(s: Star) -> DataFrame:
+    """Revenue by brand with distinct customers, after orders that changed their customer."""
+    now = s.fact_order()
+    moved = F.regexp_extract("platform_order_id", "([0-9]+)$", 1).cast("long") % 9 == 0
+    first = now.withColumn("customer_hk", F.when(moved, F.sha2("platform_order_id", 256)).otherwise(F.col("customer_hk")))
+    keys = [*incremental.BRAND_DAY, "customer_hk"]
+    stored = incremental.merge(None, incremental.deltas(None, first, keys), keys)
+    stored = incremental.merge(stored, incremental.deltas(first.filter(moved), now.filter(moved), keys), keys)
+    return incremental.brand_day_view(stored, s.date(), s.brand())
+
+
+@query
+def unique_customers_rollup(s: Star) -> DataFrame:
+    """Distinct customers by platform and day, week and month, all from the bitmaps of the days."""
+    o = s.orders().select(F.to_date("order_timestamp").alias("day"), "platform", "customer_key")
+    early = F.col("day") < "1998-01-01"
+    ids = distinct.dense_ids(o.filter(~early), "customer_key", distinct.dense_ids(o.filter(early), "customer_key"))
+    path = scratch(s.spark)
+    distinct.bitmaps(o, ["day", "platform"], ids, "customer_key").write.parquet(path)
+    days, out = s.spark.read.parquet(path), None
+    for name, key in (("day", F.col("day")), ("week", F.trunc("day", "week")), ("month", F.trunc("day", "month"))):
+        one = distinct.counts(distinct.merged(days, [key.alias("start"), "platform"]), ["start", "platform"], "customers").select(F.lit(name).alias("period"), "start", "platform", "customers")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 __all__ = ["QUERIES", "bronze", "feeds"]

@@ -93,7 +93,7 @@ def status_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         steps.append(F.struct(name.alias("status"), (minutes * 60).alias("after"), F.lit(n).alias("n")))
     changes = F.when(k % 20 == 7, F.array(*steps[:2])).otherwise(F.array(*steps))
     s = o.select("k", "order_id", "platform", "kitchen_id", "ts", F.explode(changes).alias("s")).withColumn("at", _plus(F.col("ts"), F.col("s.after")))
-    payload = F.to_json(F.struct("order_id", "platform", "kitchen_id", F.col("s.status").alias("status"), _iso(F.col("at")).alias("status_timestamp"), F.lit("status_change").alias("event_type")))
+    payload = F.to_json(F.struct("order_id", "platform", "kitchen_id", F.col("s.status").alias("status"), _iso(F.col("at")).alias("status_timestamp"), F.lit("status_change").alias("event_type"), F.when(F.col("s.status") == "cancelled", _pick(k % 3, ("customer", "kitchen", "courier"))).alias("reason")))
     return _record(s, "orders", F.col("kitchen_id"), payload, k * 10 + 1 + F.col("s.n"), F.col("at"), _plus(F.col("at"), F.lit(30)))
 
 

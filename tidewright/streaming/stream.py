@@ -119,6 +119,20 @@ def reconcile(bronze: DataFrame, as_of: str, hours: int, build: Callable[[DataFr
     return build(recent)
 
 
+def reconcile_into(table: Snapshots, bronze: DataFrame, as_of: str, hours: int, build: Callable[[DataFrame], DataFrame], part: str = "ingestion_date", digits: int = 10) -> int:
+    """Recompute the parts of ``table`` that the ``hours`` up to ``as_of`` touch, and replace them in one step.
+
+    A part is the first ``digits`` digits of the ingestion date, a day unless given. A part is read
+    whole, and only the parts that are replaced are read (a filter on the partition column), so the
+    new ones are complete. ``build`` gets those records with the column ``part`` and keeps it. A
+    reader sees all parts old or all new; if anything fails they stay old. Gives the version.
+    """
+    spark = bronze.sparkSession
+    first, last = spark.sql(f"SELECT date_format(timestamp'{as_of}' - INTERVAL {hours} HOURS, 'yyyy-MM-dd'), date_format(timestamp'{as_of}', 'yyyy-MM-dd')").first()
+    recent = in_range(bronze, first[:digits], last[:digits] + "~")  # behind every date of the last part
+    return table.replace(build(recent.withColumn(part, F.substring("ingestion_date", 1, digits))), part)
+
+
 def replace_partitions(df: DataFrame, path: str, partition_by: str) -> None:
     """Overwrite just the partitions that ``df`` holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
