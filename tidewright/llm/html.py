@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -17,7 +18,9 @@ from .common import slices, table
 
 #: Fixed values of HTML: elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes noscript template svg math object select xmp".split())
+RAW = frozenset("script style title textarea iframe noembed noframes noscript template svg object select xmp annotation annotation-xml".split())
+#: Of these, an element that its own slash closes ends there.
+SELF_CLOSED = frozenset("svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -46,16 +49,21 @@ NAMES = COMMENTS | frozenset(
 )
 LAYOUT = frozenset(
     "area bar block body box btn button buttons container content global group holder inner item items left link links list main outer page panel "
-    "pane policy post posts primary region right secondary section site slot space top bottom unit wrap wrapper".split()
+    "pane policy post posts primary region right secondary section site slot space thread top bottom unit wrap wrapper".split()
 )
 #: Names that are no outside part within an article, where a header holds the title.
 TITLE_NAMES = frozenset("header masthead".split())
+#: Names that may also be what a section of an article is about: with a heading inside, it stays.
+TOPICS = frozenset("notice notices notification alert promotion promo consent menu banner login signup overlay social widget teaser sponsor cookie cookies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Inside an article only such containers can be template; its paragraphs, headings and lists are text.
 CONTAINERS = frozenset("div section aside header".split())
 #: Elements whose id counts beside their class, and what is hashed beside an article.
 BOXES = CONTAINERS | frozenset("nav footer form table ul ol".split())
 
+#: Of the hashes of runs of blocks.
+PRIME, BASE = (1 << 89) - 1, 0x9E3779B97F4A7C15F39CC06
+
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*+)*+)(?:>|\Z)"
@@ -82,7 +90,7 @@ def _named(value: str, words: frozenset[str]) -> set[str]:
 @dataclass
 class Element:
     """An element that is open or was: blocks from ``first`` to ``end``, and why it may be outside:
-    ``tag`` (what it is), ``hidden``, or ``name`` (its class or id)."""
+    ``tag`` (what it is), ``hidden``, or ``name`` (its class or id; ``topic`` if that may be a topic)."""
 
     tag: str
     parent: int
@@ -90,24 +98,28 @@ class Element:
     why: str
     end: int = 0
     comments: bool = False
+    topic: bool = False
+    heading: bool = False
+    title: bool = False
 
 
-def _reason(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Why an element may be outside the article, and whether it says that it holds comments."""
+def _reason(tag: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Why an element may be outside the article (``in_article``: it stands in an article or main
+    element), whether it says that it holds comments, and whether its name may be a topic."""
     why = "tag" if tag in OUTSIDE or (tag == "header" and not in_article) else ""
     if not attrs or attrs.isspace() or tag in ("html", "body", "main"):
-        return why, False
+        return why, False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     bare = ATTR.sub(" ", attrs).lower().split()
     if "hidden" in found or "hidden" in bare or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return "hidden", False
+        return "hidden", False, False
     if found.get("role", "").strip().lower() in ROLES:
-        return why or "tag", False
-    if tag in HEADINGS:
-        return why, False
+        return why or "tag", False, False
+    if tag in HEADINGS or (in_article and tag in BLOCK and tag not in BOXES and tag != "article"):
+        return why, False, False  # in an article, names act on containers and on inline elements
     value = found.get("class", "") + (" " + found.get("id", "") if tag in BOXES or tag == "article" else "")
     said = _named(value, NAMES - TITLE_NAMES if in_article or tag == "article" else NAMES)
-    return why or ("name" if said else ""), bool(said & COMMENTS)
+    return why or ("name" if said else ""), bool(said & COMMENTS), not why and said <= TOPICS
 
 
 @dataclass
@@ -126,16 +138,17 @@ class Page:
         """
         es = self.elements
         own = [bool(e.why) for e in es]
+        titles = sum(e.tag == "h1" for e in es)
         held = [False] * len(es)  # holds an article or main that is not outside by itself
+        side = [False] * len(es)  # is or lies in a side piece
         free = False
-        for i, e in enumerate(es):
-            if e.tag in ("article", "main") and not own[i]:
-                k, side = e.parent, False
-                while k >= 0:
-                    held[k] = True
-                    side |= es[k].tag in ASIDE or es[k].why == "hidden" or (es[k].why == "name" and es[k].comments)
-                    k = es[k].parent
-                free |= not side
+        for i, e in enumerate(es):  # parents come before their children
+            above = e.parent >= 0 and side[e.parent]
+            side[i] = above or e.tag in ASIDE or e.why == "hidden" or (e.why == "name" and e.comments)
+            free |= e.tag in ("article", "main") and not own[i] and not above
+        for i in range(len(es) - 1, 0, -1):
+            if held[i] or (es[i].tag in ("article", "main") and not own[i]):
+                held[es[i].parent] = True
         size = [0]
         for b in self.blocks:
             size.append(size[-1] + len(b))
@@ -149,6 +162,10 @@ class Page:
                 aside = e.tag in ASIDE or e.comments
                 if held[i] and not (aside and free):
                     gone = False
+                elif e.why == "name" and e.heading and (e.topic and up >= 0 and level[up] > 0):
+                    gone = False  # a section about a notice, not a notice
+                elif e.why == "name" and e.title and not has_main and titles == 1:
+                    gone = False  # the page's only title stands in its header
                 elif not has_main and not aside and e.tag != "head" and (e.why == "name" or e.tag in ("form", "fieldset", "label")):
                     gone = 2 * (size[e.end] - size[e.first]) <= size[-1]
             out[i] = gone or (up >= 0 and out[up])
@@ -170,13 +187,19 @@ class Page:
         menus and footers too, in it its containers but not the article itself."""
         has_main = any(self.place)
         most = len(self.main())
+        # hashes of runs of blocks from prefix sums, so that nested subtrees cost no more than flat ones
+        prefix, power = [0], [1]
+        for t in self.blocks:
+            prefix.append((prefix[-1] * BASE + xxhash.xxh64_intdigest(t)) % PRIME)
+            power.append(power[-1] * BASE % PRIME)
         out = []
         for e, level in zip(self.elements[1:], self.level[1:], strict=True):
             a, b = e.first, e.end
             if b > a and e.tag in (CONTAINERS if level == 2 else BOXES if has_main else BLOCK):
                 if level == 2 and b - a >= most:
                     continue  # the whole article
-                out.append((xxhash.xxh64_intdigest("\n".join([e.tag, *self.blocks[a:b]])) - (1 << 63), a, b))
+                run = (prefix[b] - prefix[a] * power[b - a]) % PRIME
+                out.append((xxhash.xxh64_intdigest(f"{e.tag} {b - a} {run}") - (1 << 63), a, b))
         return out
 
 
@@ -187,9 +210,14 @@ def parse(text: str | None) -> Page:
     markup at the end of the page is dropped, character references are decoded.
     """
     page, buf = Page([], [], [Element("", -1, 0, "")]), []
-    # open elements: tag, number in the page, whether inside an article, whether its own text is
-    # outside (inline elements alone: the text around them stays one block), number of its block
+    # open elements: tag, number in the page, whether inside an article or main element, whether its
+    # own text is outside (inline elements alone: the text around them stays one block), number of its block
     stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    places: dict[str, list[int]] = {}  # where each tag is open, so that no end tag has to search
+    blocks = [0]  # where block elements are open
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     def flush() -> None:
         if buf:
@@ -202,7 +230,9 @@ def parse(text: str | None) -> Page:
     def close(to: int) -> None:
         while len(stack) > to:
             tag, k = stack[-1][:2]
+            places[tag].pop()
             if tag in BLOCK:
+                blocks.pop()
                 flush()
             if k != stack[-2][1]:
                 page.elements[k].end = len(page.blocks)
@@ -223,47 +253,46 @@ def parse(text: str | None) -> Page:
             continue
         tag = m["name"].lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag closes no block
+            k = last(tag)
+            if k and (tag in BLOCK or k > blocks[-1]):  # an inline end tag closes no block
+                close(k)
             continue
+        closed = m["attrs"].rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
-            at = end.end() if end else len(text)
+            if not (closed and tag in SELF_CLOSED):
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(text, at)
+                at = end.end() if end else len(text)
             continue
         if tag == "br":
             say(" ")
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and blocks[-1] and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    close(k)
-                    break
-                if stack[k][0] in scope:
-                    break
+            k = max(map(last, ends))
+            if k > max(map(last, scope)):
+                close(k)
         if tag in BLOCK:
             flush()
-        if tag in VOID:
+        if tag in VOID or (closed and last("math")):
             continue
         _, up, in_article, mute, owner = stack[-1]
-        why, comments = _reason(tag, m["attrs"], in_article)
+        why, comments, topic = _reason(tag, m["attrs"], in_article)
         if tag in BLOCK or why:
-            page.elements.append(Element(tag, up, len(page.blocks), why, 0, comments))
+            page.elements.append(Element(tag, up, len(page.blocks), why, 0, comments, topic))
+            if tag in HEADINGS:
+                k = up
+                while k >= 0 and not (page.elements[k].heading and (page.elements[k].title or tag != "h1")):
+                    page.elements[k].heading, page.elements[k].title = True, page.elements[k].title or tag == "h1"
+                    k = page.elements[k].parent
             up = len(page.elements) - 1
             mute = tag not in BLOCK
             owner = owner if mute else up
-        stack.append((tag, up, in_article or (tag == "article" and not why), mute, owner))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append((tag, up, in_article or (tag in ("article", "main") and not why), mute, owner))
     say(text[at:])
     close(1)
     flush()
@@ -323,8 +352,13 @@ BROADCAST_ROWS = 200_000
 
 
 def _text(page: Page, gone: set[int]) -> str:
-    dead = {i for h, a, b in page.hashes() if h in gone for i in range(a, b)} if gone else set()
-    return "\n".join(page.blocks[i] for i in page.main() if i not in dead)
+    step = [0] * (len(page.blocks) + 1)
+    for h, a, b in page.hashes() if gone else ():
+        if h in gone:
+            step[a] += 1
+            step[b] -= 1
+    dead = list(accumulate(step))
+    return "\n".join(page.blocks[i] for i in page.main() if not dead[i])
 
 
 def extract(pages: DataFrame, rule: TemplateRule = TemplateRule(), id_column: str = "page_id", url_column: str = "url", html_column: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
