@@ -526,7 +526,7 @@ def test_tree_against_brute_force(spark, monkeypatch):
     want = split(rows, 6, 0)
     for limit in (20_000, 0):  # boxes sorted whole, and medians searched cell by cell
         monkeypatch.setattr(sharding, "SORT_ROWS", limit)
-        assert {x.id: x.shard for x in sharding.tree(meta, 6, ["size", "d0"], tolerance=0.0).collect()} == want, limit
+        assert {x.id: x.shard for x in sharding.tree(meta, 6, ["size", "d0"]).collect()} == want, limit
 
 
 def test_many_shards(spark):
