@@ -12,8 +12,8 @@ from .common import cut, numbered, table
 
 #: Cells of one search pass. Boxes of a level up to BROADCAST_BOXES (about 100 bytes each) are sent to every task.
 CELLS, BROADCAST_BOXES = 1 << 16, 20_000
-#: A level whose boxes have no more rows each (a few dozen bytes a row) is cut by sorting every box in one task.
-SORT_ROWS = 100_000
+#: A level whose boxes have no more rows each (some 60 bytes a row) is cut by sorting every box in one task.
+SORT_ROWS = 1_000_000
 LEAST = -(1 << 63)
 #: Depth of a cut's key: the dimension, then the tie, then the row.
 KEYS = ("value", "tie", "row")
