@@ -138,7 +138,7 @@ def tree(meta: DataFrame, n_shards: int, dims: list[str]) -> DataFrame:
     return out
 
 
-#: Rounds without a gain after which shards count as even as they get.
+#: Rounds without a gain of a twentieth after which shards count as even as they get.
 PAIRINGS = 3
 
 
@@ -190,7 +190,7 @@ def level_out(placed: DataFrame, n_shards: int, tolerance: float = 0.005) -> Dat
     The medians of a tree are as exact as its rows are small. Where a row is a good part of a shard,
     the fullest shard is paired with the emptiest, the next fullest with the next, and so on
     (``_exchanges``). Once the largest deviation has not fallen, other pairings are tried, and after
-    PAIRINGS rounds in a row without a gain it stays. Tables of many rows per shard need no round.
+    PAIRINGS rounds in a row without a gain of a twentieth it stays. Tables of many rows per shard need no round.
     The driver sees three sums.
     """
     spark, c = placed.sparkSession, F.col
@@ -202,7 +202,7 @@ def level_out(placed: DataFrame, n_shards: int, tolerance: float = 0.005) -> Dat
         stats = sums.agg(F.sum("w").alias("w"), F.max("w").alias("hi"), F.min("w").alias("lo")).first()
         mean = stats["w"] / n_shards
         off = max(stats["hi"] - mean, mean - stats["lo"])
-        shift = 0 if off < least else shift + 1
+        shift = 0 if off < 0.95 * least else shift + 1
         least = min(off, least)
         if off <= tolerance * mean or shift >= PAIRINGS:
             return placed
