@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import align, distinct, identity, quality, upsert
+from tidewright.operators import align, distinct, health, identity, quality, upsert, vault
 from tidewright.plans import incremental
 from tidewright.plans.registry import QUERIES
 from tidewright.plans.star import Star
@@ -183,6 +183,27 @@ def test_log_broker_options(monkeypatch):
     assert asked == {"format": "kafka", "kafka.bootstrap.servers": "b:9092", "subscribe": "orders", "startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "5000"}
 
 
+def test_order_versions_follow_basket_and_zone(spark):
+    """A basket of equal size and total and another zone open versions; the same record again, or nulls again, open none."""
+    schema = "platform_order_id string, customer_key string, order_total_cents long, order_timestamp timestamp, kitchen_id string, brand_name string, zone_id string, items_json string, item_count int, is_late_arriving boolean, ingestion_timestamp timestamp"
+
+    def batch(h, *orders):
+        return spark.createDataFrame([(o, "c", 100, at(0), "K", "b", zone, items, 1, False, at(h)) for o, zone, items in orders], schema)
+
+    sat = vault.sat_order_details(None, batch(1, ("a", "z", "[1]"), ("b", "z", "[1]"), ("c", None, None)))
+    sat = vault.sat_order_details(sat, batch(2, ("a", "z", "[2]"), ("b", "y", "[1]"), ("c", None, None)))
+    sat = vault.sat_order_details(sat, batch(3, ("a", "z", "[2]"), ("c", None, None)))
+    got = sorted((r.zone_id or "", r.items_json or "", r.effective_start, r.is_current) for r in sat.collect())
+    assert got == [("", "", at(1), True), ("y", "[1]", at(2), True), ("z", "[1]", at(1), False), ("z", "[1]", at(1), False), ("z", "[2]", at(2), True)]
+
+
+def test_samples_hold_a_whole_record_of_every_partition(spark):
+    rows = [("2024-05-01", "10", 5, at(0), "five"), ("2024-05-01", "10", 3, at(1), "three"), ("2024-05-01", "11", 9, at(2), None)]
+    landed = spark.createDataFrame(rows, "ingestion_date string, ingestion_hour string, kafka_offset long, kafka_timestamp timestamp, raw_value string")
+    got = {(r.ingestion_hour, r.n, r.kafka_offset, r.raw_value) for r in health.bronze_samples(landed).collect()}
+    assert got == {("10", 2, 3, "three"), ("11", 1, 9, None)} and health.bronze_samples(landed.limit(0)).count() == 0
+
+
 def test_all_new_queries_are_registered():
     new = {"sensor_offline_alarms", "stream_order_pickups", "sat_order_bitemporal", "orders_quarantine", "dq_observed_write", "nightly_reconciliation", "identity_people", "rev_kitchen_day_incremental", "rev_brand_day_incremental", "unique_customers_rollup"}
     assert new <= set(QUERIES)

@@ -153,6 +153,12 @@ def test_trips(spark):
     f = spark.createDataFrame([("uber_eats_UE-1", 7, 8)], "platform_order_id string, kitchen_key long, zone_key long")
     assert trips.link_orders(trips.summarise(p), f).first().kitchen_key == 7
     assert trips.path_distance(p).filter("delivery_id = 'b'").first().path_km == 0
+    # two platforms with one id: the trip stays one, and the full id that comes first stands for it
+    f = spark.createDataFrame([("uber_eats_UE-1", 7, 8), ("doordash_UE-1", 5, 6)], "platform_order_id string, kitchen_key long, zone_key long")
+    linked = trips.link_orders(trips.summarise(p), f).collect()
+    assert [(r.kitchen_key, r.zone_key) for r in linked] == [(5, 6)]
+    zone = spark.createDataFrame([(6, "z6", "z", "c"), (8, "z8", "z", "c")], "zone_key long, zone_id string, zone_name string, city string")
+    assert [(r.zone_id, r.trip_count) for r in marts.delivery_by_zone(trips.summarise(p), f, zone).collect()] == [("z6", 1)]
 
 
 def test_states_and_facts(spark):

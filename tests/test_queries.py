@@ -16,6 +16,7 @@ SOME = [
     "menu_cdc_two_batches", "sat_order_late_changes", "fact_order_default_zone", "fact_sensor_hourly", "seed_last_wins", "schema_merge", "dq_more", "dq_pass_rate", "stream_sliding", "replace_partitions", "health_verdict",
     "stream_upsert", "sensor_offline_alarms", "stream_order_pickups", "sat_order_bitemporal", "orders_quarantine", "dq_observed_write", "nightly_reconciliation",
     "identity_people", "rev_kitchen_day_incremental", "rev_brand_day_incremental", "unique_customers_rollup", "top_customers", "fact_order_final_state", "backfill_range",
+    "row_counts_gold", "bronze_samples",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

@@ -18,6 +18,13 @@ def row_counts(tables: dict[str, DataFrame], least: dict[str, int]) -> DataFrame
     return out
 
 
+#: The least rows that each table of the dimensional set must have.
+GOLD_LEAST = {
+    "dim_date": 1095, "dim_time": 1440, "dim_kitchen": 50, "dim_brand": 8, "dim_delivery_zone": 50, "dim_menu_item": 1, "dim_customer": 1, "bridge_kitchen_brand": 1,
+    "fact_order": 1, "fact_sensor_hourly": 1, "fact_order_state_history": 1, "fact_delivery_trip": 1,
+}
+
+
 def freshness(df: DataFrame, ts: str, as_of: Column, warn_seconds: int = 7_200, fail_seconds: int = 86_400) -> DataFrame:
     age = F.unix_timestamp(as_of) - F.unix_timestamp("latest")
     one = df.agg(F.max(ts).alias("latest")).withColumn("age_seconds", age)
@@ -68,6 +75,13 @@ def bronze_profile(bronze: DataFrame) -> DataFrame:
     return bronze.groupBy("ingestion_date").agg(F.count(F.lit(1)).alias("n"), F.min("kafka_offset").alias("min_offset"), F.max("kafka_offset").alias("max_offset")).orderBy("ingestion_date")
 
 
+def bronze_samples(bronze: DataFrame) -> DataFrame:
+    """A record of every ingestion partition, the one with the smallest offset, whole: one map-side-combined
+    pass over the table. A partition without records gives no row."""
+    g = bronze.groupBy("ingestion_date", "ingestion_hour").agg(F.min(F.struct("kafka_offset", "kafka_timestamp", "raw_value")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return g.select("ingestion_date", "ingestion_hour", "n", "first.*")
+
+
 def bronze_totals(bronze: DataFrame) -> DataFrame:
     """One row over the whole table: rows, range of offsets, distinct ingestion partitions."""
     part = F.struct("ingestion_date", "ingestion_hour")

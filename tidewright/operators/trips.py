@@ -43,7 +43,14 @@ def path_distance(p: DataFrame) -> DataFrame:
     return p.withColumn("seg", seg).withColumn("late", late).groupBy("delivery_id").agg(F.count(F.lit(1)).alias("ping_count"), F.round(F.coalesce(F.sum("seg"), F.lit(0.0)), 3).alias("path_km"), F.count_if("late").alias("late_pings"))
 
 
+def orders_of_couriers(fact_order: DataFrame) -> DataFrame:
+    """(order_id, kitchen_key, zone_key): one row per order id as couriers know it, without the platform.
+    Where two platforms share an id, the order whose full id comes first stands for it, so that no trip is doubled."""
+    places = F.min_by(F.struct("kitchen_key", "zone_key"), "platform_order_id").alias("o")
+    one = fact_order.groupBy(strip_platform(F.col("platform_order_id")).alias("order_id")).agg(places)
+    return one.select("order_id", "o.kitchen_key", "o.zone_key")
+
+
 def link_orders(trips: DataFrame, fact_order: DataFrame) -> DataFrame:
-    """Each trip with its order's kitchen and zone; couriers know an order by its id without the platform."""
-    o = fact_order.select(strip_platform(F.col("platform_order_id")).alias("order_id"), "kitchen_key", "zone_key")
-    return trips.join(o, "order_id", "left").withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("kitchen_key", "zone_key")})
+    """Each trip, once, with its order's kitchen and zone (-1: unknown)."""
+    return trips.join(orders_of_couriers(fact_order), "order_id", "left").withColumns({k: F.coalesce(k, F.lit(-1)) for k in ("kitchen_key", "zone_key")})

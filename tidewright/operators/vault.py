@@ -38,8 +38,8 @@ def link(target: DataFrame | None, rows: DataFrame, name: str, hub_keys: list[st
     return insert_only(target, new.select(name, *hub_keys, "load_ts"), [name])
 
 
-#: What makes a new version of an order.
-ORDER_TRACKED = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_id", "brand_name", "item_count", "is_late_arriving"]
+#: What makes a new version of an order; the basket counts as a text, so that one of equal size and total is another.
+ORDER_TRACKED = ["customer_key", "order_total_cents", "order_timestamp", "kitchen_id", "brand_name", "zone_id", "items_json", "item_count", "is_late_arriving"]
 
 
 def sat_order_details(target: DataFrame | None, orders: DataFrame, eff_ts: str = "ingestion_timestamp") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rate_pct, strip_platform, version_status
+from ..functions import rate_pct, version_status
+from ..operators.trips import orders_of_couriers
 
 
 def _dollars(c: Column) -> Column:
@@ -51,7 +52,7 @@ def _mean(column: str, digits: int) -> Column:
 
 
 def delivery_by_zone(trips: DataFrame, fact_order: DataFrame, dim_zone: DataFrame) -> DataFrame:
-    o = fact_order.select(strip_platform(F.col("platform_order_id")).alias("order_id"), "zone_key")
+    o = orders_of_couriers(fact_order).select("order_id", "zone_key")
     z = dim_zone.select("zone_key", "zone_id", "zone_name", "city")
     t = trips.filter("duration_minutes >= 0").join(o, "order_id").join(z, "zone_key")
     m, r = F.col("duration_minutes"), F.round

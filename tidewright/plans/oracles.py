@@ -304,7 +304,10 @@ ORACLES: dict[str, str] = {
         "dim_date": "SELECT count(*) FROM cal", "dim_time": "SELECT count(*) FROM unnest(generate_series(0, 1439))", "dim_kitchen": "SELECT count(*) FROM kitchen", "dim_brand": "SELECT count(*) FROM brand", "dim_delivery_zone": "SELECT count(*) FROM zone",
         "dim_menu_item": "SELECT count(*) FROM menu", "dim_customer": "SELECT count(*) FROM cust", "bridge_kitchen_brand": "SELECT count(DISTINCT (kitchen_key, brand_key)) FROM fact WHERE kitchen_key <> -1 AND brand_key <> -1", "fact_order": "SELECT count(*) FROM fact",
         "fact_order_state_history": "SELECT count(*) FROM st", "fact_sensor_hourly": "SELECT count(*) FROM hourly", "fact_delivery_trip": "SELECT count(*) FROM moved"}.items()), ORD, CAL, KITCHEN, BRAND, ZONE, MENU, CUST, FACT, EV, STATES, SENS, TRIP),
+    "bronze_samples": q("SELECT strftime(seen, '%Y-%m-%d') AS ingestion_date, strftime(seen, '%H') AS ingestion_hour, count(*) AS n, min(off) AS kafka_offset, arg_min(platform, off) AS platform, arg_min(order_id, off) AS order_id FROM (SELECT *, k * 10 + cp AS off, ing + to_seconds(cp * 300) AS seen FROM copies) GROUP BY 1, 2", ORD),
 }
+LEAST = {"dim_date": 1095, "dim_time": 1440, "dim_kitchen": 50, "dim_brand": 8, "dim_delivery_zone": 50}
+ORACLES["row_counts_gold"] = f"SELECT table_name, n, expected, CASE WHEN n >= expected THEN 'pass' ELSE 'fail' END AS status FROM (SELECT *, {' '.join(['CASE', *[f"WHEN table_name = '{t}' THEN {n}" for t, n in LEAST.items()], 'ELSE 1 END'])}::BIGINT AS expected FROM (" + ORACLES["jdbc_gold_tables"] + "))"
 ORACLES["dq_observed_write"] = "SELECT * FROM (" + ORACLES["dq_fact_order"] + ") WHERE rule <> 'unique'"
 ORACLES["rev_kitchen_day_incremental"] = ORACLES["rev_kitchen_day"]
 ORACLES["rev_brand_day_incremental"] = ORACLES["rev_brand_day"]

@@ -349,6 +349,19 @@ def row_counts(s: Star) -> DataFrame:
     return health.row_counts({"orders": s.orders(), "customer": s.table("customer")}, {"orders": 1000, "customer": 1000})
 
 
+@query
+def row_counts_gold(s: Star) -> DataFrame:
+    """Rows of all tables of the dimensional set against their least counts."""
+    return health.row_counts(s.gold(), health.GOLD_LEAST)
+
+
+@query
+def bronze_samples(s: Star) -> DataFrame:
+    """A whole record of every hour of ingestion, its payload parsed."""
+    found = align.parse(health.bronze_samples(s.bronze_orders()))
+    return found.select("ingestion_date", "ingestion_hour", "n", "kafka_offset", "p.platform", "p.order_id")
+
+
 @query
 def row_count_drop(s: Star) -> DataFrame:
     return health.count_drop(s.orders(), "order_timestamp")
