@@ -64,6 +64,7 @@ def versions(rows: DataFrame, keys: list[str], tracked: list[str]) -> DataFrame:
     """The version history in ``rows`` of ``known_at``: neighbours of equal values are one version.
     Columns: keys, tracked, effective_start, effective_end, is_current."""
     line = Window.partitionBy(*keys).orderBy("effective_start")
-    changed = rows.withColumn("__last", F.lag("row_hash").over(line)).filter("__last is null or __last <> row_hash")
+    values = F.struct(*tracked)  # shorter than their hash
+    changed = rows.select(*keys, *tracked, "effective_start").withColumn("__last", F.lag(values).over(line)).filter(~F.col("__last").eqNullSafe(values))
     out = changed.withColumn("effective_end", F.lead("effective_start").over(line))
     return out.select(*keys, *tracked, "effective_start", "effective_end", F.col("effective_end").isNull().alias("is_current"))

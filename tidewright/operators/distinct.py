@@ -31,15 +31,20 @@ def dense_ids(values: DataFrame, column: str, known: DataFrame | None = None, ce
 
 
 def bitmaps(rows: DataFrame, keys: list[str], ids: DataFrame, column: str) -> DataFrame:
-    """keys, bucket, bits: which ids occur under each key, 32 768 to a bitmap. One aggregation with
-    map-side combination and no Expand; bitmaps of the same keys can be merged by ``merged``."""
-    found = rows.join(ids, column)
-    return found.groupBy(*keys, F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    """keys, bucket, bits: which ids occur under each key, 32 768 to a bitmap, one row a key and bucket.
+
+    Ids are dealt before bitmaps are made of them: a bitmap has 4 KB whatever is in it, and where a
+    task sees few ids of a key, bitmaps combined before the shuffle would be a thousand times the ids.
+    Bitmaps of coarser keys are made by ``merged``."""
+    found = rows.join(ids, column).select(*keys, F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("__at"))
+    return found.repartition(*keys, "bucket").groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("__at").alias("bits"))
 
 
 def merged(parts: DataFrame, keys: list[str | Column]) -> DataFrame:
-    """Bitmaps of coarser keys (a week for its days) from finer ones."""
-    return parts.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    """Bitmaps of coarser keys (a week for its days) from finer ones, sorted once, after the shuffle."""
+    keyed = parts.select(*keys, "bucket", "bits")
+    names = keyed.columns[:-1]
+    return keyed.repartition(*names).groupBy(*names).agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def counts(parts: DataFrame, keys: list[str], name: str = "n_distinct") -> DataFrame:
