@@ -34,3 +34,14 @@ def test_copies_stay_together_whatever_their_metadata(spark):
     mean = sum(total.values()) / 4
     assert max(abs(x - mean) for x in total.values()) <= 0.01 * mean and len(total) == 4
     assert 1500 * 96 > mean and 2 <= len(where.pop("same" * 20)) <= 4 and all(len(x) == 1 for x in where.values())
+
+
+def test_a_sieve_is_small_lets_all_its_values_through_and_few_others(spark):
+    import numpy as np
+
+    from tidewright.llm.substring import Sieve
+
+    h = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+    s = Sieve(spark.createDataFrame([(int(x),) for x in h[:10_000]], "v long"), "v")
+    assert s.passes(h[:10_000]).all() and s.passes(h[10_000:]).mean() < 0.04
+    assert s.size <= 16 * 10_000
