@@ -184,6 +184,44 @@ def test_keep_one_drops_near_copies_and_only_those(spark):
     assert simhash.keep_one(empty(df)).count() == 0
 
 
+def test_ring_finds_every_pair_within_its_budget():
+    r = np.random.default_rng(4)
+    boxes = simhash.tune_ring()
+    own = r.integers(0, 1 << 63, 2 * boxes, dtype=np.uint64)
+    other = np.repeat(own[None, :], 3000, 0)
+    for k, row in enumerate(other):  # scattered, in one stretch, or one in every box but one
+        n = int(r.integers(boxes // 2, boxes))
+        at = [r.permutation(2 * boxes)[:n], (r.integers(2 * boxes) + np.arange(n)) % (2 * boxes), 2 * r.permutation(boxes)[: boxes - 1] + r.integers(0, 2, boxes - 1)][k % 3]
+        row[at] += np.uint64(1)
+    keys = set(simhash.ring_keys(own[None, :])[0].tolist())
+    assert all(keys & set(row) for row in simhash.ring_keys(other).tolist())
+    far = own.copy()
+    far[::2] += np.uint64(1)  # one difference in every box: over the budget, and no box agrees
+    assert not keys & set(simhash.ring_keys(far[None, :])[0].tolist())
+    # other starts have other keys, though their minima agree
+    assert len(set(simhash.ring_keys(np.zeros((1, 2 * boxes), np.uint64))[0].tolist())) == 2 * boxes
+    assert simhash.ring_keys(np.zeros((0, 2 * boxes), np.uint64)).shape == (0, 2 * boxes)
+
+
+def test_ring_is_as_large_as_its_recall_asks():
+    r = np.random.default_rng(5)
+    differ = (r.random((400_000, 4, 2)) > 0.8).sum(2)
+    missed = 1 - ((differ == 0) & (np.roll(differ, -1, 1) <= 1)).any(1).mean()
+    assert 0.028 < missed < 0.035  # 4 boxes miss 0.0314 of pairs at 0.8, as the rule says
+    assert simhash.tune_ring(0.8, 1 - 0.0315) == 4 and simhash.tune_ring(0.8, 1 - 0.0313) == 5
+    assert simhash.tune_ring() == 16 and simhash.tune_ring(1.0) == 2
+
+
+def test_near_dedup_asks_the_ring(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, ringed = [], simhash.ringed
+    monkeypatch.setattr(simhash, "ringed", lambda docs, boxes: asked.append(boxes) or ringed(docs, boxes))
+    docs = [(k, prose(8000 + k // 3, 300) + " end" * (k % 3)) for k in range(30)]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()} == set(range(0, 30, 3))
+    assert asked == [16]
+
+
 def test_simhash_links_every_close_pair(spark):
     r, fps = random.Random(3), {0, 2**64 - 1}
     for _ in range(40):

@@ -14,6 +14,8 @@ from . import substring
 from .common import components, cut, fresh, slices, table
 
 BITS, BOXES, BOX, MOST = 64, 4, 16, 3
+#: Minima in a box of near-dedup's ring, and the share of pairs at the threshold that some chain must find.
+PAIR, RECALL = 2, 0.999999
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -143,22 +145,73 @@ def with_content(docs: DataFrame, name: str, text_column: str = "text") -> DataF
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` bigint")
 
 
+def tune_ring(threshold: float = substring.THRESHOLD, recall: float = RECALL) -> int:
+    """The fewest boxes of PAIR = 2 minima of a ring on which ``recall`` of pairs at ``threshold`` share a
+    chain of two boxes.
+
+    A minimum differs with a probability of 1 - ``threshold``. A pair is missed if every box that
+    agrees is followed by one that differs twice; the trace of a power of the steps from box to
+    box is the probability of such rings.
+    """
+    j = threshold
+    step = np.tile([j * j, 2 * j * (1 - j), (1 - j) ** 2], (3, 1))
+    step[0, :2] = 0
+    boxes = 2
+    while np.trace(np.linalg.matrix_power(step, boxes)) > 1 - recall:
+        boxes += 1
+    return boxes
+
+
+def ring_keys(minima: np.ndarray) -> np.ndarray:
+    """The keys of each row's chains of two boxes; two rows share one if a chain of theirs is close.
+
+    Pigeonring over boxes of PAIR minima with a budget of one difference less than boxes: two rows
+    within it have a box from which every chain of l boxes differs in at most l - 1 minima, so the
+    first box agrees and the next differs once at most. A key is thus the first box and one minimum
+    of the next, two keys for each start.
+    """
+    n = minima.shape[1] // PAIR
+    box = minima.reshape(len(minima), n, PAIR)
+    after = np.roll(box, -1, axis=1)
+    head = np.repeat(np.arange(n, dtype=np.uint64)[None, :], len(box), 0)
+    with np.errstate(over="ignore"):
+        for k in range(PAIR):
+            head = substring._mix(head * substring._STEP + box[:, :, k])
+        return np.concatenate([substring._mix((head + np.uint64(k + 1)) * substring._STEP + after[:, :, k]) for k in range(PAIR)], axis=1)
+
+
+def ringed(docs: DataFrame, boxes: int) -> DataFrame:
+    """h, bands: each whole text of five words or more by the hash of its words, and its ring keys. ``docs``: text. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = substring.Words()
+        for batch in slices(batches, "text"):
+            t = substring.Text(batch.column("text"), words)
+            a, b = t.wholes(substring.SHINGLE)
+            keys = ring_keys(t.minima(a, b, boxes * PAIR))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * keys.shape[1], pa.int32()), substring._signed(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([substring._signed(t.prefix.run(a, b)), lists], names=["h", "bands"])
+
+    return docs.select("text").mapInArrow(run, "h bigint, bands array<bigint>")
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = substring.THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, one row a group, columns unchanged.
 
     A group is joined by chains of pairs with exact Jaccard >= ``threshold`` on five-word shingles
-    of the whole texts. Candidates come from MinHash bands that miss a pair at the threshold less
-    than once in a million: the fingerprints of such pairs differ by about 10 of 64 bits and by up
-    to 19 at a like recall, which no boxes of a 64-bit ring select. Texts of fewer than five words
+    of the whole texts. Candidates come from pigeonring chains of boxes, as for ``near_links``, but
+    the ring is of minima, each of which differs in a fifth of pairs at the threshold: 64-bit fingerprints
+    differ there by about 10 bits and by up to 19 at a like recall, which no boxes of theirs select.
+    All pairs whose rings differ in fewer minima than boxes are candidates, and a pair at the
+    threshold is missed less than once in a million. Texts of fewer than five words
     are grouped only if equal. If several rows of a group repeat its smallest id, one of them stays.
     """
     key = fresh(docs, "__content")
     marked = with_content(docs, key, text_column)
     small = cut(marked.select(F.col(key).alias("h"), F.col(id_column).alias("id")).groupBy("h").agg(F.min("id").alias("low")))
-    bands, rows = substring.tune_bands(threshold, recall=0.999999)
     none = F.lit(0).cast("long")
     src = docs.select(none.alias("doc"), none.alias("id"), docs[text_column].alias("text"))
-    found = cut(substring.paragraphs(src, bands, rows, substring.SHINGLE, whole=True).select("h", "bands"))
+    found = cut(ringed(src, tune_ring(threshold)))
     classes = components(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
     groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     # the smallest (has an id, id, content) of each group names the row that stays
