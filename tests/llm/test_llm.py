@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -184,6 +185,65 @@ def test_keep_one_drops_near_copies_and_only_those(spark):
     assert simhash.keep_one(empty(df)).count() == 0
 
 
+def test_keep_one_finds_near_copies_that_the_ring_misses(spark):
+    def outside_the_ring(text):
+        """``text`` with other words where a box's first minimum comes from, for every box."""
+        t = substring.Text(pa.array([text]), substring.Words())
+        sh, _ = t.shingles(*t.wholes(5))
+        w = text.split(" ")
+        with np.errstate(over="ignore"):
+            for k in range(0, 2 * simhash.tune_ring(), simhash.PAIR):
+                w[int(np.argmin(sh * substring._MUL[k] + substring._ADD[k])) + 2] = f"other{k}"
+        return " ".join(w)
+
+    def sets(text):
+        w = text.split(" ")
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    texts = [prose(9100 + i, 1000) for i in range(4)]
+    changed = [outside_the_ring(t) for t in texts]
+    assert all(0.8 <= len(sets(a) & sets(b)) / len(sets(a) | sets(b)) < 0.9 for a, b in zip(texts, changed, strict=True))
+    docs = spark.createDataFrame([*enumerate(texts), *((10 + i, t) for i, t in enumerate(changed))], "doc_id long, text string")
+    rings = {r.h: set(r.bands) for r in simhash.ringed(docs, simhash.tune_ring()).collect()}
+    assert len(rings) == 8 and sum(map(len, rings.values())) == len(set().union(*rings.values()))  # no two share a key
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_prefixes_find_every_link_whatever_is_known(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    r, texts = random.Random(11), []
+    passage = prose(9300, 12)  # a passage that many unlike texts share
+    for k in range(30):
+        w = prose(9200 + k // 5, 30 + 20 * (k // 5)).split(" ")
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w) + " " + passage)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    root = list(range(30))
+    for i in range(30):
+        for k in range(i):
+            if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) - 1e-9:
+                a, b = root[i], root[k]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    docs = spark.createDataFrame([*enumerate(texts), (30, None), (31, ""), (32, "too few words")], "doc_id long, text string")
+    batch = substring.Text(pa.array(texts), substring.Words())
+    h = batch.prefix.run(*batch.wholes(5)).view(np.int64).tolist()
+    known = spark.createDataFrame([(h[i], h[root[i]]) for i in range(10) if h[i] != h[root[i]]], "a long, b long")
+    for links in (known.filter("false"), known):
+        labels = {x.node: x.root for x in common.components(substring.all_links(links, docs)).collect()}
+        got = [labels.get(x, x) for x in h]
+        assert all((got[i] == got[k]) == (root[i] == root[k]) for i in range(30) for k in range(i))
+    assert 3 < len(set(root)) < 28
+    assert substring.all_links(known.filter("false"), docs.filter("doc_id >= 30")).count() == 0
+
+
+def test_keep_one_tells_null_ids_from_others(spark):
+    docs = [(None, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (None, "alone"), (None, "alone"), (0, "alone too")]
+    got = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == [(False, 0, "alone too"), (False, 5, docs[0][1]), (True, 0, "alone")]
+
+
 def test_ring_finds_every_pair_within_its_budget():
     r = np.random.default_rng(4)
     boxes = simhash.tune_ring()

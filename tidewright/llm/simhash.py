@@ -202,8 +202,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     of the whole texts. Candidates come from pigeonring chains of boxes, as for ``near_links``, but
     the ring is of minima, each of which differs in a fifth of pairs at the threshold: 64-bit fingerprints
     differ there by about 10 bits and by up to 19 at a like recall, which no boxes of theirs select.
-    All pairs whose rings differ in fewer minima than boxes are candidates, and a pair at the
-    threshold is missed less than once in a million. Texts of fewer than five words
+    All pairs whose rings differ in fewer minima than boxes are candidates. What the ring misses, less
+    than one pair at the threshold in a million, is found by prefixes of the full sets
+    (``substring.all_links``), so no pair is left out. Texts of fewer than five words
     are grouped only if equal. If several rows of a group repeat its smallest id, one of them stays.
     """
     key = fresh(docs, "__content")
@@ -212,14 +213,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     none = F.lit(0).cast("long")
     src = docs.select(none.alias("doc"), none.alias("id"), docs[text_column].alias("text"))
     found = cut(ringed(src, tune_ring(threshold)))
-    classes = components(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
+    links = cut(substring.near_links(found, src, threshold, substring.SHINGLE, whole=True))
+    classes = components(substring.all_links(links, src, threshold))
     groups = small.join(classes, small["h"] == classes["node"], "left").select("h", "low", F.coalesce("root", "h").alias("root"))
     # the smallest (has an id, id, content) of each group names the row that stays
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "h")).alias("m"))
-    keep_h, keep_id = fresh(docs, "__keep_h"), fresh(docs, "__keep_id")
-    keep = cut(best.select(F.col("m.h").alias(keep_h), F.col("m.low").alias(keep_id)))
-    stay = marked.join(keep, (F.col(key) == F.col(keep_h)) & F.col(id_column).eqNullSafe(F.col(keep_id)))
-    return stay.dropDuplicates([keep_h]).select(*docs.columns)
+    # one column of both, in which null ids are equal: texts are shuffled once for the join and the repeats
+    row = fresh(docs, "__row")
+    keep = cut(best.select(F.struct(F.col("m.h").alias("h"), F.col("m.low").alias("id")).alias(row)))
+    named = marked.withColumn(row, F.struct(F.col(key).alias("h"), F.col(id_column).alias("id")))
+    return named.join(keep, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
