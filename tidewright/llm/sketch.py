@@ -107,7 +107,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, width: int = WIDTH) -> Data
 
 def sets_of(docs: DataFrame, sieve: Sieve, width: int = WIDTH) -> DataFrame:
     """h and the whole set of every document whose h passes the sieve."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    shared = sieve.sent(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(LETTER)
