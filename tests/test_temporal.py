@@ -122,6 +122,19 @@ def test_what_was_known_when(spark):
     assert bitemporal.known_at(table, F.lit("2024-01-01").cast("timestamp")).count() == 0
 
 
+def test_a_batch_meets_the_table_once_and_without_hashes(spark):
+    """Rows are shuffled by their keys alone: none of the rows that a batch keeps, opens and closes is made from a shuffle of its own."""
+    deals = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    first = bitemporal.apply_batch(None, spark.createDataFrame([("a", "1", at(1))], SAT), KEYS, TRACKED, "ts", known(1))
+    assert len(deals(first)) == 1
+    table = first.localCheckpoint()
+    second = bitemporal.apply_batch(table, spark.createDataFrame([("a", "2", at(2)), ("b", "x", at(1))], SAT), KEYS, TRACKED, "ts", known(2))
+    assert len(deals(second)) <= 7  # who is touched, twice a join with them, and the rows once
+    without = bitemporal.apply_batch(table.drop("row_hash"), spark.createDataFrame([("a", "2", at(2)), ("b", "x", at(1))], SAT), KEYS, TRACKED, "ts", known(2))
+    assert sorted(map(tuple, without.collect()), key=repr) == sorted(map(tuple, second.collect()), key=repr)
+    assert len({r.row_hash for r in second.collect()}) == 3 and second.columns == first.columns
+
+
 def test_ties_nulls_and_empty_batches(spark):
     one = replay(spark, [[("a", "x", at(1))], [("a", "y", at(1)), (None, "n", at(2)), ("a", "n", None)], []])
     other = replay(spark, [[("a", "y", at(1))], [("a", "x", at(1))]])

@@ -24,33 +24,34 @@ def apply_batch(target: DataFrame | None, batch: DataFrame, keys: list[str], tra
     sorted; all other rows pass through. ``known`` must not go back from batch to batch. Rows with
     a null key or time are no change.
     """
-    c = F.col
-    hashed = change_hash(*[c(t) for t in tracked])
-    new = batch.dropna(subset=[*keys, eff_ts]).select(*keys, *tracked, hashed.alias("row_hash"), c(eff_ts).alias("effective_start"))
+    c, at = F.col, known.cast("timestamp")
+    cols = [*keys, *tracked, "effective_start"]
     empty = F.lit(None).cast("timestamp")
-    new = new.withColumns({"effective_end": empty, "known_from": known.cast("timestamp"), "known_to": empty, "__new": F.lit(True)})
-    rest, old = None, None
+    new = batch.dropna(subset=[*keys, eff_ts]).select(*keys, *tracked, c(eff_ts).alias("effective_start"))
+    new = new.withColumns({"effective_end": empty, "known_from": at, "__new": F.lit(True)})
+    rows, rest = new, None
     if target is not None:
         touched = new.select(*keys).distinct()
-        now = target.filter("known_to is null").withColumn("__new", F.lit(False))
-        old = now.join(touched, keys, "left_semi")
-        rest = target.filter("known_to is not null").unionByName(now.join(touched, keys, "left_anti").drop("__new"))
-    rows = new if old is None else old.unionByName(new)
+        if "row_hash" not in target.columns:  # it follows from the values, so a table may be kept without it
+            target = target.withColumn("row_hash", change_hash(*[c(t) for t in tracked]))
+        now = target.filter("known_to is null")
+        old = now.join(touched, keys, "left_semi").select(*cols, "effective_end", "known_from", F.lit(False).alias("__new"))
+        rest = target.filter("known_to is not null").unionByName(now.join(touched, keys, "left_anti"))
+        rows = old.unionByName(new)
+    # rows meet by their keys once, and without the hash of their values, which is longer than they are
+    rows = rows.repartition(*keys).withColumn("row_hash", change_hash(*[c(t) for t in tracked]))
     # of several rows of one instant the first in this order holds; a row that is there goes before its repeats
-    same = Window.partitionBy(*keys, "effective_start").orderBy(c("row_hash").desc(), c("__new"))
-    line = Window.partitionBy(*keys).orderBy("effective_start")
-    rows = rows.withColumn("__rank", F.row_number().over(same))
-    ends = F.lead("effective_start").over(line)
-    holds = rows.filter("__rank = 1").withColumn("__end", ends)
-    beaten = rows.filter("__rank > 1 and not __new").withColumn("__end", empty)
-    fits = ~c("__new") & c("__end").eqNullSafe(c("effective_end"))
-    cols = [*keys, *tracked, "row_hash", "effective_start", "effective_end", "known_from", "known_to"]
-    at = known.cast("timestamp")
-    kept = holds.filter(fits).select(*cols)
-    opened = holds.filter(~fits).select(*[c("__end").alias(n) if n == "effective_end" else at.alias(n) if n == "known_from" else c(n) for n in cols])
-    closed = holds.filter(~fits & ~c("__new")).unionByName(beaten).select(*[at.alias(n) if n == "known_to" else c(n) for n in cols])
-    out = kept.unionByName(opened).unionByName(closed.filter("known_from < known_to"))
-    return out if rest is None else rest.select(*cols).unionByName(out)
+    line = Window.partitionBy(*keys).orderBy("effective_start", c("row_hash").desc(), c("__new"))
+    first = ~c("effective_start").eqNullSafe(F.lag("effective_start").over(line))
+    rows = rows.withColumn("__holds", first).withColumn("__start", F.when(c("__holds"), c("effective_start")))
+    rows = rows.withColumn("__end", F.expr("lead(__start) ignore nulls").over(line))
+    fits = c("__holds") & ~c("__new") & c("__end").eqNullSafe(c("effective_end"))
+    version = lambda end, since, until: F.struct(end.alias("effective_end"), since.alias("known_from"), until.alias("known_to"))
+    kept = F.when(fits, version(c("effective_end"), c("known_from"), empty))
+    opened = F.when(c("__holds") & ~fits, version(c("__end"), at, empty))
+    closed = F.when(~c("__new") & ~fits & (c("known_from") < at), version(c("effective_end"), c("known_from"), at))
+    out = rows.select(*keys, *tracked, "row_hash", "effective_start", F.inline(F.filter(F.array(kept, opened, closed), lambda v: v.isNotNull())))
+    return out if rest is None else rest.select(*out.columns).unionByName(out)
 
 
 def known_at(table: DataFrame, when: Column | None = None) -> DataFrame:
